@@ -24,7 +24,9 @@ class AuditConfig:
     broadcast_bytes: int = 256 * 1024 * 1024
     # Most distinct node positions kept together as one grid-cell row; denser
     # areas are searched on a finer grid.
-    cell_sites: int = 256
+    cell_sites: int = 1024
+    # Most nodes in one grid cell for which all pairs of a frame are ranked directly.
+    pair_nodes: int = 32
     # A key holding more rows than this is spread over several tasks.
     hot_rows: int = 1_000_000
     # "auto" picks by counted size; "broadcast" / "shuffle" force one (tests).

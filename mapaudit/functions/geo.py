@@ -26,6 +26,12 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.when(a > 1.0, 1.0).otherwise(F.sqrt(a)))
 
 
+def unit_vector(lat, lon) -> tuple[Column, Column, Column]:
+    """The point on the unit sphere; squared chords between such points order like distances."""
+    phi, lam = F.radians(_c(lat)), F.radians(_c(lon))
+    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+
+
 def destination(lat, lon, heading, distance) -> tuple[Column, Column]:
     """(lat, lon) reached from a point along a bearing in degrees clockwise from north."""
     phi, bearing = F.radians(_c(lat)), F.radians(_c(heading))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.functions.labels import audit_status
 from mapaudit.operators.skew import keep_rank_one, lookup_join
-from mapaudit.operators.spatial import nearest
+from mapaudit.operators.spatial import measure_sites, nearest, radius_join
 
 FRAME = ["video_name", "frame_number"]
 
@@ -22,13 +22,21 @@ def _node_columns(staged_nodes: DataFrame) -> DataFrame:
 
 def nearest_within_radius(staged: DataFrame, staged_nodes: DataFrame, cfg: AuditConfig = DEFAULT,
                           per: str = "frame") -> DataFrame:
-    """Left radius join, then ``rank() = 1`` by distance per (video, frame).
+    """Left radius join, then ``rank() = 1`` by distance per (video, frame). Ties all stay.
 
-    A pair that is not the closest of its own detection cannot be the closest of
-    its frame, so each detection is first reduced to its nearest node positions
-    inside the join. Ties all stay. ``per="detection"`` stops after that step.
+    Where nodes are sparse the pairs go straight into the rank, which keeps each
+    task's best before its shuffle. A pair that is not the closest of its own
+    detection cannot be the closest of its frame, so where many nodes crowd a
+    radius each detection is first reduced to its nearest positions.
+    ``per="detection"`` stops after that step.
     """
     nodes = _node_columns(staged_nodes)
+    size = measure_sites(nodes.select(F.col("osm_lat").alias("s_lat"), F.col("osm_lon").alias("s_lon")),
+                         cfg.search_radius_m)
+    if per == "frame" and size.densest <= cfg.pair_nodes:
+        pairs = radius_join(staged, nodes, cfg.search_radius_m, "left", cfg=cfg, node_rows=size.rows)
+        pairs = pairs.withColumnRenamed("distance_m", "distance_meters")
+        return keep_rank_one(pairs, FRAME, "distance_meters", staged, cfg.hot_rows)
     near = nearest(staged, nodes, "nearest_osm_node_id", radius_m=cfg.search_radius_m, ties=True, cfg=cfg)
     near = near.drop("site").withColumnRenamed("distance_m", "distance_meters")
     if per == "frame":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,21 +25,29 @@ def compare(det: DataFrame, nodes: DataFrame, cfg: AuditConfig = DEFAULT) -> Dat
     det = det.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     nodes = nodes.where(F.col("osm_lat").isNotNull() & F.col("osm_lon").isNotNull())
     columns = ["status", "detection_id", "detected_lat", "detected_lon", "osm_id", "osm_lat", "osm_lon", "distance_m"]
-    seen = (
-        nearest(det.select("detection_id", "latitude", "longitude"), nodes.select("osm_id", "osm_lat", "osm_lon"),
-                "osm_id", cfg=cfg)
-        .withColumn("status", F.when(F.col("distance_m") < cfg.verify_below_m, "verified").otherwise("new"))
-        .withColumn("osm_id", F.col("site.osm_id"))
-        .withColumnsRenamed({"latitude": "detected_lat", "longitude": "detected_lon",
-                             "s_lat": "osm_lat", "s_lon": "osm_lon"})
-    )
-    missing = (
-        nearest_of_many(nodes.select("osm_id", "osm_lat", "osm_lon"), det, "detection_id", "osm_id", cfg=cfg)
-        .where(F.coalesce(F.col("distance_m"), F.lit(float("inf"))) >= cfg.missing_from_m)
-        .withColumn("status", F.lit("missing"))
-        .withColumn("detection_id", F.col("site.detection_id"))
-        .withColumnsRenamed({"s_lat": "detected_lat", "s_lon": "detected_lon"})
-    )
+
+    def from_detections() -> DataFrame:
+        near = nearest(det.select("detection_id", "latitude", "longitude"), nodes.select("osm_id", "osm_lat", "osm_lon"),
+                       "osm_id", cfg=cfg)
+        return (
+            near.withColumn("status", F.when(F.col("distance_m") < cfg.verify_below_m, "verified").otherwise("new"))
+            .withColumn("osm_id", F.col("site.osm_id"))
+            .withColumnsRenamed({"latitude": "detected_lat", "longitude": "detected_lon",
+                                 "s_lat": "osm_lat", "s_lon": "osm_lon"})
+        )
+
+    def from_nodes() -> DataFrame:
+        near = nearest_of_many(nodes.select("osm_id", "osm_lat", "osm_lon"), det, "detection_id", "osm_id", cfg=cfg)
+        return (
+            near.where(F.coalesce(F.col("distance_m"), F.lit(float("inf"))) >= cfg.missing_from_m)
+            .withColumn("status", F.lit("missing"))
+            .withColumn("detection_id", F.col("site.detection_id"))
+            .withColumnsRenamed({"s_lat": "detected_lat", "s_lon": "detected_lon"})
+        )
+
+    # both directions search in rounds of small jobs: let them share the cluster
+    with ThreadPoolExecutor(2) as pool:
+        seen, missing = [f.result() for f in (pool.submit(from_detections), pool.submit(from_nodes))]
     return seen.select(*columns).unionByName(missing.select(*columns))
 
 

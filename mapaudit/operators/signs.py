@@ -8,7 +8,7 @@ depends on earlier signs inside that box, so the walk splits:
 * exact copies collapse first (a copy is always covered by, or like, its first);
 * a gap of 100 frames separates independent islands, found on a table of
   100-frame blocks that is aggregated map-side;
-* an island of ordinary size is walked in one group;
+* islands of ordinary size are packed into tasks and walked whole;
 * a larger one is cut into bricks of (frames, u, v). Every brick is walked with
   the signs its neighbours found in the round before, until no sign changes.
   Statuses that agree everywhere with the rule are unique, so the fixed point is
@@ -29,11 +29,21 @@ from mapaudit.session import cut
 # Reach of one sign.
 FRAME_REACH, U_REACH, V_REACH = 100, 200.0, 100.0
 _BRICK = {"frame_number": 3000, "u": 800, "v": 400}
+_PACK_ROWS = 50_000
 _GROUP = ["video_name", "class_name"]
 _COLUMNS = ["video_name", "class_name", "frame_number", "u", "v", "detection_id"]
 _SCHEMA = "video_name string, class_name string, frame_number int, u double, v double, detection_id string"
 
 
+def _walk_many(rows: pd.DataFrame) -> pd.DataFrame:
+    """Walks several (video, class) groups in one go, their frames set far apart."""
+    group = rows.groupby(_GROUP, sort=False).ngroup().to_numpy()
+    real = rows["frame_number"].to_numpy()
+    gap = np.int64(real.max()) - np.int64(real.min()) + FRAME_REACH
+    found = _walk(rows.assign(frame_number=real + group * gap, _real=real))
+    return found.assign(frame_number=found.pop("_real").astype("int32"))
+
+
 def _walk(rows: pd.DataFrame, earlier: pd.DataFrame | None = None) -> pd.DataFrame:
     """Signs among ``rows``, given signs found outside of them."""
     rows = rows.sort_values(["frame_number", "detection_id"], kind="stable").reset_index(drop=True)
@@ -57,19 +67,25 @@ def _walk(rows: pd.DataFrame, earlier: pd.DataFrame | None = None) -> pd.DataFra
         if free[i]:
             chosen.append(i)
             cover(frame[i], u[i], v[i], i + 1)
-    return rows.iloc[chosen][_COLUMNS]
+    return rows.iloc[chosen][[c for c in (*_COLUMNS, "_real") if c in rows]]
 
 
 def _islands(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """Rows with their island number and the island's row count."""
+    """Rows with their island's row count and a pack number: consecutive islands of
+    a (video, class) share a pack until it holds ``_PACK_ROWS``."""
     block = F.floor(F.col("frame_number") / FRAME_REACH).alias("_block")
     blocks = rows.groupBy(*_GROUP, block).agg(
         F.min("frame_number").alias("_first"), F.max("frame_number").alias("_last"), F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*_GROUP).orderBy("_block")
     opens = F.coalesce(F.col("_first") - F.lag("_last").over(order) >= FRAME_REACH, F.lit(True))
     numbered = blocks.withColumn("_opens", opens.cast("int")).withColumn("_island", F.sum("_opens").over(order))
-    sized = numbered.withColumn("_size", F.sum("_n").over(Window.partitionBy(*_GROUP, "_island")))
-    sized = sized.select(*_GROUP, "_block", "_island", "_size")
+    island = Window.partitionBy(*_GROUP, "_island")
+    before = F.sum("_n").over(order) - F.col("_n")
+    sized = (
+        numbered.withColumn("_before", before).withColumn("_size", F.sum("_n").over(island))
+        .withColumn("_pack", F.floor(F.min("_before").over(island) / _PACK_ROWS))
+        .select(*_GROUP, "_block", "_pack", "_size")
+    )
     return lookup_join(rows.withColumn("_block", block), sized, [*_GROUP, "_block"], "inner", cfg).drop("_block")
 
 
@@ -118,7 +134,9 @@ def unique_signs(det: DataFrame, island_rows: int = 200_000, cfg: AuditConfig =
     )
     numbered = cut(_islands(distinct, cfg), "islands")
     small = numbered.where(F.col("_size") <= island_rows)
-    signs = small.groupBy(*_GROUP, "_island").applyInPandas(lambda pdf: _walk(pdf), _SCHEMA)
+    tasks = numbered.count() // _PACK_ROWS + 1
+    bucket = F.pmod(F.xxhash64(*_GROUP, "_pack"), F.lit(tasks)).alias("_bucket")
+    signs = small.select(*_COLUMNS, bucket).groupBy("_bucket").applyInPandas(_walk_many, _SCHEMA)
     large = numbered.where(F.col("_size") > island_rows)
     if not large.isEmpty():
         signs = signs.unionByName(_bricks(large))

@@ -3,45 +3,50 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapaudit.config import DEFAULT, AuditConfig
-from mapaudit.functions.geo import haversine_m
+from mapaudit.functions.geo import haversine_m, unit_vector
 from mapaudit.operators.grid import CELL, cell_center, with_cell, with_cover
-from mapaudit.operators.skew import fits_broadcast, salted_join
+from mapaudit.operators.skew import fits_broadcast, lookup_join, salted_join
 from mapaudit.session import cut
 
+_MOST_CELLS = 60  # no circle touches more cells, even at a pole (usually 9)
+_RING_GROWTH = 32  # a place cell meets at most pi * 32^2 site cells in the first ring
+_NEAR_CELLS = 16  # more cells than can hold the sites whose circles touch one cell
 _WHOLE_EARTH_M = 2.1e7  # more than half the circumference
 _SLACK_M = 1e-3
 
 
 @dataclass(frozen=True)
-class CoverSize:
+class SiteSize:
     rows: int
     densest: int
 
 
-def measure_cover(cover: DataFrame) -> CoverSize:
-    """Counted size of a cover table: two numbers from one map-side aggregation."""
+def measure_sites(found: DataFrame, step: float) -> SiteSize:
+    """Number of sites and the most in one cell: two numbers from a map-side aggregation."""
     row = (
-        cover.groupBy(*CELL).count()
+        with_cell(found, "s_lat", "s_lon", step).groupBy(*CELL).count()
         .agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0)))
         .first()
     )
-    return CoverSize(int(row[0]), int(row[1]))
+    return SiteSize(int(row[0]), int(row[1]))
 
 
 def radius_join(points: DataFrame, nodes: DataFrame, radius_m: float, how: str = "inner",
                 point_at=("latitude", "longitude"), node_at=("osm_lat", "osm_lon"),
-                strict: bool = False, cfg: AuditConfig = DEFAULT) -> DataFrame:
+                strict: bool = False, cfg: AuditConfig = DEFAULT, node_rows: int | None = None) -> DataFrame:
     """Every (point, node) pair within the radius, with ``distance_m``.
 
     ``nodes`` is the side that is copied to its cover cells. While that copy is
     below the broadcast limit the points are not shuffled at all; beyond it both
     sides are shuffled by cell with hot cells spread out. With ``how="left"``
-    unmatched points stay, with nulls. Column names must not overlap.
+    unmatched points stay, with nulls. Column names must not overlap. A caller
+    that knows the node count passes it and saves the count.
     """
     cover = with_cover(nodes, *node_at, radius_m)
     for k in CELL:
@@ -49,8 +54,10 @@ def radius_join(points: DataFrame, nodes: DataFrame, radius_m: float, how: str =
     points = with_cell(points, *point_at, radius_m)
     distance = haversine_m(*point_at, *node_at)
     near = distance < radius_m if strict else distance <= radius_m
-    size = cover.count() if cfg.join_strategy == "auto" else 0
-    if fits_broadcast(size, cfg):
+    if cfg.join_strategy == "auto" and node_rows is None:
+        node_rows = nodes.count()
+    bound = (node_rows or 0) * _MOST_CELLS
+    if fits_broadcast(bound, cfg) or (cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg)):
         match = (F.col("_band") == F.col("_n_band")) & (F.col("_cell") == F.col("_n_cell")) & near
         joined = points.join(F.broadcast(cover), match, how)
     else:
@@ -74,28 +81,51 @@ def _nearest_in_cell(points: DataFrame, cover: DataFrame, point_at, radius_m: fl
                      broadcast: bool, cfg: AuditConfig) -> DataFrame:
     """Nearest site within the radius from one equi-join, one output row per point
     (per tied site with ``ties``). The sites of a cell arrive as one short array,
-    so no pairs are emitted and nothing is shuffled after the join."""
-    per_cell = cover.groupBy(*CELL).agg(F.collect_list(F.struct("s_lat", "s_lon", "site")).alias("_sites"))
-    points = with_cell(points, *point_at, radius_m)
+    so no pairs are emitted and nothing is shuffled after the join.
+
+    Candidates are ranked by squared chord, three multiplications each; the
+    great-circle distance is computed for the winner only. Chords that differ by
+    no more than their rounding error are decided by distance, then key.
+    """
+    sx, sy, sz = unit_vector("s_lat", "s_lon")
+    entry = F.struct(sx.alias("x"), sy.alias("y"), sz.alias("z"), "s_lat", "s_lon", "site")
+    per_cell = cover.groupBy(*CELL).agg(F.collect_list(entry).alias("_sites"))
+    px, py, pz = unit_vector(*point_at)
+    kept = points.columns
+    points = with_cell(points, *point_at, radius_m).withColumns({"_x": px, "_y": py, "_z": pz})
     if broadcast:
         joined = points.join(F.broadcast(per_cell), CELL, "left")
     else:
         joined = salted_join(points, per_cell, CELL, "left", cfg.hot_rows)
-    lat, lon = point_at
-    measured = F.transform("_sites", lambda s: F.struct(
-        haversine_m(F.col(lat), F.col(lon), s["s_lat"], s["s_lon"]).alias("distance_m"),
-        s["site"].alias("site"), s["s_lat"].alias("s_lat"), s["s_lon"].alias("s_lon")))
-    found = joined.withColumn("_all", F.filter(measured, lambda s: s["distance_m"] <= radius_m))
+
+    def chord(s):
+        dx, dy, dz = s["x"] - F.col("_x"), s["y"] - F.col("_y"), s["z"] - F.col("_z")
+        return dx * dx + dy * dy + dz * dz
+
+    def away(s):
+        return haversine_m(*map(F.col, point_at), s["s_lat"], s["s_lon"])
+
+    ranked = joined.withColumn("_chords", F.transform("_sites", chord)).withColumn("_order", F.sort_array("_chords"))
+    least, second = F.get("_order", F.lit(0)), F.get("_order", F.lit(1))
+    limit = least + F.sqrt(least) * 1e-15 + 1e-30
+    first = F.get("_sites", (F.array_position("_chords", least) - 1).cast("int"))
+    rivals = F.filter("_sites", lambda s: chord(s) <= limit)
+    clear = second.isNull() | (second > limit)
     if ties:
-        found = (
-            found.withColumn("_best", F.array_min("_all")["distance_m"])
-            .withColumn("_near", F.explode_outer(
-                F.filter("_all", lambda s: s["distance_m"] == F.col("_best"))))
-            .drop("_best")
-        )
+        level = F.array_min(F.transform(rivals, away))
+        tied = F.filter(rivals, lambda s: away(s) == level)
+        joined = ranked.withColumn("_hit", F.explode_outer(
+            F.when(least.isNull(), F.lit(None)).when(clear, F.array(first)).otherwise(tied)))
     else:
-        found = found.withColumn("_near", F.array_min("_all"))
-    return found.select("*", "_near.*").drop("_near", "_all", "_sites", *CELL)
+        closest = F.array_min(F.transform(rivals, lambda s: F.struct(
+            away(s).alias("d"), s["site"].alias("site"), s.alias("s"))))["s"]
+        joined = ranked.withColumn("_hit", F.when(clear, first).otherwise(closest))
+    distance = haversine_m(*point_at, F.col("_hit.s_lat"), F.col("_hit.s_lon"))
+    joined = joined.withColumn("distance_m", distance).withColumn(
+        "_hit", F.when(F.col("distance_m") <= radius_m, F.col("_hit")))
+    return joined.select(
+        *kept, F.when(F.col("distance_m") <= radius_m, F.col("distance_m")).alias("distance_m"),
+        F.col("_hit.site").alias("site"), F.col("_hit.s_lat").alias("s_lat"), F.col("_hit.s_lon").alias("s_lon"))
 
 
 def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m: float | None = None,
@@ -107,18 +137,19 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
     equal distance the lowest key wins, or with ``ties`` one row per tied position.
 
     Most points are settled by one grid join at the start radius. That radius is
-    lowered until no cell holds more than ``cfg.cell_sites`` positions. Points
+    lowered until no neighbourhood can hold more than ``cfg.cell_sites`` positions. Points
     without a hit go through ``_far``, which works on distinct positions.
     """
     found_sites = sites(nodes, node_at, key, payload)
     step = radius_m if radius_m is not None else start_m
     while True:
-        cover = with_cover(found_sites, "s_lat", "s_lon", step)
-        size = measure_cover(cover)
-        if size.densest <= cfg.cell_sites or step < 0.01:
+        size = measure_sites(found_sites, step)
+        if size.densest * _NEAR_CELLS <= cfg.cell_sites or step < 0.01:
             break
         step /= 4
-    small = fits_broadcast(size.rows, cfg)
+    cover = with_cover(found_sites, "s_lat", "s_lon", step)
+    small = fits_broadcast(size.rows * _MOST_CELLS, cfg) or (
+        cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg))
     local = _nearest_in_cell(points, cover, point_at, step, ties, small, cfg)
     if step == radius_m:
         return local
@@ -162,44 +193,50 @@ def _far(places: DataFrame, found_sites: DataFrame, step: float, limit_m: float,
     and a site cell S, and h the cell half-widths, every site of S is within
     c + hS + hP of every place of P and none is nearer than c - hS - hP. So the
     smallest c + hS seen bounds the search for the whole of P, and only site
-    cells with c <= bound + 2 hP + hS can hold the answer. Rings grow by 4 until
+    cells with c <= bound + 2 hP + hS can hold the answer. Rings grow until
     every place cell has its bound; a found bound is exact for any later ring.
     """
-    if places.isEmpty() or found_sites.isEmpty():
+    n_places, n_sites = places.count(), found_sites.count()
+    if n_places == 0 or n_sites == 0:
         return None
     at_p, at_s = ("c_lat", "c_lon"), ("t_lat", "t_lon")
-    waiting = cut(_cell_table(places, "p_lat", "p_lon", step, "c"), "cells")
-    site_cells = cut(_cell_table(found_sites, "s_lat", "s_lon", step, "t"), "cells")
-    widest = waiting.agg(F.max("c_half")).first()[0] + site_cells.agg(F.max("t_half")).first()[0]
+    waiting = _cell_table(places, "p_lat", "p_lon", step, "c")
+    site_cells = _cell_table(found_sites, "s_lat", "s_lon", step, "t")
+    shape = waiting.select(F.lit(1).alias("place"), "c_half", F.lit(0.0).alias("t_half")).unionByName(
+        site_cells.select(F.lit(0).alias("place"), F.lit(0.0).alias("c_half"), "t_half"))
+    open_cells, half_p, half_s = shape.agg(F.sum("place"), F.max("c_half"), F.max("t_half")).first()
+    widest = half_p + half_s
+    last_ring = min(limit_m + 2 * widest, _WHOLE_EARTH_M)
     cell_p = ["c_band", "c_cell"]
+    enough = F.col("distance_m") <= F.col("_bound") + 2 * F.col("c_half") + F.col("t_half") + _SLACK_M
     candidates: list[DataFrame] = []
     ring = step
-    while True:
-        ring *= 4
-        reach = min(ring, limit_m + 2 * widest, _WHOLE_EARTH_M)
-        seen = radius_join(site_cells, waiting, reach, point_at=at_s, node_at=at_p, cfg=cfg)
+    while open_cells > 0 and ring < last_ring:
+        ring = min(ring * _RING_GROWTH, last_ring)
+        seen = radius_join(site_cells, waiting, ring, point_at=at_s, node_at=at_p, cfg=cfg, node_rows=open_cells)
         bound = cut(
             seen.groupBy(*cell_p, *at_p, "c_half").agg(F.min(F.col("distance_m") + F.col("t_half")).alias("_bound")),
             "bounds")
-        wide = radius_join(site_cells, bound, min(reach + 3 * widest, _WHOLE_EARTH_M),
-                           point_at=at_s, node_at=at_p, cfg=cfg)
-        enough = F.col("distance_m") <= F.col("_bound") + 2 * F.col("c_half") + F.col("t_half") + _SLACK_M
-        candidates.append(cut(wide.where(enough).select(*cell_p, "t_band", "t_cell"), "candidates"))
-        if reach >= min(limit_m + 2 * widest, _WHOLE_EARTH_M):
-            break
-        waiting = cut(waiting.join(bound.select(*cell_p), cell_p, "left_anti"), "cells")
-        if waiting.isEmpty():
-            break
-    allowed = candidates[0]
-    for more in candidates[1:]:
-        allowed = allowed.unionByName(more)
+        settled = bound.count()
+        if settled:
+            wide = radius_join(site_cells, bound, min(ring + 3 * widest, _WHOLE_EARTH_M),
+                               point_at=at_s, node_at=at_p, cfg=cfg, node_rows=settled)
+            candidates.append(wide.where(enough).select(*cell_p, "t_band", "t_cell"))
+            waiting = waiting.join(bound.select(*cell_p), cell_p, "left_anti")
+            open_cells -= settled
+    if not candidates:
+        return None
+    allowed = cut(reduce(DataFrame.unionByName, candidates), "candidates")
 
     members = with_cell(found_sites, "s_lat", "s_lon", step).withColumnsRenamed({"_band": "t_band", "_cell": "t_cell"})
     placed = with_cell(places, "p_lat", "p_lon", step).withColumnsRenamed({"_band": "c_band", "_cell": "c_cell"})
-    reachable = salted_join(allowed, members, ["t_band", "t_cell"], "inner", cfg.hot_rows)
+    # the smaller of the two point sets meets the cell pairs first
+    (first, key1, n_first), (second, key2, n_second) = sorted(
+        [(placed, cell_p, n_places), (members, ["t_band", "t_cell"], n_sites)], key=lambda side: side[2])
+    reach = lookup_join(first, allowed, key1, "inner", cfg)
+    near = lookup_join(second, cut(reach, "reach"), key2, "inner", cfg)
     pairs = (
-        salted_join(placed, reachable, cell_p, "inner", cfg.hot_rows)
-        .withColumn("distance_m", haversine_m("p_lat", "p_lon", "s_lat", "s_lon"))
+        near.withColumn("distance_m", haversine_m("p_lat", "p_lon", "s_lat", "s_lon"))
         .where(F.col("distance_m") <= limit_m)
     )
     place = ["p_lat", "p_lon"]
