@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def find_layouts(spark: SparkSession, paths) -> dict[tuple[str, ...], list[str]]
     layouts: dict[tuple[str, ...], list[str]] = {}
     for row in heads.orderBy("file").toLocalIterator():
         names = tuple(c.strip().strip('"') for c in row["value"].lstrip("﻿").split(","))
-        layouts.setdefault(names, []).append(row["file"])
+        layouts.setdefault(names, []).append(unquote(row["file"]))
     return layouts
 
 
@@ -129,9 +130,11 @@ def gather_detections(spark: SparkSession, folder: str, layout: list[str] | None
     parts = []
     for names, files in groups.items():
         rows = parse_rows(_csv(spark.read.options(**reader_options), list(names)).csv(files), list(names))
+        # the path is percent-encoded; a plus sign in it is a plus sign
         stem = F.regexp_extract("source_file", r"([^/]+?)(\.csv)?$", 1)
+        name = F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
         parts.append(rows.withColumn(
-            "video_name", F.when(F.col("video_name") == "", F.url_decode(stem)).otherwise(F.col("video_name"))))
+            "video_name", F.when(F.col("video_name") == "", name).otherwise(F.col("video_name"))))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.where(F.col("reject_reason").isNull()).select(*OUTPUT)
 
