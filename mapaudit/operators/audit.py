@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.functions.labels import audit_status
-from mapaudit.operators.skew import keep_rank_one, lookup_join
+from mapaudit.operators.skew import DICE, keep_rank_one, lookup_join, with_dice
 from mapaudit.operators.spatial import measure_sites, nearest, radius_join
 
 FRAME = ["video_name", "frame_number"]
@@ -30,20 +30,20 @@ def nearest_within_radius(staged: DataFrame, staged_nodes: DataFrame, cfg: Audit
     radius each detection is first reduced to its nearest positions.
     ``per="detection"`` stops after that step.
     """
-    nodes = _node_columns(staged_nodes)
+    nodes, staged = _node_columns(staged_nodes), with_dice(staged)
     size = measure_sites(nodes.select(F.col("osm_lat").alias("s_lat"), F.col("osm_lon").alias("s_lon")),
                          cfg.search_radius_m)
     if per == "frame" and size.densest <= cfg.pair_nodes:
         pairs = radius_join(staged, nodes, cfg.search_radius_m, "left", cfg=cfg, node_rows=size.rows)
         pairs = pairs.withColumnRenamed("distance_m", "distance_meters")
-        return keep_rank_one(pairs, FRAME, "distance_meters", staged, cfg.hot_rows)
+        return keep_rank_one(pairs, FRAME, "distance_meters", staged, cfg.hot_rows).drop(DICE)
     near = nearest(staged, nodes, "nearest_osm_node_id", radius_m=cfg.search_radius_m, ties=True, cfg=cfg)
     near = near.drop("site").withColumnRenamed("distance_m", "distance_meters")
     if per == "frame":
         near = keep_rank_one(near, FRAME, "distance_meters", staged, cfg.hot_rows)
     # every node at a nearest position is a match; equal doubles, so an equi-join
     near = near.withColumnsRenamed({"s_lat": "osm_lat", "s_lon": "osm_lon"})
-    return lookup_join(near, nodes, ["osm_lat", "osm_lon"], "left", cfg)
+    return lookup_join(near, nodes, ["osm_lat", "osm_lon"], "left", cfg).drop(DICE)
 
 
 def fct_map_audit(staged: DataFrame, staged_nodes: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapaudit.config import DEFAULT, AuditConfig
-from mapaudit.operators.skew import lookup_join
+from mapaudit.operators.skew import DICE, lookup_join
 from mapaudit.session import cut
 
 # Reach of one sign.
@@ -86,7 +86,10 @@ def _islands(rows: DataFrame, cfg: AuditConfig) -> DataFrame:
         .withColumn("_pack", F.floor(F.min("_before").over(island) / _PACK_ROWS))
         .select(*_GROUP, "_block", "_pack", "_size")
     )
-    return lookup_join(rows.withColumn("_block", block), sized, [*_GROUP, "_block"], "inner", cfg).drop("_block")
+    # rows are distinct, so a hash of the row is a fair and repeatable die
+    dice = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) / float(1 << 20)
+    keyed = rows.withColumn("_block", block).withColumn(DICE, dice)
+    return lookup_join(keyed, cut(sized, "blocks"), [*_GROUP, "_block"], "inner", cfg).drop("_block", DICE)
 
 
 def _bricks(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,23 @@ _ROW_BYTES = 128  # generous size of one row of a broadcast table
 _NULL_FAN = 1024  # rows with a null key match nothing: spread them evenly
 
 
+DICE = "_dice"
+
+
+def with_dice(df: DataFrame) -> DataFrame:
+    """Adds the number in [0, 1) that salting uses.
+
+    It is drawn once, where the rows are still in scan order, and travels with
+    the row: a task that is run again after a lost executor deals every row to
+    the same place, also behind a shuffle, and exact copies still spread.
+    """
+    return df if DICE in df.columns else df.withColumn(DICE, F.rand(11))
+
+
+def _throw(df: DataFrame) -> Column:
+    return F.col(DICE) if DICE in df.columns else F.rand(11)
+
+
 def fits_broadcast(rows: int, cfg: AuditConfig, row_bytes: int = _ROW_BYTES) -> bool:
     if cfg.join_strategy != "auto":
         return cfg.join_strategy == "broadcast"
@@ -46,15 +63,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot
     """Shuffle equi-join of ``big`` with ``small`` ("inner" or "left").
 
     Rows of a hot key are dealt out over several tasks and the matching rows of
-    ``small`` are copied to each, so no task gets a whole hot key. ``rand`` is
-    repeatable here: ``big`` comes from file scans through narrow steps only.
+    ``small`` are copied to each, so no task gets a whole hot key. A ``big`` that
+    went through a shuffle carries its dice (see ``with_dice``).
     """
     fan = F.broadcast(hot_keys(big.select(*keys), keys, hot_rows))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     left = big.join(fan, keys, "left").withColumn(
         "_salt",
-        F.when(no_key, F.floor(F.rand(11) * _NULL_FAN))
-        .otherwise(F.floor(F.rand(11) * F.coalesce("_fan", F.lit(1)))).cast("int"),
+        F.when(no_key, F.floor(_throw(big) * _NULL_FAN))
+        .otherwise(F.floor(_throw(big) * F.coalesce("_fan", F.lit(1)))).cast("int"),
     ).drop("_fan")
     right = (
         small.join(fan, keys, "left")
@@ -94,7 +111,7 @@ def keep_rank_one(df: DataFrame, keys: list[str], value: str, sized_by: DataFram
     return (
         df.join(F.broadcast(hot_best), same(), "left")
         .where(F.col("_fan").isNull() | F.col(value).eqNullSafe(F.col("_hot_best")))
-        .withColumn("_salt", F.floor(F.rand(13) * F.coalesce("_fan", F.lit(1))).cast("int"))
+        .withColumn("_salt", F.floor(_throw(df) * F.coalesce("_fan", F.lit(1))).cast("int"))
         .withColumn("_rank", F.rank().over(window))
         .where(F.col("_rank") == 1)
         .drop("_rank", "_salt", "_fan", "_hot_best", *[f"_h{k}" for k in keys])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.functions.geo import haversine_m, unit_vector
 from mapaudit.operators.grid import CELL, cell_center, with_cell, with_cover
-from mapaudit.operators.skew import fits_broadcast, lookup_join, salted_join
+from mapaudit.operators.skew import fits_broadcast, lookup_join, salted_join, with_dice
 from mapaudit.session import cut
 
 _MOST_CELLS = 60  # no circle touches more cells, even at a pole (usually 9)
@@ -19,6 +19,7 @@ _RING_GROWTH = 32  # a place cell meets at most pi * 32^2 site cells in the firs
 _NEAR_CELLS = 16  # more cells than can hold the sites whose circles touch one cell
 _WHOLE_EARTH_M = 2.1e7  # more than half the circumference
 _SLACK_M = 1e-3
+_ADDED = ["distance_m", "site", "s_lat", "s_lon"]
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,8 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
     lowered until no neighbourhood can hold more than ``cfg.cell_sites`` positions. Points
     without a hit go through ``_far``, which works on distinct positions.
     """
-    found_sites = sites(nodes, node_at, key, payload)
+    out = [*points.columns, *_ADDED]
+    points, found_sites = with_dice(points), sites(nodes, node_at, key, payload)
     step = radius_m if radius_m is not None else start_m
     while True:
         size = measure_sites(found_sites, step)
@@ -152,25 +154,24 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
         cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg))
     local = _nearest_in_cell(points, cover, point_at, step, ties, small, cfg)
     if step == radius_m:
-        return local
+        return local.select(*out)
 
-    added = ["distance_m", "site", "s_lat", "s_lon"]
     missed = F.col("distance_m").isNull() & F.col(point_at[0]).isNotNull() & F.col(point_at[1]).isNotNull()
     limit = radius_m if radius_m is not None else _WHOLE_EARTH_M
     places = local.where(missed).select(
         F.col(point_at[0]).alias("p_lat"), F.col(point_at[1]).alias("p_lon")).distinct()
     answers = _far(cut(places, "places"), cut(found_sites, "sites"), step, limit, ties, cfg)
     if answers is None:
-        return local
+        return local.select(*out)
     if fits_broadcast(answers.count(), cfg):
-        late = answers.withColumnsRenamed({c: f"_f_{c}" for c in added})
+        late = answers.withColumnsRenamed({c: f"_f_{c}" for c in _ADDED})
         late = late.withColumnsRenamed({"p_lat": point_at[0], "p_lon": point_at[1]})
         both = local.join(F.broadcast(late), list(point_at), "left")
-        filled = {c: F.coalesce(c, f"_f_{c}") for c in added}
-        return both.withColumns(filled).select(*local.columns)
+        filled = {c: F.coalesce(c, f"_f_{c}") for c in _ADDED}
+        return both.withColumns(filled).select(*out)
     answers = answers.withColumnsRenamed({"p_lat": point_at[0], "p_lon": point_at[1]})
-    far = salted_join(local.where(missed).drop(*added), answers, list(point_at), "left", cfg.hot_rows)
-    return local.where(~missed).unionByName(far.select(*local.columns))
+    far = salted_join(local.where(missed).drop(*_ADDED), answers, list(point_at), "left", cfg.hot_rows)
+    return local.where(~missed).select(*out).unionByName(far.select(*out))
 
 
 def _cell_table(df: DataFrame, lat: str, lon: str, step: float, prefix: str) -> DataFrame:
