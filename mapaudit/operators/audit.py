@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapaudit.config import DEFAULT, AuditConfig
+from mapaudit.functions.geo import wkt_point
 from mapaudit.functions.labels import audit_status
 from mapaudit.operators.skew import DICE, keep_rank_one, lookup_join, with_dice
 from mapaudit.operators.spatial import measure_sites, nearest, radius_join
@@ -47,13 +48,14 @@ def nearest_within_radius(staged: DataFrame, staged_nodes: DataFrame, cfg: Audit
 
 
 def fct_map_audit(staged: DataFrame, staged_nodes: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:
-    valid = staged.where(F.col("data_quality_flag") == "valid")
+    # the point text follows from the coordinates: made after the shuffle, not carried through it
+    valid = staged.where(F.col("data_quality_flag") == "valid").drop("detection_location")
     matched = nearest_within_radius(valid, staged_nodes, cfg)
     status = audit_status(F.col("distance_meters"), F.col("object_class"), F.col("osm_class"), cfg.audit_threshold_m)
     return matched.select(
         "detection_id", "video_name", "frame_number", "timestamp_ms", F.col("object_class").alias("detected_class"),
         "confidence", F.col("latitude").alias("detected_lat"), F.col("longitude").alias("detected_lon"),
-        "vehicle_id", "recording_timestamp", "detection_location",
+        "vehicle_id", "recording_timestamp", wkt_point("longitude", "latitude").alias("detection_location"),
         "nearest_osm_node_id", "osm_class", "osm_lat", "osm_lon", "distance_meters",
         status.alias("audit_status"),
     )

@@ -29,7 +29,7 @@ from mapaudit.session import cut
 # Reach of one sign.
 FRAME_REACH, U_REACH, V_REACH = 100, 200.0, 100.0
 _BRICK = {"frame_number": 3000, "u": 800, "v": 400}
-_PACK_ROWS = 50_000
+_PACK_ROWS = 20_000
 _GROUP = ["video_name", "class_name"]
 _COLUMNS = ["video_name", "class_name", "frame_number", "u", "v", "detection_id"]
 _SCHEMA = "video_name string, class_name string, frame_number int, u double, v double, detection_id string"
@@ -139,7 +139,10 @@ def unique_signs(det: DataFrame, island_rows: int = 200_000, cfg: AuditConfig =
     small = numbered.where(F.col("_size") <= island_rows)
     tasks = numbered.count() // _PACK_ROWS + 1
     bucket = F.pmod(F.xxhash64(*_GROUP, "_pack"), F.lit(tasks)).alias("_bucket")
-    signs = small.select(*_COLUMNS, bucket).groupBy("_bucket").applyInPandas(_walk_many, _SCHEMA)
+    # a fixed partition count: the walk is work per row, so small data must not end up in one task
+    parts = min(tasks, int(det.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = small.select(*_COLUMNS, bucket).repartition(parts, "_bucket")
+    signs = packed.groupBy("_bucket").applyInPandas(_walk_many, _SCHEMA)
     large = numbered.where(F.col("_size") > island_rows)
     if not large.isEmpty():
         signs = signs.unionByName(_bricks(large))

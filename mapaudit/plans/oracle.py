@@ -289,6 +289,10 @@ select osm_id, osm_type, latitude, longitude from osm where {_TRAFFIC}
     "osm_selector_around": using("tagged", f"""
 select osm_id, osm_type from tagged where (osm_type in ('traffic_signals', 'stop') or crossing = 'traffic_signals')
   and {hav('latitude', 'longitude', '437e-1', '-794e-1')} <= 9000"""),
+    "osm_selector_tiles": using("osm", """
+select cast(floor((latitude - 4358e-2) / 2e-2) * 26 + floor((longitude + 7964e-2) / 2e-2) + 1 as bigint) as tile_no, count(*) as nodes
+from osm where latitude between 4358e-2 and 4386e-2 and longitude between -7964e-2 and -7912e-2
+  and osm_type in ('traffic_signals', 'stop', 'give_way') group by 1"""),
     "extract_detections": using("boxes", """
 select video_name, frame_number, frame_number / 30e0 as timestamp_sec, (x1 + x2) / 2e0 as u, cast(y2 as double) as v,
   confidence, class_name,
@@ -509,6 +513,9 @@ where try_strptime(recording_timestamp, '%d/%m/%Y %H:%M:%S') > timestamp '2024-0
     "stream_csv_to_topic": using("det", f"""
 select coalesce(class_name, '') as class_name, count(*) as n, cast(sum(frame_number) as bigint) as frames
 from det where {_GOOD} group by 1"""),
+    "stream_csv_topic_raw": using("det", f"""
+select video_name, frame_number, confidence, coalesce(class_name, '') as object_class, vehicle_lat as latitude
+from det where {_GOOD}"""),
     "batch_csv_to_topic": using("det", f"""
 select video_name, count(*) as n, count(distinct coalesce(class_name, '')) as classes from det where {_GOOD} group by 1"""),
     "stream_topic_to_raw": using("det", """

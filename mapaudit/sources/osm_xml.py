@@ -23,6 +23,16 @@ INFRASTRUCTURE = (
     (("traffic_sign:backward", None),),
     (("direction", None), ("highway", "street_lamp")),
 )
+SIGNS_AND_STOPS = (
+    (("traffic_sign", None),),
+    (("highway", "traffic_signals"),),
+    (("highway", "stop"),),
+    (("highway", "give_way"),),
+)
+SIGNS_AND_LIMITS = (
+    (("highway", "speed_limit"),),
+    (("traffic_sign", None),),
+)
 SIGNALS_AND_STOPS = (
     (("highway", "traffic_signals"),),
     (("highway", "stop"),),

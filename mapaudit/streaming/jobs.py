@@ -23,6 +23,12 @@ def _start(writer, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def topic_source(spark: SparkSession, options: dict[str, str], fmt: str = "kafka", schema: str | None = None) -> DataFrame:
+    """Messages as a stream: a topic, or files of (key, value) rows with ``fmt`` and ``schema``."""
+    reader = spark.readStream.format(fmt).options(**options)
+    return (reader.schema(schema) if schema else reader).load()
+
+
 def csv_to_topic(spark: SparkSession, folder: str, layout: list[str], target: dict[str, str], checkpoint: str,
                  fmt: str = "kafka", vehicle_id: str = "vehicle-001", session_id: str | None = None,
                  once: bool = False) -> StreamingQuery:
