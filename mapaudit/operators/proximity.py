@@ -41,13 +41,18 @@ def proximity_pairs(det: DataFrame, nodes: DataFrame, radius_m: float, cfg: Audi
 def match_counts(det: DataFrame, nodes: DataFrame, radius_m: float = 50.0, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Nodes within the radius per (detection, class), zeros kept.
 
-    Only the four columns needed travel; pairs are counted map-side, next to the
-    join, so a pair is never shuffled.
+    Nodes at one position count as one weighted node, so copies of a node never
+    multiply the pairs. Only the columns needed travel; pairs are added up
+    map-side, next to the join, so a pair is never shuffled.
     """
     slim = located(det).select("detection_id", "class_name", *VEHICLE_AT)
-    at = node_side(nodes).select("osm_id", "osm_lat", "osm_lon")
+    at = (
+        node_side(nodes).where(F.col("osm_lat").isNotNull() & F.col("osm_lon").isNotNull())
+        .groupBy("osm_lat", "osm_lon").agg(F.count("osm_id").alias("_n"))
+    )
     pairs = radius_join(slim, at, radius_m, how="left", point_at=VEHICLE_AT, cfg=cfg)
-    return pairs.groupBy("detection_id", "class_name").agg(F.count("osm_id").alias("num_nearby_osm_nodes"))
+    total = F.sum(F.coalesce("_n", F.lit(0))).alias("num_nearby_osm_nodes")
+    return pairs.groupBy("detection_id", "class_name").agg(total)
 
 
 def most_matched_first(counts: DataFrame) -> DataFrame:

@@ -144,3 +144,41 @@ def test_small_side_is_broadcast_and_points_are_not_shuffled(spark):
     big = AuditConfig(broadcast_bytes=10)
     plan = radius_join(p, n, 100.0, "left", cfg=big)._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan
+
+
+def test_match_counts_with_copied_nodes(spark):
+    from mapaudit.operators.proximity import match_counts, match_summary
+
+    det = spark.createDataFrame([("a", "x", 10.0, 10.0), ("b", "x", 20.0, 20.0), ("a", "x", 10.0, 10.0), ("c", None, None, 1.0)],
+                                "detection_id string, class_name string, vehicle_lat double, vehicle_lon double")
+    nodes = spark.createDataFrame([(f"n{i}", 10.0, 10.0) for i in range(40)] + [("m", 10.0001, 10.0)],
+                                  "osm_id string, latitude double, longitude double")
+    for strategy in STRATEGIES:
+        counts = match_counts(det, nodes, cfg=AuditConfig(join_strategy=strategy, hot_rows=1))
+        assert {r.detection_id: r.num_nearby_osm_nodes for r in counts.collect()} == {"a": 82, "b": 0}
+    assert match_summary(counts).first().max_matches == 82
+
+
+def test_audit_is_the_same_on_every_path(spark, sf):
+    from mapaudit import inputs
+    from mapaudit.operators.audit import fct_map_audit
+    from mapaudit.operators.staging import from_typed, stage_detections, stage_nodes
+
+    det = inputs.detections(spark, sf)
+    parked = F.col("event_id") % 3 == 0  # a third of all rows: one blank video, one frame, one place
+    det = det.withColumns({
+        "video_name": F.when(parked, "").otherwise(F.col("video_name")),
+        "frame_number": F.when(parked, 0).otherwise(F.col("frame_number")),
+        "vehicle_lat": F.when(parked, 43.70001).otherwise(F.col("vehicle_lat")),
+        "vehicle_lon": F.when(parked, -79.40001).otherwise(F.col("vehicle_lon"))})
+    staged, nodes = stage_detections(from_typed(det)), stage_nodes(inputs.osm_nodes(spark, sf))
+
+    def answer(**cfg):
+        fct = fct_map_audit(staged, nodes, AuditConfig(**cfg))
+        return sorted(map(str, fct.select("detection_id", "nearest_osm_node_id", "audit_status").collect()))
+
+    want = answer()
+    assert answer(hot_rows=20) == want
+    assert answer(hot_rows=20, join_strategy="shuffle") == want
+    assert answer(hot_rows=20, join_strategy="shuffle", pair_nodes=0) == want
+    assert answer(pair_nodes=0, cell_sites=16) == want
