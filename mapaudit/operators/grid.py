@@ -59,10 +59,10 @@ def with_cover(df: DataFrame, lat: str, lon: str, radius_m: float) -> DataFrame:
     around = (F.abs(la) + height >= 90) | (last - first + 1 >= n)
     cells = F.when(around, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.sequence(first, last))
     return (
-        bands.withColumn("_n", n)
+        bands.withColumn("_band_cells", n)
         .withColumn("_cell", F.explode(cells))
-        .withColumn("_cell", F.pmod("_cell", "_n").cast("long"))
-        .drop("_n")
+        .withColumn("_cell", F.pmod("_cell", "_band_cells").cast("long"))
+        .drop("_band_cells")
     )
 
 

@@ -48,10 +48,10 @@ def match_counts(det: DataFrame, nodes: DataFrame, radius_m: float = 50.0, cfg:
     slim = located(det).select("detection_id", "class_name", *VEHICLE_AT)
     at = (
         node_side(nodes).where(F.col("osm_lat").isNotNull() & F.col("osm_lon").isNotNull())
-        .groupBy("osm_lat", "osm_lon").agg(F.count("osm_id").alias("_n"))
+        .groupBy("osm_lat", "osm_lon").agg(F.count("osm_id").alias("copies"))
     )
     pairs = radius_join(slim, at, radius_m, how="left", point_at=VEHICLE_AT, cfg=cfg)
-    total = F.sum(F.coalesce("_n", F.lit(0))).alias("num_nearby_osm_nodes")
+    total = F.sum(F.coalesce("copies", F.lit(0))).alias("num_nearby_osm_nodes")
     return pairs.groupBy("detection_id", "class_name").agg(total)
 
 
