@@ -24,7 +24,7 @@ from mapaudit.streaming import jobs, metrics
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 T10 = AuditConfig(audit_threshold_m=10.0)
-# The area the reference extracts cover, south-west and north-east corner.
+# The city area, south-west and north-east corner.
 CITY = (43.58, -79.64, 43.86, -79.12)
 
 
