@@ -2,7 +2,8 @@
 
 Every text becomes the set of its shingle hashes. A set can only link with another one if they share a
 shingle of their prefixes, taken in one global order (rare shingles first), so the inverted index holds
-prefixes only. Two relations between sets then replace most of the comparing:
+prefixes only. Most sets need no index at all: too few of the shingles in a fixed part of the hash space
+occur anywhere else. Two relations between sets then replace most of the comparing:
 
 * Lists are cut into blocks of one hub and one band of positions. A block knows the range of its sizes
   and the most shingles that can still follow, so two blocks that cannot reach the overlap are skipped
@@ -35,18 +36,19 @@ from mapaudit.session import cut
 class JaccardConfig:
     words: int = 5
     percent: int = 80  # links have 100 * intersection >= percent * union
-    counted: float = 0.26  # part of the hash space whose shingles are counted for the order
-    ordered: int = 1 << 19  # most frequent shingles whose counts reach every task (12 bytes each)
+    counted: float = 0.27  # part of the hash space in which shared shingles are counted first
     band: int = 32  # positions in one index block
     broadcast_ids: int = 1_000_000  # id lists up to this many rows are broadcast
-
-    def prefix(self, n: np.ndarray) -> np.ndarray:
-        return n + (-self.percent * n) // 100 + 1
+    broadcast_shingles: int = 4_000_000  # and lists of shared shingles (8 bytes each)
 
     @property
     def cut_at(self) -> int:
         return int(self.counted * 2**64)
 
+    def spare(self, n: str) -> str:
+        """SQL: how many shingles of a set of ``n`` may be missing from another one that it links with."""
+        return f"cast(floor({100 - self.percent} * {n} / 100) as int)"
+
 
 DEFAULT = JaccardConfig()
 
@@ -80,108 +82,80 @@ def _first_of_task(seen: set, n: np.ndarray, one: np.ndarray, two: np.ndarray) -
 
 
 def signatures(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2`` of every row."""
+    """``doc_id, n_shingles, d1, d2`` of every row, and ``low``: its shingles in the counted part of the hash
+    space, where its task has not met the set before."""
 
     def run(batches):
+        seen: set = set()
         for batch, grams, row in _sets(batches, cfg):
             n, one, two = _digests(grams, row, batch.num_rows)
+            fresh = _first_of_task(seen, n, one, two)
+            keep = fresh[row] & (grams < U64(cfg.cut_at))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))])
+            low = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(grams[keep].view(np.int64)), mask=pa.array(~fresh))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                ["doc_id", "n_shingles", "d1", "d2"])
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), low],
+                ["doc_id", "n_shingles", "d1", "d2", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, low array<long>")
 
 
-def _counts(docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """``shingle, n``: in how many sets a shingle of the counted part occurs, two or more."""
+def _small(ids: DataFrame, most: int) -> DataFrame:
+    """A stored table, broadcast only when counted small."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
-    def run(batches):
-        seen: set = set()
-        for batch, grams, row in _sets(batches, cfg):
-            keep = _first_of_task(seen, *_digests(grams, row, batch.num_rows))[row] & (grams < U64(cfg.cut_at))
-            found, n = np.unique(grams[keep], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
-
-    return (docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "shingle long, n long")
-            .groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"))
-
-
-def _order(counts: DataFrame, cfg: JaccardConfig) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, at most ``cfg.ordered``, sorted, with their counts."""
-    step = F.floor(F.log2("n") * 4)
-    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("s")).count().collect()), reverse=True)
-    total, least = 0, None
-    for s, rows in sizes:
-        if (total := total + rows) > cfg.ordered:
-            break
-        least = s
-    if least is None:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    top = counts.where(step >= least).toPandas()
-    shingle = top["shingle"].to_numpy(np.int64).view(U64)
-    by = np.argsort(shingle)
-    return shingle[by], top["n"].to_numpy(np.int64)[by]
-
-
-def _entries(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], cfg: JaccardConfig) -> DataFrame:
-    """Index entries ``shingle, doc, n, pos, counted``: the prefix of every set that is the first of its task."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
 
-    def run(batches):
-        common, freq = shared.value
-        seen: set = set()
-        for batch, grams, row in _sets(batches, cfg):
-            n, one, two = _digests(grams, row, batch.num_rows)
-            keep = _first_of_task(seen, n, one, two)[row]
-            grams, row = grams[keep], row[keep]
-            level = np.zeros(len(grams), np.int64)
-            if len(common) and len(grams):
-                at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                level = np.where(common[at] == grams, freq[at], 0)
-            by = np.lexsort((grams, level, row))
-            grams, row = grams[by], row[by]
-            edges = row_edges(row, batch.num_rows)
-            pos = np.arange(len(grams)) - edges[row]
-            in_prefix = pos < cfg.prefix(n)[row]
-            grams, row, pos = grams[in_prefix], row[in_prefix], pos[in_prefix]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(n[row].astype(np.int32)),
-                 pa.array(pos.astype(np.int32)), pa.array(grams < U64(cfg.cut_at))],
-                ["shingle", "doc", "n", "pos", "counted"])
-
-    return (docs.select("doc_id", "text").where("doc_id is not null")
-            .mapInArrow(run, "shingle long, doc long, n int, pos int, counted boolean"))
+def _promising(marks: DataFrame, copies: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """``doc_id`` of the sets that may link with another one. A set that links misses few of its shingles in
+    the other one, so all but that many of its counted ones must occur in some other set."""
+    sets = marks.where("low is not null and doc_id is not null")
+    nodes = sets.join(_small(copies, cfg.broadcast_ids), sets["doc_id"] == copies["doc"], "left")
+    nodes = nodes.select("doc_id", F.coalesce("rep", "doc_id").alias("node"), F.explode("low").alias("shingle"))
+    shared = nodes.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("shingle")
+    shared = _small(cut(shared, "shared"), cfg.broadcast_shingles)
+    met = nodes.join(shared, "shingle").groupBy("doc_id").agg(F.count("*").alias("met"))
+    needed = F.size("low") - F.expr(cfg.spare("n_shingles"))
+    return sets.select("doc_id", needed.alias("needed")).join(met, "doc_id", "left").where("coalesce(met, 0) >= needed").select("doc_id").distinct()
 
 
 def _pick(docs: DataFrame, ids: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """Sets ``doc, n, grams`` of the rows whose id is listed; the list is broadcast only when counted small."""
-    ids = cut(ids.select(F.col("doc").alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= cfg.broadcast_ids
+    """Sets ``doc, n, mark, grams`` of the rows whose id is listed; ``mark`` tells texts of one id apart."""
 
     def run(batches):
         for batch, grams, row in _sets(batches, cfg):
-            edges = row_edges(row, batch.num_rows)
-            values = [grams[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(edges).astype(np.int32)), pa.array(values, pa.binary())],
-                ["doc", "n", "grams"])
+            n, one, _ = _digests(grams, row, batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(row_edges(row, batch.num_rows).astype(np.int32)), pa.array(grams.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), lists],
+                                             ["doc", "n", "mark", "grams"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return rows.mapInArrow(run, "doc long, n int, grams binary").where("n > 0")
+    rows = docs.select("doc_id", "text").join(_small(ids, cfg.broadcast_ids), "doc_id", "left_semi")
+    return rows.mapInArrow(run, "doc long, n int, mark long, grams array<long>").where("n > 0")
 
 
-def _overlaps(pairs: DataFrame, docs: DataFrame, cfg: JaccardConfig) -> DataFrame:
+def _entries(sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
+    """Index entries ``shingle, doc, n, pos``: each set's prefix in the order of rising document counts.
+    Shingles of one set only come first and make no entry, so many sets have none."""
+    grams = sets.select("doc", "n", "mark", F.explode("grams").alias("shingle"))
+    counts = grams.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    lists = (grams.join(counts, "shingle").groupBy("doc", "n", "mark")
+             .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common")))
+    alone = F.greatest(F.col("n") - F.size("common"), F.lit(0))
+    lists = lists.withColumn("alone", alone).withColumn("take", F.expr(f"{cfg.spare('n')} + 1 - alone")).where("take > 0")
+    return (lists.select("doc", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("take"))).alias("at", "entry"))
+            .select("entry.shingle", "doc", "n", (F.col("alone") + F.col("at")).alias("pos")))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
     """``a, b, na, nb, both`` for every pair (a, b) of ids, by comparing the whole sets."""
-    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
-    sets = cut(_pick(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))), cfg), "sets")
+    pairs = pairs.select("a", "b").distinct()
     sides = (pairs.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), "a")
              .join(sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb")), "b")
              .select("a", "b", "na", "nb", "ga", "gb"))
 
     def run(batches):
         for batch in batches:
-            both = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True))
-                    for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist())]
+            (x, xs), (y, ys) = ((np.asarray(c.flatten()), np.asarray(c.offsets) - c.offsets[0].as_py()) for c in (batch.column("ga"), batch.column("gb")))
+            both = [len(np.intersect1d(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], assume_unique=True)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(both, pa.int32())],
                                              ["a", "b", "na", "nb", "both"])
 
@@ -206,14 +180,13 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFra
     key = ["n_shingles", "d1", "d2"]
     full = marks.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    groups = classes.where("copies > 1").drop("copies")
-    copies = cut(full.join(groups, key).where("rep <> doc_id").select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
-
-    counts = cut(_counts(docs, cfg), "counts")
-    found = _entries(docs, _order(counts, cfg), cfg).join(counts.select("shingle", F.lit(True).alias("met")), "shingle", "left")
-    entries = (found.where("met or not counted").select("shingle", "doc", "n", "pos")
-               .join(copies, "doc", "left").select("shingle", F.coalesce("rep", "doc").alias("doc"), "n", "pos"))
-    entries = cut(entries, "entries")
+    groups = cut(classes.where("copies > 1").drop("copies"), "groups")
+    copies = full.where("low is not null").join(groups, key).where("rep <> doc_id")
+    copies = cut(copies.select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
+    chosen = _promising(marks, copies, cfg).join(copies, F.col("doc_id") == F.col("doc"), "left")
+    chosen = cut(chosen.select(F.coalesce("rep", "doc_id").alias("doc_id")).distinct(), "chosen")
+    sets = cut(_pick(docs, chosen, cfg), "sets")
+    entries = cut(_entries(sets, cfg), "entries")
 
     # Each set against the leader of its lists.
     leaders = (entries.groupBy("shingle").agg(F.min(F.struct("doc", "n", "pos")).alias("lead"), F.max("doc").alias("last"))
@@ -222,7 +195,7 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFra
             .where(_reach("least(n - pos, lead.n - lead.pos)", "n + lead.n", cfg))
             .select(F.col("doc").alias("a"), F.col("lead.doc").alias("b")))
     linked = _reach("both", "na + nb", cfg)
-    first = _overlaps(near, docs, cfg).where(linked)
+    first = _overlaps(near, sets, cfg).where(linked)
     labels = components(first)
 
     # Sets of one list in different components: hub against hub, block by block.
@@ -243,12 +216,12 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFra
             .where(f"100 * high1 >= {cfg.percent} * low2 and 100 * high2 >= {cfg.percent} * low1")
             .where(_reach("least(rest1, rest2)", "low1 + low2", cfg))
             .select(F.col("hub1").alias("a"), F.col("hub2").alias("b")))
-    hub_pairs = _overlaps(meet, docs, cfg)
+    hub_pairs = _overlaps(meet, sets, cfg)
     links = first.select("a", "b").unionByName(hub_pairs.where(linked).select("a", "b"))
     labels = components(links)
 
     # Members of hubs whose overlap leaves a link possible.
-    members = cut(placed.select("hub", "doc", "n", "out").distinct(), "members")
+    members = cut(placed.groupBy("hub", "doc", "n", "out").agg(F.max(F.col("n") - F.col("pos")).alias("rest")), "members")
     ranges = members.groupBy("hub").agg(F.min("n").alias("least_n"), F.max("out").alias("most_out"))
     sides = [ranges.select(F.col("hub").alias(x), F.col("least_n").alias(f"least_{x}"), F.col("most_out").alias(f"most_{x}")) for x in "ab"]
     names = [labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"]
@@ -257,16 +230,16 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFra
              .where(_reach("both + most_a + most_b", "least_a + least_b", cfg)))
     still = cut(still.select("a", "b", "both", "least_b", "most_b"), "still")
     if still.limit(1).count():
-        left = members.select(F.col("hub").alias("a"), F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("out").alias("ox"))
-        right = members.select(F.col("hub").alias("b"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("out").alias("oy"))
+        left = members.select(F.col("hub").alias("a"), F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("out").alias("ox"), F.col("rest").alias("rx"))
+        right = members.select(F.col("hub").alias("b"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("out").alias("oy"), F.col("rest").alias("ry"))
         more = (still.join(left, "a").where(_reach("both + ox + most_b", "nx + least_b", cfg)).join(right, "b")
-                .where(_reach("both + ox + oy", "nx + ny", cfg))
+                .where(_reach("least(both + ox + oy, rx, ry)", "nx + ny", cfg))
                 .where(f"100 * least(nx, ny) >= {cfg.percent} * greatest(nx, ny) and (x <> a or y <> b)")
                 .select(F.col("x").alias("a"), F.col("y").alias("b")))
-        links = links.unionByName(_overlaps(more, docs, cfg).where(linked).select("a", "b"))
+        links = links.unionByName(_overlaps(more, sets, cfg).where(linked).select("a", "b"))
         labels = components(links)
 
-    return (marks.join(groups, key, "left").withColumn("rep", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id"))
+    return (marks.drop("low").join(groups, key, "left").withColumn("rep", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("rep")), "doc_id"))
             .join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id")))
 
@@ -279,13 +252,9 @@ def keep_one(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFrame:
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
 
-    def small(ids: DataFrame, label: str) -> tuple[DataFrame, int]:
-        ids = cut(ids, label)
-        n = ids.count()
-        return (F.broadcast(ids) if n <= cfg.broadcast_ids else ids), n
-
-    gone, _ = small(gone, "gone")
-    again, repeated = small(again, "again")
+    gone, again = cut(gone, "gone"), cut(again, "again")
+    repeated = again.limit(1).count()
+    gone, again = _small(gone, cfg.broadcast_ids), _small(again, cfg.broadcast_ids)
     rest = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     if not repeated:
         return rest
