@@ -9,12 +9,16 @@ with the data. Every piece finds its place by its rank among the pieces of its l
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +30,31 @@ END_ID = 2
 #: Pieces of one length that are ranked in one go.
 RANK_ROWS = 50_000
 CACHE_WORDS = 1 << 19  # in each of two generations
-# Fixed value: the public pattern by which byte-level BPE files of this kind split a text.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts beyond these code points, or with a special token, go to the library whole.
-_PLAIN = regex.compile("[\t\n\r -~\xa1-ɏ]*")
+WORDS_A_LINE = 256
+#: Texts beyond these characters, or with a special token, go to the library whole.
+_PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
+
+
+def _characters(category: str) -> str:
+    """The plain characters of a Unicode category, for use in a class."""
+    return "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == category)
+
+
+def _split() -> re.Pattern:
+    """How byte-level BPE files of this kind split a text: contractions, then letters, digits or other marks
+    with at most one space before, then white space, of which the last one is left to a following word."""
+    letter, digit = _characters("L"), _characters("N")
+    return re.compile(rf" ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[{digit}]+| ?[^\s{letter}{digit}]+|\s+(?!\S)|\s+")
+
+
+_SPLIT = _split()
 
 
 class Tokens:
     """Token ids by the tokenizers library, asked once for each distinct word of a bounded table."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -46,7 +65,23 @@ class Tokens:
         self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words. Those of a space and letters are asked for in lines, which split back into them."""
+        out = {}
+        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        lines = [spaced[i : i + WORDS_A_LINE] for i in range(0, len(spaced), WORDS_A_LINE)]
+        for line, e in zip(lines, self.library.encode_batch(["".join(x) for x in lines], add_special_tokens=False)):
+            owner = np.array(e.word_ids)
+            if owner[-1] + 1 != len(line):
+                continue
+            ids, edges = array("I", e.ids).tobytes(), np.searchsorted(owner, np.arange(len(line) + 1)).tolist()
+            for word, a, b in zip(line, edges, edges[1:]):
+                out[word] = ids[4 * a : 4 * b]
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._ids(rest)))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -66,10 +101,9 @@ class Tokens:
             known = {w: self.older[w] for w in new if w in self.older}
             fresh = list(new - known.keys())
             self.words |= known
-            self.words.update(zip(fresh, self._ids(fresh)))
-        get = self.words.__getitem__
+            self.words.update(self._word_ids(fresh))
         for i, words in cut_up.items():
-            out[i] = b"".join(map(get, words))
+            out[i] = b"".join(itemgetter(*words)(self.words)) if len(words) > 1 else self.words[words[0]]
         return out
 
 
@@ -90,7 +124,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def run(batches):
         names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
-            for at, texts in _texts(batch):
+            for at, texts in _texts(batch, 1 << 20):
                 rows, parts = [], []
                 for i, ids in enumerate(load(path).encode(texts), at):
                     ids += np.uint32(end_id).tobytes()
