@@ -11,6 +11,7 @@ from mapaudit.llm.packing import best_fit
 from mapaudit.llm.quality_classifier import keep_good
 from mapaudit.llm.secret_scan import redact
 from mapaudit.llm.substring_dedup import remove_repeats
+from mapaudit.llm.text import small_batches
 from mapaudit.session import cut
 
 
@@ -20,26 +21,31 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling against the labelled good ones keeps."""
+    small_batches(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of linked ones."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; ``n_chars`` follows the text."""
+    small_batches(spark)
     return _measured(remove_repeats(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked; ``n_chars`` follows the text."""
+    small_batches(spark)
     return _measured(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences of 1024."""
+    small_batches(spark)
     return best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

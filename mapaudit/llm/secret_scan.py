@@ -185,7 +185,7 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]):
-    for batch, data, offsets in chunks(batches, limit=1 << 22):
+    for batch, data, offsets in chunks(batches, limit=1 << 20):
         yield batch, scanner(rules).spans(data, offsets)
 
 
