@@ -60,9 +60,11 @@ def tile_of(lat, lon, bbox: tuple[float, float, float, float], size: float = 0.0
 
 def merge_tiles(tile_nodes: DataFrame, key: str = "osm_id", order: str = "tile_no") -> DataFrame:
     """One row per node: the copy from the first tile. A combining aggregate, so any
-    number of copies of one node shrinks before the shuffle."""
-    rest = [c for c in tile_nodes.columns if c not in (key, order)]
-    first = F.min(F.struct(order, *rest)).alias("_first")
+    number of copies of one node shrinks before the shuffle. Copies of one tile are
+    ordered by their other columns, maps (which have no order) by their text."""
+    rest = [f for f in tile_nodes.schema.fields if f.name not in (key, order)]
+    by = [F.to_json(f.name) if "map" in f.dataType.simpleString() else F.col(f.name) for f in rest]
+    first = F.min_by(F.struct(order, *(f.name for f in rest)), F.struct(order, *by)).alias("_first")
     return tile_nodes.groupBy(key).agg(first).select(key, "_first.*").select(*tile_nodes.columns)
 
 

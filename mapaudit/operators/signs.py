@@ -139,8 +139,8 @@ def unique_signs(det: DataFrame, island_rows: int = 200_000, cfg: AuditConfig =
     small = numbered.where(F.col("_size") <= island_rows)
     tasks = numbered.count() // _PACK_ROWS + 1
     bucket = F.pmod(F.xxhash64(*_GROUP, "_pack"), F.lit(tasks)).alias("_bucket")
-    # a fixed partition count: the walk is work per row, so small data must not end up in one task
-    parts = min(tasks, int(det.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # the walk is work per row: as many partitions as the rows ask for, and small data not in one task
+    parts = max(tasks, int(det.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = small.select(*_COLUMNS, bucket).repartition(parts, "_bucket")
     signs = packed.groupBy("_bucket").applyInPandas(_walk_many, _SCHEMA)
     large = numbered.where(F.col("_size") > island_rows)

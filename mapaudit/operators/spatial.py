@@ -85,8 +85,11 @@ def _nearest_in_cell(points: DataFrame, cover: DataFrame, point_at, radius_m: fl
     so no pairs are emitted and nothing is shuffled after the join.
 
     Candidates are ranked by squared chord, three multiplications each; the
-    great-circle distance is computed for the winner only. Chords that differ by
-    no more than their rounding error are decided by distance, then key.
+    great-circle distance is computed for the winner only, unless chords are as
+    close as rounding allows: those are decided by distance, then key. A component
+    of a unit vector is off by less than 1e-15 and a difference of two by twice
+    that, so a squared chord c is off by less than 1e-14 * sqrt(c) + 2e-29. The
+    allowance is ten times that, with room for the distance's own relative error.
     """
     sx, sy, sz = unit_vector("s_lat", "s_lon")
     entry = F.struct(sx.alias("x"), sy.alias("y"), sz.alias("z"), "s_lat", "s_lon", "site")
@@ -106,12 +109,12 @@ def _nearest_in_cell(points: DataFrame, cover: DataFrame, point_at, radius_m: fl
     def away(s):
         return haversine_m(*map(F.col, point_at), s["s_lat"], s["s_lon"])
 
-    ranked = joined.withColumn("_chords", F.transform("_sites", chord)).withColumn("_order", F.sort_array("_chords"))
-    least, second = F.get("_order", F.lit(0)), F.get("_order", F.lit(1))
-    limit = least + F.sqrt(least) * 1e-15 + 1e-30
+    ranked = joined.withColumn("_chords", F.transform("_sites", chord)).withColumn("_least", F.array_min("_chords"))
+    least = F.col("_least")
+    limit = least + F.sqrt(least) * 1e-13 + least * 1e-12 + 1e-27
     first = F.get("_sites", (F.array_position("_chords", least) - 1).cast("int"))
-    rivals = F.filter("_sites", lambda s: chord(s) <= limit)
-    clear = second.isNull() | (second > limit)
+    rivals = F.filter("_sites", lambda s, i: F.get("_chords", i) <= limit)
+    clear = least.isNull() | (F.size(F.filter("_chords", lambda c: c <= limit)) == 1)
     if ties:
         level = F.array_min(F.transform(rivals, away))
         tied = F.filter(rivals, lambda s: away(s) == level)
@@ -160,7 +163,10 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
     limit = radius_m if radius_m is not None else _WHOLE_EARTH_M
     places = local.where(missed).select(
         F.col(point_at[0]).alias("p_lat"), F.col(point_at[1]).alias("p_lon")).distinct()
-    answers = _far(cut(places, "places"), cut(found_sites, "sites"), step, limit, ties, cfg)
+    places = cut(places, "places")
+    if not places.limit(1).count():
+        return local.select(*out)
+    answers = _far(places, cut(found_sites, "sites"), step, limit, ties, cfg)
     if answers is None:
         return local.select(*out)
     if fits_broadcast(answers.count(), cfg):
@@ -265,8 +271,10 @@ def nearest_of_many(anchors: DataFrame, crowd: DataFrame, key: str, anchor_key:
     close = cut(best.select(anchor_key, "_b.*"), "close")
     rest = anchors.join(close.select(anchor_key), anchor_key, "left_anti")
     places = rest.select(F.col(anchor_at[0]).alias("p_lat"), F.col(anchor_at[1]).alias("p_lon")).distinct()
-    answers = _far(cut(places, "places"), cut(sites(crowd, crowd_at, key), "sites"),
-                   start_m, _WHOLE_EARTH_M, False, cfg)
+    places = cut(places, "places")
+    answers = None
+    if places.limit(1).count():
+        answers = _far(places, cut(sites(crowd, crowd_at, key), "sites"), start_m, _WHOLE_EARTH_M, False, cfg)
     near = anchors.join(close, anchor_key)
     if answers is None:
         empty = [F.lit(None).cast(close.schema[c].dataType).alias(c) for c in close.columns if c != anchor_key]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapaudit.config import TARGET_CLASSES
+
 
 def class_counts(det: DataFrame) -> DataFrame:
     return det.groupBy("class_name").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "class_name")
@@ -80,8 +82,8 @@ def confidence_histogram(det: DataFrame, bins: int = 10) -> DataFrame:
         F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
-def detections_over_time(det: DataFrame, bins: int = 20) -> DataFrame:
-    """Counts per time bin and class, one column per class, zeros filled.
+def detections_over_time(det: DataFrame, bins: int = 20, classes=TARGET_CLASSES) -> DataFrame:
+    """Counts per time bin and given class, one column per class, zeros filled.
 
     Bins are equal parts of [min, max], closed on the right; the first also takes
     the minimum. Only bins with rows are listed.
@@ -94,7 +96,7 @@ def detections_over_time(det: DataFrame, bins: int = 20) -> DataFrame:
         F.lit(0))
     return (
         timed.withColumn("time_bin", F.greatest(F.lit(1), passed))
-        .groupBy("time_bin").pivot("class_name").agg(F.count(F.lit(1))).fillna(0)
+        .groupBy("time_bin").pivot("class_name", list(classes)).agg(F.count(F.lit(1))).fillna(0)
     )
 
 

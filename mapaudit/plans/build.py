@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.operators import marts, quality, staging
 from mapaudit.operators.audit import fct_map_audit
-from mapaudit.session import new_path
 
 
 def materialize(df: DataFrame, layer: str, name: str, warehouse: str) -> DataFrame:
@@ -20,10 +19,10 @@ def materialize(df: DataFrame, layer: str, name: str, warehouse: str) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def build_all(spark: SparkSession, raw: DataFrame, nodes: DataFrame, warehouse: str | None = None,
+def build_all(spark: SparkSession, raw: DataFrame, nodes: DataFrame, warehouse: str,
               cfg: AuditConfig = DEFAULT) -> dict[str, DataFrame]:
-    """Every model in dependency order. The fact is written once; marts and checks read it."""
-    warehouse = warehouse or new_path(spark, "warehouse")
+    """Every model in dependency order, under the folder ``warehouse``. The fact is written once; marts
+    and checks read it."""
     det = materialize(staging.stage_detections(staging.flatten_detections(raw)), "staging",
                       "stg_perception_data", warehouse)
     osm = materialize(staging.stage_nodes(nodes), "staging", "stg_osm_ground_truth", warehouse)

@@ -248,9 +248,9 @@ select case status when 'verified' then 'Verified' when 'new' then 'New Sign Det
 from compared"""),
     "export_detections": using("det", """
 select video_name, frame_number, printf('%.3f', timestamp_sec) as timestamp_sec, printf('%.2f', u) as u,
-  printf('%.2f', v) as v, printf('%.4f', confidence) as confidence, class_name,
+  printf('%.2f', v) as v, printf('%.4f', confidence) as confidence, coalesce(class_name, '') as class_name,
   coalesce(printf('%.6f', vehicle_lat), '') as vehicle_lat, coalesce(printf('%.6f', vehicle_lon), '') as vehicle_lon,
-  recording_timestamp from det where class_name is not null"""),
+  recording_timestamp from det"""),
     "export_filtered": using("det", """
 select detection_id, class_name, confidence from det where class_name = 'stop sign' and confidence >= 5e-1"""),
     "materialize": using("det", "select class_name, count(*) as count from det group by 1"),
@@ -442,8 +442,11 @@ select min(v) as min_v, max(v) as max_v, count(case when v > 720 then 1 end) as
   count(case when v <= 720 then 1 end) as above_horizon, min(frame_number) as first_frame,
   max(frame_number) as last_frame, string_agg(distinct class_name, ',' order by class_name) as classes from det"""),
     "run_metrics": using("det", f"""
-select count(*) as sent, {_n(_GOOD)} as acked, {_n('not (' + _GOOD + ')')} as failed, cast(0 as bigint) as pending,
-  round({_rate(_GOOD)}, 6) as success_rate_pct from det"""),
+select {_n(_GOOD)} as sent, {_n(_GOOD)} as acked, cast(0 as bigint) as failed, {_n('not (' + _GOOD + ')')} as rejected,
+  cast(0 as bigint) as pending, 1e2 as success_rate_pct from det"""),
+    "run_metrics_stream": using("det", f"""
+select {_n(_GOOD)} as sent, {_n(_GOOD)} as acked, cast(0 as bigint) as failed, {_n('not (' + _GOOD + ')')} as rejected,
+  cast(0 as bigint) as pending from det"""),
 
     "discrepancy_details": using("review", """
 select video_name, frame_number, recording_timestamp, detected_class, confidence, detected_lat, detected_lon, osm_class,

@@ -133,7 +133,7 @@ def _(spark, d):
 
 @query("gather_detection_files")
 def _(spark, d):
-    rows = det_files.gather_detections(spark, _det_csv(spark, d))
+    rows, _bad = det_files.gather_detections(spark, _det_csv(spark, d))
     return rows.groupBy("video_name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,7 +214,7 @@ def _(spark, d):
 @query("export_detections")
 def _(spark, d):
     report = _round_trip(spark, d, "export_det", lambda: det_files.detections_report(
-        inputs.detections(spark, d).where(F.col("class_name").isNotNull())))
+        inputs.detections(spark, d)))
     return report.fillna("").withColumn("frame_number", F.col("frame_number").cast("int"))
 
 
@@ -638,7 +638,23 @@ def _(spark, d):
     run = metrics.send_batch(rows.unionByName(failed), {"path": new_path(spark, "topic")}, fmt="json")
     return spark.range(1).select(
         F.lit(run.sent).alias("sent"), F.lit(run.acked).alias("acked"), F.lit(run.failed).alias("failed"),
-        F.lit(run.pending).alias("pending"), F.round(F.lit(run.success_rate_pct), 6).alias("success_rate_pct"))
+        F.lit(run.rejected).alias("rejected"), F.lit(run.pending).alias("pending"), F.round(F.lit(run.success_rate_pct), 6).alias("success_rate_pct"))
+
+
+@query("run_metrics_stream")
+def _(spark, d):
+    counter = metrics.StreamCounter()
+    spark.streams.addListener(counter)
+    try:
+        sent = jobs.csv_to_topic(spark, _det_csv(spark, d), det_files.OUTPUT, {"path": new_path(spark, "topic")},
+                                 new_path(spark, "cp"), fmt="json", once=True)
+        sent.awaitTermination()
+        run = counter.metrics(sent)
+    finally:
+        spark.streams.removeListener(counter)
+    return spark.range(1).select(
+        F.lit(run.sent).alias("sent"), F.lit(run.acked).alias("acked"), F.lit(run.failed).alias("failed"),
+        F.lit(run.rejected).alias("rejected"), F.lit(run.pending).alias("pending"))
 
 
 # ---- order, limit, union -----------------------------------------------------
@@ -847,9 +863,7 @@ def _(spark, d):
     def run(path: str) -> None:
         once = inputs.as_message_columns(_det_stream(spark, d)).withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
         twice = once.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-        unique = jobs.drop_repeats(twice, "60 days")
-        unique.writeStream.format("parquet").option("path", path).option(
-            "checkpointLocation", new_path(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+        jobs.drop_repeats(twice, path, new_path(spark, "cp"), once=True).awaitTermination()
 
     rows = spark.read.parquet(inputs.stored_files(spark, d, "dedup_stream", run))
     return rows.select("detection_id", "frame_number")
@@ -859,7 +873,7 @@ def _(spark, d):
 
 @query("build_all")
 def _(spark, d):
-    built = build_all(spark, inputs.raw_detections(spark, d), inputs.osm_nodes(spark, d))
+    built = build_all(spark, inputs.raw_detections(spark, d), inputs.osm_nodes(spark, d), new_path(spark, "warehouse"))
     return stats.row_counts({k: built[k] for k in
                              ("stg_perception_data", "stg_osm_ground_truth", "fct_map_audit",
                               "audit_summary_metrics", "discrepancy_details", "checks")})

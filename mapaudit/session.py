@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ _own_folder: dict[str, str] = {}
 
 
 def working_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set."""
+    """The shared folder the cluster names. Where none is set, a private one in local mode, where
+    driver and executors share it; elsewhere an error, as executors would each write to their own disk."""
     folder = spark.conf.get(_FOLDER_KEY, None) or spark.sparkContext.getConf().get(_FOLDER_KEY)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_FOLDER_KEY} to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folder:
             _own_folder[app] = tempfile.mkdtemp(prefix="mapaudit-")

@@ -105,9 +105,9 @@ def read_detections_csv(spark: SparkSession, paths, mode: str = "permissive",
     parts = [parse_rows(_csv(spark.read, list(names)).csv(files), list(names)) for names, files in groups.items()]
     rows = reduce(DataFrame.unionByName, parts)
     if mode == "failfast":
-        checked = F.when(F.col("reject_reason").isNotNull(), F.raise_error(F.concat(
-            F.lit("bad detection row: "), F.col("reject_reason"))).cast("int")).otherwise(F.col("frame_number"))
-        rows = rows.withColumn("frame_number", checked)
+        # a filter runs whichever columns are read
+        fail = F.raise_error(F.concat(F.lit("bad detection row: "), F.col("reject_reason"))).cast("boolean")
+        rows = rows.where(F.when(F.col("reject_reason").isNotNull(), fail).otherwise(F.lit(True)))
         return rows.select(*OUTPUT), rows.where(F.lit(False))
     good = rows.where(F.col("reject_reason").isNull()).select(*OUTPUT)
     return good, rows.where(F.col("reject_reason").isNotNull())
@@ -115,14 +115,23 @@ def read_detections_csv(spark: SparkSession, paths, mode: str = "permissive",
 
 def stream_detections_csv(spark: SparkSession, folder: str, layout: list[str], files_per_trigger: int = 1000) -> DataFrame:
     """Good rows of CSV files as they arrive in a folder; the layout is fixed per stream."""
+    return stream_rows_csv(spark, folder, layout, files_per_trigger).where(F.col("reject_reason").isNull()).select(*OUTPUT)
+
+
+def stream_rows_csv(spark: SparkSession, folder: str, layout: list[str], files_per_trigger: int = 1000) -> DataFrame:
+    """Good and rejected rows, the latter with their reason, of CSV files as they arrive; both are
+    counted in the query's observed metrics ``csv_rows``."""
     text = _csv(spark.readStream, layout).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
-    return parse_rows(text, layout).where(F.col("reject_reason").isNull()).select(*OUTPUT)
+    bad = F.col("reject_reason").isNotNull()
+    return parse_rows(text, layout).observe("csv_rows", F.count(F.lit(1)).alias("rows"), F.count(F.when(bad, 1)).alias("rejected"))
 
 
-def gather_detections(spark: SparkSession, folder: str, layout: list[str] | None = None) -> DataFrame:
-    """All per-video CSVs of a folder as one table. A file without a video column
-    gets its own name; unreadable files are skipped."""
-    reader_options = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true", "pathGlobFilter": "*.csv"}
+def gather_detections(spark: SparkSession, folder: str, layout: list[str] | None = None,
+                      skip_unreadable: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected) rows of all per-video CSVs of a folder. A file without a video
+    column gets its own name. An unreadable file fails the job unless ``skip_unreadable``."""
+    skip = str(skip_unreadable).lower()
+    reader_options = {"ignoreCorruptFiles": skip, "ignoreMissingFiles": skip, "pathGlobFilter": "*.csv"}
     if layout:
         groups = {tuple(layout): [folder]}
     else:
@@ -136,7 +145,7 @@ def gather_detections(spark: SparkSession, folder: str, layout: list[str] | None
         parts.append(rows.withColumn(
             "video_name", F.when(F.col("video_name") == "", name).otherwise(F.col("video_name"))))
     rows = reduce(DataFrame.unionByName, parts)
-    return rows.where(F.col("reject_reason").isNull()).select(*OUTPUT)
+    return rows.where(F.col("reject_reason").isNull()).select(*OUTPUT), rows.where(F.col("reject_reason").isNotNull())
 
 
 def enrich(df: DataFrame, vehicle_id: str = "vehicle-001", session_id: str | None = None,
@@ -169,7 +178,7 @@ def detections_report(det: DataFrame) -> DataFrame:
 
     return det.select(
         "video_name", "frame_number", fixed("timestamp_sec", 3), fixed("u", 2), fixed("v", 2), fixed("confidence", 4),
-        "class_name", fixed("vehicle_lat", 6), fixed("vehicle_lon", 6),
+        F.coalesce("class_name", F.lit("")).alias("class_name"), fixed("vehicle_lat", 6), fixed("vehicle_lon", 6),
         F.coalesce("recording_timestamp", F.lit("")).alias("recording_timestamp"))
 
 

@@ -41,10 +41,13 @@ SIGNALS_AND_STOPS = (
 )
 
 
-def read_nodes(spark: SparkSession, path) -> DataFrame:
-    """Every node as (osm_id, latitude, longitude, tags). A repeated key keeps its last value."""
+def read_nodes(spark: SparkSession, path, skip_unreadable: bool = False) -> DataFrame:
+    """Every node as (osm_id, latitude, longitude, tags). A repeated key keeps its last value.
+
+    An unreadable extract fails the job, as a shorter ground truth would pass for new
+    discoveries; with ``skip_unreadable`` it counts as empty."""
     nodes = (
-        spark.read.format("xml").option("rowTag", "node").option("ignoreCorruptFiles", "true")
+        spark.read.format("xml").option("rowTag", "node").option("ignoreCorruptFiles", str(skip_unreadable).lower())
         .schema(NODE_SCHEMA).load(path)
     )
     entries = F.coalesce(F.col("tag"), F.array().cast("array<struct<_k string, _v string>>"))

@@ -92,7 +92,22 @@ def status_counts(det: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return _start(writer, once)
 
 
-def drop_repeats(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First copy of each detection id; ids are remembered for ``delay`` of event time."""
+def drop_repeats(messages: DataFrame, table_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Stores the first copy of each detection id to arrive, however late it is.
+
+    A batch inserts the ids that earlier batches have not stored, under its own batch id, so a retry
+    replaces its own rows. No watermark decides, so no first copy is lost.
+    """
     rows = from_messages(messages) if "value" in messages.columns else messages
-    return rows.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["detection_id"])
+    schema = f"detection_id {rows.schema['detection_id'].dataType.simpleString()}, batch_id long"
+
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(["detection_id"])
+        if batch_id:
+            stored = spark.read.schema(schema).option("basePath", table_path).parquet(f"{table_path}/batch_id=*")
+            stored = stored.where(F.col("batch_id") < batch_id).select("detection_id")
+            fresh = fresh.join(stored, "detection_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+
+    return _start(rows.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint), once)

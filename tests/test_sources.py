@@ -58,7 +58,7 @@ def test_gather_names_videos_after_files(spark, tmp_path):
     (tmp_path / "clip 1.csv").write_text(GOOD)
     (tmp_path / "clip2.csv").write_text("video_name," + SHORT + "own.MP4,1,1.0,1,1,0.5,a\n")
     (tmp_path / "notes.txt").write_text("not a csv")
-    got = {(r.video_name, r["count"]) for r in d.gather_detections(spark, str(tmp_path)).groupBy("video_name").count().collect()}
+    got = {(r.video_name, r["count"]) for r in d.gather_detections(spark, str(tmp_path))[0].groupBy("video_name").count().collect()}
     assert got == {("clip 1", 3), ("own.MP4", 1)}
 
 
@@ -100,3 +100,13 @@ def test_nodes(spark, tmp_path):
 def test_file_without_nodes(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<?xml version="1.0"?>\n<osm version="0.6">\n  <note>none</note>\n</osm>')
     assert osm_xml.read_osm_nodes(spark, str(tmp_path / "a.xml")).count() == 0
+
+
+def test_strict_reader_fails_whatever_is_read(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.csv").write_text("frame_number,timestamp_sec,u,v,confidence,class_name\n1,2.5,1,2,0.5,stop sign\nx,2.5,1,2,0.5,stop sign\n")
+    good, _ = d.read_detections_csv(spark, str(tmp_path), mode="failfast")
+    for ask in (lambda: good.count(), lambda: good.select("class_name", "confidence").collect()):
+        with pytest.raises(Exception, match="bad detection row"):
+            ask()

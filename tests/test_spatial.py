@@ -182,3 +182,33 @@ def test_audit_is_the_same_on_every_path(spark, sf):
     assert answer(hot_rows=20, join_strategy="shuffle") == want
     assert answer(hot_rows=20, join_strategy="shuffle", pair_nodes=0) == want
     assert answer(pair_nodes=0, cell_sites=16) == want
+
+
+def test_exact_ties_on_every_path(spark):
+    """Detections midway between two nodes, east and west or north and south: both stay on every path."""
+    at = F.lit(40.0) + F.col("id") / 100.0
+    base = spark.range(0, 2000).select("id", at.alias("lat"), (F.lit(-79.0) + (F.col("id") % 97) / 50.0).alias("lon"))
+    step = 2.0 ** -12  # exact in binary, so both distances are equal
+    lat, lon = F.round(F.col("lat") * 4096) / 4096, F.round(F.col("lon") * 4096) / 4096
+    base = base.select("id", lat.alias("latitude"), lon.alias("longitude"))
+    nodes = base.select(F.col("id"), F.explode(F.array(F.lit(-step), F.lit(step))).alias("d"), "latitude", "longitude").select(
+        F.concat_ws("-", "id", F.col("d") > 0).alias("osm_id"), F.col("latitude").alias("osm_lat"), (F.col("longitude") + F.col("d")).alias("osm_lon"))
+    points = base.select(F.col("id"), "latitude", "longitude").cache()
+    counts = set()
+    for strategy in ("broadcast", "shuffle"):
+        for cell_sites in (16, 1024):
+            cfg = AuditConfig(join_strategy=strategy, cell_sites=cell_sites)
+            near = nearest(points, nodes, "osm_id", radius_m=100.0, ties=True, cfg=cfg)
+            counts.add((near.where("distance_m is not null").count(), near.select("id").distinct().count()))
+    pairs = radius_join(points, nodes, 100.0).groupBy("id").agg(F.min("distance_m").alias("m"))
+    all_tied = radius_join(points, nodes, 100.0).join(pairs, "id").where("distance_m = m").count()
+    assert counts == {(all_tied, 2000)} and all_tied >= 3900
+
+
+def test_merged_tiles_keep_their_tags(spark):
+    from mapaudit.operators.coverage import merge_tiles
+
+    rows = [("1", 2, 1.0, 2.0, {"name": "b"}), ("1", 1, 1.0, 2.0, {"name": "a", "crossing": "yes"}), ("2", 3, 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "osm_id string, tile_no int, latitude double, longitude double, tags map<string,string>")
+    got = {r.osm_id: (r.tile_no, r.tags) for r in merge_tiles(df).collect()}
+    assert got == {"1": (1, {"name": "a", "crossing": "yes"}), "2": (3, None)}

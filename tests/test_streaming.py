@@ -19,21 +19,24 @@ def _topic(spark, path):
 def test_csv_to_topic_goes_on_where_it_stopped(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     (tmp_path / "in").mkdir()
+    counter = metrics.StreamCounter()
+    spark.streams.addListener(counter)
     for name, frames in (("a.csv", (1, 2)), ("b.csv", (3, "x"))):
         (tmp_path / "in" / name).write_text(",".join(LAYOUT) + "\n" + "".join(LINE.format(f) for f in frames))
         query = jobs.csv_to_topic(spark, src, LAYOUT, {"path": out}, cp, fmt="json", once=True)
         query.awaitTermination()
     sent = messages.from_messages(_topic(spark, out)).collect()
     assert sorted(r.frame_number for r in sent) == [1, 2, 3] and len({r.detection_id for r in sent}) == 3
-    run = metrics.stream_metrics(query)
-    assert run.sent == 2 and run.success_rate_pct == 100.0
+    run = counter.metrics(query)
+    spark.streams.removeListener(counter)
+    assert (run.sent, run.acked, run.rejected, run.failed) == (1, 1, 1, 0) and run.success_rate_pct == 100.0
 
 
 def test_metrics_count_rejected_rows_and_never_divide_by_zero(spark, tmp_path):
     det = inputs.as_message_columns(inputs.detections(spark, "/root/testdata/sf0.001"))
     rows = det.withColumn("reject_reason", F.when(F.col("frame_number") == 0, "bad"))
     run = metrics.send_batch(rows, {"path": str(tmp_path / "t")}, fmt="json")
-    assert (run.sent, run.failed) == (1000, 2) and run.acked == _topic(spark, str(tmp_path / "t")).count()
+    assert (run.sent, run.rejected, run.failed) == (998, 2, 0) and run.acked == _topic(spark, str(tmp_path / "t")).count()
     empty = metrics.RunMetrics(0, 0, 0, 0.0)
     assert empty.success_rate_pct is None and empty.throughput is None and empty.pending == 0
 
@@ -58,3 +61,17 @@ def test_raw_keeps_topic_position(spark, tmp_path):
     jobs.topic_to_raw(stream, "detections", str(tmp_path / "raw"), str(tmp_path / "cp"), once=True).awaitTermination()
     raw = {int(r.kafka_offset): r for r in spark.read.parquet(str(tmp_path / "raw")).collect()}
     assert raw[17].kafka_partition == 3 and raw[5].record_content is None and raw[17].kafka_timestamp.year == 2026
+
+
+def test_late_first_copies_are_kept(spark, tmp_path):
+    """Five batches, one hours late, with repeats within and across batches."""
+    (tmp_path / "in").mkdir()
+    times = ["12:00", "12:10", "12:20", "09:00", "12:30"]
+    schema = "detection_id string, ingested_at timestamp"
+    for i, t in enumerate(times):
+        ids = [f"d{i}", f"d{i}", f"e{i}", "d0"]
+        (tmp_path / "in" / f"{i}.json").write_text("".join(f'{{"detection_id":"{x}","ingested_at":"2026-01-18 {t}:00"}}\n' for x in ids))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        jobs.drop_repeats(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = sorted(r.detection_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted([f"d{i}" for i in range(5)] + [f"e{i}" for i in range(5)])
