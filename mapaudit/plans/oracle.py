@@ -115,6 +115,8 @@ def using(tables: str, select: str) -> str:
 
 _DATE = "cast(try_strptime(recording_timestamp, '%d/%m/%Y %H:%M:%S') as date)"
 _GOOD = "event_id % 101 <> 0 and event_id % 103 <> 0"
+_TOPIC = f"""select 'vehicle-001' as vehicle_id, video_name, frame_number, u as pixel_u, v as pixel_v, confidence,
+  coalesce(class_name, '') as class_name, vehicle_lat, vehicle_lon from det where {_GOOD}"""
 _CSV_COLUMNS = """video_name, frame_number, timestamp_sec, u, v, confidence, coalesce(class_name, '') as class_name,
   vehicle_lat, vehicle_lon, recording_timestamp"""
 
@@ -214,10 +216,10 @@ select case when event_id % 101 = 0 then 'invalid frame_number' else 'invalid co
 select frame_number, (x1 + x2) / 2e0 as u, (y1 + y2) / 2e0 as v, confidence, class_name from boxes"""),
     "read_detections_strict": using("boxes", """
 select class_name, count(*) as n, cast(sum(frame_number) as bigint) as frames from boxes group by 1"""),
-    "gather_detection_files": using("det", f"select video_name, count(*) as n from det where {_GOOD} group by 1"),
+    "gather_detection_files": using("det", f"select {_CSV_COLUMNS} from det where {_GOOD}"),
     "enrich_detections": using("det", """
-select 'vehicle-7' as vehicle_id, 'session-9' as session_id, count(*) as n, count(*) as ids,
-  count(distinct video_name) as videos from det"""),
+select 'vehicle-7' as vehicle_id, 'session-9' as session_id, 64 as id_length, video_name, frame_number, u as pixel_u, v as pixel_v,
+  confidence, class_name, vehicle_lat, vehicle_lon, recording_timestamp from det"""),
     "detection_to_message": using("det", """
 select detection_id as key, 3 as n_headers, 'vehicle_id' as first_header, vehicle_id as first_value,
   11 + case when class_name is null then 0 else 1 end + case when vehicle_lat is null then 0 else 2 end as n_fields
@@ -514,17 +516,17 @@ union all select 'fct.no_future_dates', count(*) from fct10
 where try_strptime(recording_timestamp, '%d/%m/%Y %H:%M:%S') > timestamp '2024-01-25 00:00:00'"""),
 
     "stream_csv_to_topic": using("det", f"""
-select coalesce(class_name, '') as class_name, count(*) as n, cast(sum(frame_number) as bigint) as frames
-from det where {_GOOD} group by 1"""),
+{_TOPIC}"""),
     "stream_csv_topic_raw": using("det", f"""
 select video_name, frame_number, confidence, coalesce(class_name, '') as object_class, vehicle_lat as latitude
 from det where {_GOOD}"""),
     "batch_csv_to_topic": using("det", f"""
-select video_name, count(*) as n, count(distinct coalesce(class_name, '')) as classes from det where {_GOOD} group by 1"""),
+{_TOPIC}"""),
     "stream_topic_to_raw": using("det", """
 select detection_id, video_name, frame_number, class_name as object_class, vehicle_lat as latitude from det"""),
-    "stream_audit": using("fct", """
-select detected_class, audit_status, count(*) as n from fct group by 1, 2"""),
+    "stream_audit": _fact("fct"),
+    "build_all_facts": _fact("fct"),
+    "build_all_summary": _summary("fct"),
     "stream_status_counts": using("det", "select class_name, count(*) as count from det group by 1"),
     "stream_dedup": using("det", "select detection_id, frame_number from det"),
     "build_all": using("flagged fct review", f"""

@@ -134,15 +134,14 @@ def _(spark, d):
 @query("gather_detection_files")
 def _(spark, d):
     rows, _bad = det_files.gather_detections(spark, _det_csv(spark, d))
-    return rows.groupBy("video_name").agg(F.count(F.lit(1)).alias("n"))
+    return rows
 
 
 @query("enrich_detections")
 def _(spark, d):
     rows = det_files.enrich(inputs.detections(spark, d), "vehicle-7", "session-9", deterministic_id=True)
-    return rows.groupBy("vehicle_id", "session_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count("detection_id").alias("ids"),
-        F.count_distinct("video_name").alias("videos"))
+    return rows.select("vehicle_id", "session_id", F.length("detection_id").alias("id_length"), "video_name", "frame_number", "pixel_u",
+                       "pixel_v", "confidence", "class_name", "vehicle_lat", "vehicle_lon", "recording_timestamp")
 
 
 @query("detection_to_message")
@@ -790,6 +789,11 @@ def _det_stream(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, det, d, "det_stream", lambda p: by_video.write.parquet(p))
 
 
+def _topic_rows(topic: DataFrame) -> DataFrame:
+    return messages.from_messages(topic).select(
+        "vehicle_id", "video_name", "frame_number", "pixel_u", "pixel_v", "confidence", "class_name", "vehicle_lat", "vehicle_lon")
+
+
 @query("stream_csv_to_topic")
 def _(spark, d):
     def run(path: str) -> None:
@@ -797,8 +801,7 @@ def _(spark, d):
                           fmt="json", session_id="s", once=True).awaitTermination()
 
     topic = spark.read.schema("key string, value string").json(inputs.stored_files(spark, d, "topic_stream", run))
-    rows = messages.from_messages(topic)
-    return rows.groupBy("class_name").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_number").alias("frames"))
+    return _topic_rows(topic)
 
 
 @query("stream_csv_topic_raw")
@@ -822,8 +825,7 @@ def _(spark, d):
         jobs.batch_to_topic(det_files.enrich(good, deterministic_id=True), {"path": path}, fmt="json")
 
     topic = spark.read.schema("key string, value string").json(inputs.stored_files(spark, d, "topic_batch", run))
-    rows = messages.from_messages(topic)
-    return rows.groupBy("video_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_name").alias("classes"))
+    return _topic_rows(topic)
 
 
 @query("stream_topic_to_raw")
@@ -838,12 +840,19 @@ def _(spark, d):
 
 @query("stream_audit")
 def _(spark, d):
+    """The two detections of a frame come in different files and batches."""
+    det = inputs.detections(spark, d)
+
+    def split(path: str) -> None:
+        for k in (0, 1):
+            det.where(F.col("event_id") % 2 == k).coalesce(2).write.mode("append").parquet(path)
+
     def run(path: str) -> None:
-        jobs.stream_audit(jobs.stage_typed_stream(_det_stream(spark, d)), _staged(spark, d)[1], path,
+        jobs.stream_audit(jobs.stage_typed_stream(_stream(spark, det, d, "det_split", split)), _staged(spark, d)[1], path,
                           new_path(spark, "cp"), once=True).awaitTermination()
 
-    fct = spark.read.parquet(inputs.stored_files(spark, d, "fct_stream", run))
-    return fct.groupBy("detected_class", "audit_status").agg(F.count(F.lit(1)).alias("n"))
+    fct = jobs.current_facts(spark, inputs.stored_files(spark, d, "fct_stream", run))
+    return rounded(fct.drop("detection_location"), distance_meters=3)
 
 
 @query("stream_status_counts")
@@ -877,3 +886,17 @@ def _(spark, d):
     return stats.row_counts({k: built[k] for k in
                              ("stg_perception_data", "stg_osm_ground_truth", "fct_map_audit",
                               "audit_summary_metrics", "discrepancy_details", "checks")})
+
+
+@query("build_all_summary")
+def _(spark, d):
+    """The summary mart as the daily build stores it."""
+    built = build_all(spark, inputs.raw_detections(spark, d), inputs.osm_nodes(spark, d), new_path(spark, "warehouse"))
+    return rounded(built["audit_summary_metrics"], avg_confidence=6, avg_distance_meters=6, min_distance_meters=3, max_distance_meters=3)
+
+
+@query("build_all_facts")
+def _(spark, d):
+    """The fact table as the daily build stores it."""
+    built = build_all(spark, inputs.raw_detections(spark, d), inputs.osm_nodes(spark, d), new_path(spark, "warehouse"))
+    return rounded(built["fct_map_audit"].drop("detection_location"), distance_meters=3)

@@ -7,18 +7,23 @@ stops; the default keeps running. Progress lives in the query's checkpoint.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mapaudit.config import DEFAULT, AuditConfig
-from mapaudit.operators.audit import fct_map_audit
+from mapaudit.operators.audit import FRAME, fct_map_audit
 from mapaudit.operators.staging import flatten_detections, from_typed, stage_detections
 from mapaudit.sources.detections import enrich, stream_detections_csv
 from mapaudit.sources.messages import from_messages, to_messages, to_raw
 
 
+_VIDEO_PARTS = 64
+
+
 def _start(writer, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
@@ -63,19 +68,38 @@ def topic_to_raw(messages: DataFrame, topic: str, table_path: str, checkpoint: s
 
 def stream_audit(staged_source: DataFrame, staged_nodes: DataFrame, fact_path: str, checkpoint: str,
                  cfg: AuditConfig = DEFAULT, once: bool = False) -> StreamingQuery:
-    """Audits each micro-batch and writes it under its batch id.
+    """Audits the frames that each micro-batch touches, with all of their detections so far.
 
-    Writing to a folder per batch makes a retry replace its own rows. The rank is
-    per frame, so the source must deliver a frame's detections in one batch (one
-    file per video does).
+    The rank is per frame and a frame's detections may come in different batches, so the staged rows are
+    kept beside the facts, and a touched frame is audited again as a whole; ``current_facts`` reads the
+    latest audit of every frame. Both tables are written under the batch id, so a retry replaces its own
+    rows. Staged rows are stored in parts by video, and only the parts a batch touches are read again.
     """
     def audit(batch: DataFrame, batch_id: int) -> None:
-        fct_map_audit(batch, staged_nodes, cfg).write.mode("overwrite").parquet(f"{fact_path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("video_name"), F.lit(_VIDEO_PARTS)).cast("int")
+        batch.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{fact_path}/staged/batch_id={batch_id}")
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("part", T.IntegerType())])
+        stored = spark.read.schema(schema).option("basePath", f"{fact_path}/staged").parquet(f"{fact_path}/staged/batch_id=*")
+        own = stored.where(F.col("batch_id") == batch_id)
+        parts = [r.part for r in own.select("part").distinct().collect()]  # at most _VIDEO_PARTS numbers
+        touched = own.select(*(F.col(c).alias(f"_{c}") for c in FRAME)).distinct()
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FRAME))
+        so_far = stored.where((F.col("batch_id") <= batch_id) & F.col("part").isin(parts)).join(touched, same, "left_semi")
+        fct_map_audit(so_far.select(*batch.columns), staged_nodes, cfg).write.mode("overwrite").parquet(f"{fact_path}/facts/batch_id={batch_id}")
 
     writer = staged_source.writeStream.foreachBatch(audit).option("checkpointLocation", checkpoint)
     return _start(writer, once)
 
 
+def current_facts(spark: SparkSession, fact_path: str) -> DataFrame:
+    """The facts of ``stream_audit``: of every frame those of the last batch that touched it."""
+    facts = spark.read.parquet(f"{fact_path}/facts")
+    last = facts.groupBy(*(F.col(c).alias(f"_{c}") for c in FRAME)).agg(F.max("batch_id").alias("_last"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FRAME))
+    return facts.join(last, same & (F.col("batch_id") == F.col("_last")), "left_semi").drop("batch_id")
+
+
 def stage_typed_stream(det: DataFrame) -> DataFrame:
     return stage_detections(from_typed(det))
 

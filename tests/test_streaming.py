@@ -48,7 +48,7 @@ def test_stream_audit_equals_batch(spark, sf, tmp_path):
     jobs.stream_audit(jobs.stage_typed_stream(stream), osm, str(tmp_path / "fct"), str(tmp_path / "cp"), once=True).awaitTermination()
     want = fct_map_audit(stage_detections(from_typed(det)), osm)
     key = ["detection_id", "nearest_osm_node_id", "audit_status"]
-    got = spark.read.parquet(str(tmp_path / "fct")).select(*key)
+    got = jobs.current_facts(spark, str(tmp_path / "fct")).select(*key)
     assert got.count() == want.count() and got.exceptAll(want.select(*key)).isEmpty()
 
 
