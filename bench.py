@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -34,6 +35,7 @@ def session(cpus: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("mapaudit-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
 

@@ -537,3 +537,45 @@ union all select 'audit_summary_metrics', count(*) from (select distinct {_DATE}
 union all select 'discrepancy_details', count(*) from review
 union all select 'checks', 16"""),
 }
+
+# Signs by the sequential rule: step k looks at row k of every (video, class) and at the signs that are
+# still in reach.
+_SIGNS = """, numbered as (
+  select video_name, class_name, cast(frame_number as integer) as frame_number, u, v, detection_id,
+    row_number() over (partition by video_name, class_name order by frame_number, detection_id) as k
+  from det where class_name is not null),
+walk(video_name, class_name, frame_number, u, v, detection_id, k, is_sign, held) as (
+  select video_name, class_name, frame_number, u, v, detection_id, k, true, [{'f': frame_number, 'u': u, 'v': v}]
+  from numbered where k = 1
+  union all
+  select video_name, class_name, frame_number, u, v, detection_id, k, not covered,
+    case when covered then near else list_append(near, {'f': frame_number, 'u': u, 'v': v}) end
+  from (select *, len(list_filter(near, lambda s: abs(s.u - u) < 200 and abs(s.v - v) < 100)) > 0 as covered
+        from (select n.*, list_filter(w.held, lambda s: n.frame_number - s.f < 100) as near
+              from walk w join numbered n on w.video_name = n.video_name and w.class_name = n.class_name and n.k = w.k + 1) c) d),
+signs as (
+  select video_name, class_name, frame_number, u, v, detection_id from walk where is_sign
+  union all
+  select video_name, class_name, cast(frame_number as integer), u, v, detection_id from det where class_name is null)
+"""
+
+
+def _with_signs(select: str) -> str:
+    return using("det", _SIGNS + select).replace("with det", "with recursive det", 1)
+
+
+ORACLE["unique_signs"] = _with_signs("select * from signs")
+ORACLE["frames_per_sign"] = _with_signs("""
+select count(distinct frame_number) as frames_with_detections, max(frame_number) as last_frame,
+  count(*) as total_detections, max(timestamp_sec) as duration_sec, round(avg(confidence), 6) as avg_confidence,
+  min(confidence) as min_confidence, max(confidence) as max_confidence,
+  (select count(*) from signs) as unique_signs, round(count(*) * 1e0 / (select count(*) from signs), 6) as avg_frames_per_sign
+from det""")
+
+ORACLE["nearest_within_radius_ties"] = f"""
+with grid as (select event_id, (40 * 4096 + event_id % 81920) / 4096e0 as la, (-79 * 4096 + 8 * ((event_id * 37) % 5000)) / 4096e0 as lo from events),
+spots as (select distinct la as osm_lat, lo + side / 4096e0 as osm_lon from grid cross join (values (-1), (1)) s(side)),
+pairs as (select event_id, osm_lat, osm_lon, {hav('la', 'lo', 'osm_lat', 'osm_lon')} as m
+          from grid join spots on osm_lat between la - 1e-3 and la + 1e-3 and osm_lon between lo - 25e-4 and lo + 25e-4)
+select event_id, osm_lat, osm_lon, round(m, 3) as distance_m from pairs where m <= 100
+qualify m = min(m) over (partition by event_id)"""

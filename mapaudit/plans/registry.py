@@ -469,6 +469,18 @@ def _(spark, d):
                    distance_meters=3)
 
 
+@query("nearest_within_radius_ties")
+def _(spark, d):
+    """Detections midway between an east and a west node, on a grid whose steps are exact in binary."""
+    grid = spark.read.parquet(f"{d}/events.parquet").selectExpr(
+        "event_id", "(40 * 4096 + event_id % 81920) / 4096D as latitude", "(-79 * 4096 + 8 * ((event_id * 37) % 5000)) / 4096D as longitude")
+    sides = grid.withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    nodes = sides.select(F.concat_ws("-", "event_id", "side").alias("osm_id"), F.col("latitude").alias("osm_lat"),
+                         (F.col("longitude") + F.col("side") / 4096.0).alias("osm_lon"))
+    near = spatial.nearest(grid, nodes, "osm_id", radius_m=100.0, ties=True)
+    return rounded(near.select("event_id", F.col("s_lat").alias("osm_lat"), F.col("s_lon").alias("osm_lon"), "distance_m"), distance_m=3)
+
+
 @query("nearest_within_radius_per_detection")
 def _(spark, d):
     near = audit.nearest_within_radius(*_staged(spark, d), per="detection")
