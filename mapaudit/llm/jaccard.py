@@ -138,7 +138,7 @@ def _entries(sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
     grams = sets.select("doc", "n", "mark", F.explode("grams").alias("shingle"))
     counts = grams.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     lists = (grams.join(counts, "shingle").groupBy("doc", "n", "mark")
-             .agg(F.sort_array(F.array_distinct(F.collect_list(F.struct("df", "shingle")))).alias("common")))
+             .agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("common")))
     alone = F.greatest(F.col("n") - F.size("common"), F.lit(0))
     lists = lists.withColumn("alone", alone).withColumn("take", F.expr(f"{cfg.spare('n')} + 1 - alone")).where("take > 0")
     return (lists.select("doc", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("take"))).alias("at", "entry"))
