@@ -14,7 +14,8 @@ occur anywhere else. Two relations between sets then replace most of the compari
   only members that can still reach the threshold are compared (answer-level skipping). Sets that are
   already in one component are not compared at all.
 
-Equal sets collapse first and are never compared. No step pairs up all members of a list or group.
+Equal sets collapse first and are never compared. An id with several different texts is one node, but
+takes no hub, as the known part of one text says nothing about another. No step pairs up all members of a list or group.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapaudit.llm.components import components
@@ -72,7 +74,7 @@ def _digests(grams: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 
 def _first_of_task(seen: set, n: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """True for non-empty sets that this task has not met before."""
+    """True for sets of ``n`` > 0 that this task has not met before."""
     out = np.zeros(len(n), bool)
     for i, key in enumerate(zip(one.tolist(), two.tolist())):
         if n[i] and key not in seen:
@@ -83,13 +85,13 @@ def _first_of_task(seen: set, n: np.ndarray, one: np.ndarray, two: np.ndarray) -
 
 def signatures(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFrame:
     """``doc_id, n_shingles, d1, d2`` of every row, and ``low``: its shingles in the counted part of the hash
-    space, where its task has not met the set before."""
+    space, where its task has not met the set before (rows without doc_id do not count)."""
 
     def run(batches):
         seen: set = set()
         for batch, grams, row in _sets(batches, cfg):
             n, one, two = _digests(grams, row, batch.num_rows)
-            fresh = _first_of_task(seen, n, one, two)
+            fresh = _first_of_task(seen, n * pc.is_valid(batch.column("doc_id")).to_numpy(zero_copy_only=False), one, two)
             keep = fresh[row] & (grams < U64(cfg.cut_at))
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))])
             low = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(grams[keep].view(np.int64)), mask=pa.array(~fresh))
@@ -106,16 +108,20 @@ def _small(ids: DataFrame, most: int) -> DataFrame:
 
 
 def _promising(marks: DataFrame, copies: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """``doc_id`` of the sets that may link with another one. A set that links misses few of its shingles in
+    """``doc_id, d1`` of the sets that may link with another one. A set that links misses few of its shingles in
     the other one, so all but that many of its counted ones must occur in some other set."""
     sets = marks.where("low is not null and doc_id is not null")
-    nodes = sets.join(_small(copies, cfg.broadcast_ids), sets["doc_id"] == copies["doc"], "left")
+    nodes = sets.join(_small(copies, cfg.broadcast_ids), _copied(sets, copies), "left")
     nodes = nodes.select("doc_id", F.coalesce("rep", "doc_id").alias("node"), F.explode("low").alias("shingle"))
     shared = nodes.groupBy("shingle").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("shingle")
     shared = _small(cut(shared, "shared"), cfg.broadcast_shingles)
     met = nodes.join(shared, "shingle").groupBy("doc_id").agg(F.count("*").alias("met"))
     needed = F.size("low") - F.expr(cfg.spare("n_shingles"))
-    return sets.select("doc_id", needed.alias("needed")).join(met, "doc_id", "left").where("coalesce(met, 0) >= needed").select("doc_id").distinct()
+    return sets.select("doc_id", "d1", needed.alias("needed")).join(met, "doc_id", "left").where("coalesce(met, 0) >= needed").select("doc_id", "d1").distinct()
+
+
+def _copied(sets: DataFrame, copies: DataFrame) -> Column:
+    return (sets["doc_id"] == copies["doc"]) & (sets["d1"] == copies["mark"])
 
 
 def _pick(docs: DataFrame, ids: DataFrame, cfg: JaccardConfig) -> DataFrame:
@@ -182,8 +188,12 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFra
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     groups = cut(classes.where("copies > 1").drop("copies"), "groups")
     copies = full.where("low is not null").join(groups, key).where("rep <> doc_id")
-    copies = cut(copies.select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
-    chosen = _promising(marks, copies, cfg).join(copies, F.col("doc_id") == F.col("doc"), "left")
+    copies = cut(copies.select(F.col("doc_id").alias("doc"), F.col("d1").alias("mark"), "rep").distinct(), "copies")
+    several = cut(full.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x < y").select("doc_id"), "several")
+    same = full.join(_small(several, cfg.broadcast_ids), "doc_id").join(groups, key).where("rep <> doc_id")
+    same = cut(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
+    chosen = _promising(marks, copies, cfg)
+    chosen = chosen.join(copies, _copied(chosen, copies), "left")
     chosen = cut(chosen.select(F.coalesce("rep", "doc_id").alias("doc_id")).distinct(), "chosen")
     sets = cut(_pick(docs, chosen, cfg), "sets")
     entries = cut(_entries(sets, cfg), "entries")
@@ -196,13 +206,15 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFra
             .select(F.col("doc").alias("a"), F.col("lead.doc").alias("b")))
     linked = _reach("both", "na + nb", cfg)
     first = _overlaps(near, sets, cfg).where(linked)
-    labels = components(first)
+    found = first.select("a", "b").unionByName(same)
+    labels = components(found)
 
     # Sets of one list in different components: hub against hub, block by block.
     hubs = (first.groupBy(F.col("a").alias("doc"))
             .agg(F.max(F.struct((F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("like"),
                                 (-F.col("b")).alias("less"), (F.col("na") - F.col("both")).alias("out"))).alias("best"))
-            .select("doc", (-F.col("best.less")).alias("hub"), F.col("best.out").alias("out")))
+            .select("doc", (-F.col("best.less")).alias("hub"), F.col("best.out").alias("out"))
+            .join(several.withColumnRenamed("doc_id", "doc"), "doc", "left_anti"))
     placed = (entries.join(labels.select(F.col("node").alias("doc"), "label"), "doc", "left").join(hubs, "doc", "left")
               .select("shingle", "doc", "n", "pos", F.coalesce("label", "doc").alias("comp"),
                       F.coalesce("hub", "doc").alias("hub"), F.coalesce("out", F.lit(0)).alias("out")))
@@ -217,7 +229,7 @@ def jaccard_components(docs: DataFrame, cfg: JaccardConfig = DEFAULT) -> DataFra
             .where(_reach("least(rest1, rest2)", "low1 + low2", cfg))
             .select(F.col("hub1").alias("a"), F.col("hub2").alias("b")))
     hub_pairs = _overlaps(meet, sets, cfg)
-    links = first.select("a", "b").unionByName(hub_pairs.where(linked).select("a", "b"))
+    links = found.unionByName(hub_pairs.where(linked).select("a", "b"))
     labels = components(links)
 
     # Members of hubs whose overlap leaves a link possible.

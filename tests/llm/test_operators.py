@@ -327,6 +327,23 @@ def test_jaccard_chains(spark):
     assert collections.Counter(map(tuple, jaccard.jaccard_components(frame).collect())) == _components(made)
 
 
+def test_jaccard_shared_ids(spark):
+    """Ids with several texts, copies among them, and a row without id ahead of its copies."""
+    rng = random.Random(4)
+    vocabulary = [str(k) for k in range(5000)]
+    for _ in range(2):
+        texts = []
+        for _ in range(5):
+            words = rng.choices(vocabulary, k=120)
+            for _ in range(8):
+                texts.append(" ".join(words))
+                words[rng.randrange(120)] = rng.choice(vocabulary)
+        made = [(rng.choice([None, *range(25)]), rng.choice(texts), *[None] * 7) for _ in range(30)]
+        made = [(None, t, *[None] * 7) for t in texts[::5]] + [(100 + i, t, *[None] * 7) for i, t in enumerate(texts[::5] + texts[1::5])] + made
+        frame = spark.createDataFrame(made, SCHEMA).coalesce(1)
+        assert collections.Counter(map(tuple, jaccard.jaccard_components(frame).collect())) == _components(made)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
