@@ -3,8 +3,10 @@
 Each text becomes a vector of transformed statistics. For every (lang, source) the minimum covariance
 determinant estimate of mean and covariance is found by concentration: from medians and absolute
 deviations, the half of the rows with the smallest distance gives the next mean and covariance, and so
-on. Rows far away by the resulting Mahalanobis distance are rejected. All of it is DataFrame expressions;
-a step is two combining aggregates and a join with one small row per group.
+on. Rows far away by the resulting Mahalanobis distance are rejected. A (lang, source) of few rows is judged
+by the estimate over all rows of its language, and where those are few too, by that over all rows; every
+row that passes the base limits has a distance. All of it is DataFrame expressions; a step is two combining
+aggregates and a join with one small row per pool.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ class RuleConfig:
     core: float = 0.5  # part of a group that the estimate rests on
     steps: int = 4  # concentration steps
     cutoff: float = 45.0  # squared distance; about 4e-9 of clean normal rows lie beyond
-    least_rows: int = 50  # a smaller group rejects nothing by distance
+    least_rows: int = 50  # a smaller group is judged by the pool of its language, or of all rows
     broadcast_groups: int = 50_000
 
 
@@ -42,6 +44,7 @@ FEATURES = {
 }
 _P = len(FEATURES)
 _X = list(FEATURES)
+_KEY = ["g_level", "g_lang", "g_source"]  # level 0: a group, 1: a language, 2: all rows
 
 
 def _chi2(x: float, degrees: int) -> float:
@@ -92,7 +95,7 @@ def _repeated(x: Column, k: Column) -> Column:
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
-    return rows.join(F.broadcast(groups) if few else groups, ["g_lang", "g_source"])
+    return rows.join(F.broadcast(groups) if few else groups, _KEY)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -113,14 +116,37 @@ def _factor(groups: DataFrame) -> DataFrame:
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l{j}{j}"))
-    return groups.select("g_lang", "g_source", *(f"m{i}" for i in range(_P)), *(f"l{i}{j}" for i in range(_P) for j in range(i + 1)))
+    return groups.select(*_KEY, *(f"m{i}" for i in range(_P)), *(f"l{i}{j}" for i in range(_P) for j in range(i + 1)))
+
+
+def _pools(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """``g_lang, g_source, judge, pools`` of every group: the pool that judges it and those that its rows count in."""
+    def pool(level, lang, source):
+        return F.struct(F.lit(level).alias("g_level"), F.col("g_lang") if lang else F.lit("").alias("g_lang"),
+                        F.col("g_source") if source else F.lit("").alias("g_source"))
+
+    counts = cut(rows.groupBy("g_lang", "g_source").agg(F.count("*").alias("rows")), "counts")
+    small = F.col("rows") < cfg.least_rows
+    langs = cut(counts.groupBy("g_lang").agg(F.sum("rows").alias("lang_rows"), F.max(small).alias("asked")), "counts")
+    poor = F.col("lang_rows") < cfg.least_rows
+    all_asked = not langs.where(poor).isEmpty()
+    own, lang, every = pool(0, True, True), pool(1, True, False), pool(2, False, False)
+    few = langs.count() <= cfg.broadcast_groups
+    return counts.join(F.broadcast(langs) if few else langs, "g_lang").select(
+        "g_lang", "g_source", F.when(~small, own).when(~poor, lang).otherwise(every).alias("judge"),
+        F.filter(F.array(F.when(~small, own), F.when(F.col("asked") & ~poor, lang), every if all_asked else F.lit(None)),
+                 lambda p: p.isNotNull()).alias("pools"))
 
 
 def estimates(rows: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
-    """Mean ``m{i}`` and Cholesky factor ``l{i}{j}`` of every group of at least ``cfg.least_rows`` rows."""
-    key = ["g_lang", "g_source"]
-    middle = rows.groupBy(*key).agg(F.count("*").alias("rows"), *(F.percentile_approx(f"x_{x}", 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(_X)))
-    middle = cut(middle.where(F.col("rows") >= cfg.least_rows).drop("rows"), "groups")
+    """Mean ``m{i}`` and Cholesky factor ``l{i}{j}`` that judge each (g_lang, g_source): its own ones from
+    ``cfg.least_rows`` rows on, else those of its language from as many rows on, else those of all rows."""
+    key = _KEY
+    pools = cut(_pools(rows, cfg), "pools")
+    held = pools.select("g_lang", "g_source", "pools")
+    rows = rows.join(F.broadcast(held) if held.count() <= cfg.broadcast_groups else held, ["g_lang", "g_source"])
+    rows = rows.withColumn("pool", F.explode("pools")).select("pool.*", *(f"x_{x}" for x in _X))
+    middle = cut(rows.groupBy(*key).agg(*(F.percentile_approx(f"x_{x}", 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(_X))), "groups")
     few = middle.count() <= cfg.broadcast_groups
     spread = _with_groups(rows, middle, few).groupBy(*key).agg(
         *(F.percentile_approx(F.abs(F.col(f"x_{x}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(_X)))
@@ -138,14 +164,18 @@ def estimates(rows: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
             *(F.avg(f"x_{x}").alias(f"m{i}") for i, x in enumerate(_X)),
             *((F.covar_pop(f"x_{a}", f"x_{_X[j]}") * scale).alias(f"c{i}{j}") for i, a in enumerate(_X) for j in range(i + 1)))
         groups = cut(_factor(groups), "groups")
-    return groups
+    judged = pools.select("g_lang", "g_source", F.col("judge").alias("pool"))
+    found = groups.select(F.struct(*_KEY).alias("pool"), *(c for c in groups.columns if c not in _KEY))
+    return cut(judged.join(F.broadcast(found) if few else found, "pool").drop("pool"), "groups")
 
 
 def quality_rules(docs: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance``.
 
-    kept is false if base_failed, else whether the squared distance (null in a small group) is within the
-    cutoff. A null lang or source is a group of its own kind. Repeated rows and null ids stay.
+    kept is false if base_failed, else whether the squared distance is within the cutoff; distance is null
+    only if base_failed. A group of fewer than ``cfg.least_rows`` rows is judged by the pool of its language, or
+    of all rows (see ``estimates``). A null lang or source is a group of its own kind. Repeated rows and null
+    ids stay.
     """
     null = F.lit("\u0000")
     stats = statistics(docs, window=cfg.window)
@@ -159,6 +189,5 @@ def quality_rules(docs: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     few = groups.count() <= cfg.broadcast_groups
     rows = stats.select("*", *(F.when(~F.col("base_failed"), c).alias(f"x_{x}") for c, x in zip(shown, _X)))
     rows = rows.join(F.broadcast(groups) if few else groups, ["g_lang", "g_source"], "left")
-    near = F.coalesce(F.col("d2") <= cfg.cutoff, F.lit(True))
     return _distance(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                                  (~F.col("base_failed") & near).alias("kept"), F.sqrt("d2").alias("distance"))
+                                  (~F.col("base_failed") & F.coalesce(F.col("d2") <= cfg.cutoff, F.lit(False))).alias("kept"), F.sqrt("d2").alias("distance"))

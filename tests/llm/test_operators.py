@@ -249,6 +249,21 @@ def test_quality_rules_outliers(spark):
     assert np.allclose(got.distance.sort_index(), d, rtol=1e-3)
 
 
+def test_quality_rules_small_groups(spark):
+    """Sources of few rows are judged by their language, languages of few rows by all rows."""
+    rng = np.random.default_rng(8)
+    made = []
+    for i in range(240):
+        words = ["".join(rng.choice(list("abcde"), rng.integers(3, 9))) + str(i) + "q" * (k % 3) for k in range(rng.integers(60, 300))]
+        lang = "en" if i < 120 else "de" if i < 200 else f"l{i % 4}"
+        made.append((i, " ".join(w + ("***" if i % 40 == 0 else "") for w in words), lang, None if i % 9 == 0 else f"s{i % 30}"))
+    made.append((900, "few words", "zz", "z"))
+    got = quality_rules.quality_rules(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert len(got) == len(made) and (got.distance.isna() == got.base_failed).all()
+    good = got[~got.base_failed]
+    assert len(good) == 240 and not good.kept[good.index % 40 == 0].any() and good.kept[good.index % 40 != 0].all()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.3, (700, 16)).astype(np.float32)
