@@ -5,6 +5,10 @@ capitalised word, so a passage is found wherever it stands in a line. Each unit
 case, single spaces) and hashed. The earliest occurrence of a digest, by doc_id and then by place, stays;
 a run of later ones in a row with enough words is removed. Spans are offsets into the original text.
 
+Beside units, stretches of ``shingle`` tokens from anchor tokens on are looked up. An anchor has the smallest
+hash of some ``window`` neighbours (winnowing), so anchors inside a passage do not depend on what is around it,
+and at most ``3 * (window - 1)`` of its tokens, all at its two ends, escape, wherever it begins and ends.
+
 A task reports a digest once per chunk, with its earliest place there; what it has itself seen to be a
 repeat needs no comparing. So a line of very many documents meets itself once per chunk, not once per row.
 """
@@ -16,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +31,14 @@ from mapaudit.llm.text import LOWER, SPACE, U64, chunks, mix, row_edges, span_ha
 class DedupConfig:
     run_words: int = 25  # a run of repeated units is removed from so many words on
     unit_words: int = 3  # shorter units are not looked up; they join the repeats around them
+    window: int = 9  # of so many neighbours one is an anchor
+    shingle: int = 16  # tokens looked up from an anchor on; at least window
 
 
 DEFAULT = DedupConfig()
 _MOST_JOINED = 16  # short units joined to one, on average
 _LONG = 24  # words from which a unit is cut again
+_SHINGLE = 1 << 29  # added to the number of a shingle's first token, to tell it from a unit's number
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -81,6 +89,34 @@ def units(data: np.ndarray, offsets: np.ndarray, unit_words: int) -> Units:
     return Units(owner, index, starts[first], ends[after - 1], after - first, span_hashes(hashes, first, after))
 
 
+@dataclass
+class Tokens:
+    start: np.ndarray  # bytes
+    end: np.ndarray
+    row: np.ndarray
+    hashes: np.ndarray
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+    starts, ends, row = words(data, offsets)
+    return Tokens(starts, ends, row, span_hashes(LOWER[data], starts, ends) if len(starts) else np.zeros(0, U64))
+
+
+def _shingle_digests(t: Tokens, at: np.ndarray, cfg: DedupConfig) -> np.ndarray:
+    return mix(span_hashes(t.hashes, at, at + cfg.shingle) + U64(_SHINGLE))
+
+
+def anchors(t: Tokens, cfg: DedupConfig) -> np.ndarray:
+    """Tokens that a shingle begins with: the first smallest hash of every window inside a text."""
+    n = len(t.start)
+    if n < cfg.shingle:
+        return np.zeros(0, np.int64)
+    begin = np.flatnonzero(t.row[: n - cfg.window + 1] == t.row[cfg.window - 1 :])
+    at = np.unique(begin + np.lib.stride_tricks.sliding_window_view(t.hashes, cfg.window)[begin].argmin(axis=1))
+    at = at[at <= n - cfg.shingle]
+    return at[t.row[at] == t.row[at + cfg.shingle - 1]]
+
+
 def _reports(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
     """``key, doc_id, idx, digest, local``: each chunk's earliest place of a digest, and its later ones as
     local repeats under a key of their own."""
@@ -90,7 +126,12 @@ def _reports(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
             u = units(data, offsets, cfg.unit_words)
             long = u.size >= cfg.unit_words
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            doc, index, digest = ids[u.row[long]], u.index[long], u.digest[long]
+            t = tokens(data, offsets)
+            at = anchors(t, cfg)
+            place = at - row_edges(t.row, batch.num_rows)[t.row[at]] + _SHINGLE
+            doc = ids[np.concatenate([u.row[long], t.row[at]])]
+            index = np.concatenate([u.index[long], place])
+            digest = np.concatenate([u.digest[long], _shingle_digests(t, at, cfg)])
             by = np.lexsort((index, doc, digest))
             doc, index, digest = doc[by], index[by], digest[by]
             new = np.ones(len(by), bool)
@@ -106,31 +147,66 @@ def _reports(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
 
 
 def repeats(docs: DataFrame, cfg: DedupConfig = DEFAULT) -> DataFrame:
-    """``doc_id, marks``: the units of each text that repeat an earlier one, as array of (idx, digest)."""
+    """``doc_id, marks``: the units and shingles of each text that repeat an earlier one, as array of (idx, digest)."""
     order = Window.partitionBy("key").orderBy("doc_id", "idx")
     late = _reports(docs, cfg).withColumn("place", F.rank().over(order)).where("local or place > 1")
     return late.groupBy("doc_id").agg(F.collect_list(F.struct("idx", "digest")).alias("marks"))
 
 
-def _runs(u: Units, lo: int, hi: int, marks: list[dict], cfg: DedupConfig) -> list[tuple[int, int]]:
-    """First and last unit (positions in ``u``) of the runs to remove from one text."""
-    again = {(m["idx"], m["digest"]) for m in marks}
-    digest = u.digest.view(np.int64)
-    out, begin, last, count, since = [], None, 0, 0, 0
-    for k in range(lo, hi):
-        size = int(u.size[k])
-        if (k - lo, int(digest[k])) in again:
-            if begin is None:
-                begin, count, since = k, 0, 0
-            count, since, last = count + since + size, 0, k
-        elif size < cfg.unit_words and begin is not None:
-            since += size
-        elif begin is not None:
-            if count >= cfg.run_words:
-                out.append((begin, last))
-            begin = None
-    if begin is not None and count >= cfg.run_words:
-        out.append((begin, last))
+def _stretches(row: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the longest stretches of tokens of one text that are alike covered or not."""
+    fresh = np.ones(len(row) + 1, bool)
+    fresh[1:-1] = (row[1:] != row[:-1]) | (covered[1:] != covered[:-1])
+    edges = np.flatnonzero(fresh)
+    return edges[:-1], edges[1:]
+
+
+def _removed(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, idx: np.ndarray, digest: np.ndarray, cfg: DedupConfig) -> list[list[tuple[int, int]]]:
+    """The spans (bytes of each text) to remove. ``counts`` marks belong to each text, in order."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(counts))]
+    u, t = units(data, offsets, cfg.unit_words), tokens(data, offsets)
+    n = len(t.start)
+    if not n or not len(idx):
+        return out
+    owner = np.repeat(np.arange(len(counts)), counts)
+    idx, digest = idx.astype(np.int64), digest.view(U64)
+    edges, unit_edges = row_edges(t.row, len(counts)), row_edges(u.row, len(counts))
+    depth = np.zeros(n + 1, np.int64)
+    bounds = np.searchsorted(t.start, u.start), np.searchsorted(t.start, u.end)
+
+    whole = idx < _SHINGLE
+    unit = unit_edges[owner[whole]] + idx[whole]
+    real = unit < unit_edges[owner[whole] + 1]
+    unit, wanted = unit[real], digest[whole][real]
+    unit = unit[u.digest[unit] == wanted]
+    np.add.at(depth, bounds[0][unit], 1)
+    np.add.at(depth, bounds[1][unit], -1)
+
+    part = idx >= _SHINGLE
+    at = edges[owner[part]] + idx[part] - _SHINGLE
+    real = at + cfg.shingle <= edges[owner[part] + 1]
+    at, wanted = at[real], digest[part][real]
+    at = at[_shingle_digests(t, at, cfg) == wanted]
+    np.add.at(depth, at, 1)
+    np.add.at(depth, at + cfg.shingle, -1)
+    covered = np.cumsum(depth[:-1]) > 0
+
+    small = np.zeros(n + 1, np.int64)
+    short = u.size < cfg.unit_words
+    np.add.at(small, bounds[0][short], 1)
+    np.add.at(small, bounds[1][short], -1)
+    small = np.cumsum(small[:-1]) > 0
+    lo, hi = _stretches(t.row, covered)
+    gap = np.zeros(len(lo), bool)  # short units only, with repeats on both sides
+    gap[1:-1] = ~covered[lo[1:-1]] & (t.row[lo[:-2]] == t.row[lo[1:-1]]) & (t.row[lo[2:]] == t.row[lo[1:-1]])
+    gap &= np.logical_and.reduceat(small, lo)
+    for a, b in zip(lo[gap], hi[gap]):
+        covered[a:b] = True
+    lo, hi = _stretches(t.row, covered)
+    far = covered[lo] & (hi - lo >= cfg.run_words)
+    for a, b in zip(lo[far].tolist(), hi[far].tolist()):
+        row = int(t.row[a])
+        out[row].append((int(t.start[a] - offsets[row]), int(t.end[b - 1] - offsets[row])))
     return out
 
 
@@ -157,12 +233,11 @@ def _apply(docs: DataFrame, cfg: DedupConfig, schema: str, columns) -> DataFrame
 
     def run(batches):
         for batch, data, offsets in chunks(batches):
-            u = units(data, offsets, cfg.unit_words)
-            edges = row_edges(u.row, batch.num_rows)
-            removed = []
-            for i, found in enumerate(batch.column(name).to_pylist()):
-                runs = _runs(u, int(edges[i]), int(edges[i + 1]), found, cfg) if found else []
-                removed.append([(int(u.start[a] - offsets[i]), int(u.end[b] - offsets[i])) for a, b in runs])
+            found = batch.column(name)
+            counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+            pairs = found.flatten()
+            idx, digest = (pairs.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            removed = _removed(data, offsets, counts, idx, digest, cfg)
             yield columns(batch.drop_columns([name]), data, offsets, removed)
 
     return joined.mapInArrow(run, schema)

@@ -203,6 +203,25 @@ def test_substring_dedup(docs, empty, rows):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
+def test_substring_dedup_finds_every_long_passage(spark):
+    """Unpunctuated passages of 51 words inside longer lines of other words."""
+    rng, made, passages = random.Random(6), [], []
+
+    def plain(n):
+        return ["".join(rng.choices("abcdefghinorst", k=6)) for _ in range(n)]
+
+    for i in range(60):
+        passages.append(plain(51))
+        made += [(2 * i + k, " ".join(plain(rng.randrange(5, 60)) + passages[i] + plain(rng.randrange(5, 60)))) for k in range(2)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    cfg = substring_dedup.DEFAULT
+    for r in substring_dedup.removed_passages(frame).collect():
+        assert r.n_removed == r.doc_id % 2
+        if r.n_removed:
+            cut = made[r.doc_id][1][r.removed[0].start : r.removed[0].end]
+            assert cut in " ".join(passages[r.doc_id // 2]) and len(cut.split()) >= 51 - 3 * (cfg.window - 1)
+
+
 def _base(text: str) -> tuple[int, ...]:
     w = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
