@@ -8,6 +8,8 @@ a run of later ones in a row with enough words is removed. Spans are offsets int
 Beside units, stretches of ``shingle`` tokens from anchor tokens on are looked up. An anchor has the smallest
 hash of some ``window`` neighbours (winnowing), so anchors inside a passage do not depend on what is around it,
 and at most ``3 * (window - 1)`` of its tokens, all at its two ends, escape, wherever it begins and ends.
+A token is a word; in scripts without spaces it is a code point, and ``run_chars`` of them are enough words.
+A whole line of ``line_chars`` code points that repeats an earlier one is removed by itself.
 
 A task reports a digest once per chunk, with its earliest place there; what it has itself seen to be a
 repeat needs no comparing. So a line of very many documents meets itself once per chunk, not once per row.
@@ -24,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapaudit.llm.text import LOWER, SPACE, U64, chunks, mix, row_edges, span_hashes, words
+from mapaudit.llm.text import LOWER, SPACE, U64, chunks, code_points, mix, row_edges, rows_of, span_hashes, words
 
 
 @dataclass(frozen=True)
 class DedupConfig:
     run_words: int = 25  # a run of repeated units is removed from so many words on
+    run_chars: int = 100  # the same in code points of scripts without spaces; a mixed run counts both parts
+    line_chars: int = 100  # a repeated whole line is removed from so many code points on
     unit_words: int = 3  # shorter units are not looked up; they join the repeats around them
     window: int = 9  # of so many neighbours one is an anchor
     shingle: int = 16  # tokens looked up from an anchor on; at least window
@@ -39,6 +43,7 @@ DEFAULT = DedupConfig()
 _MOST_JOINED = 16  # short units joined to one, on average
 _LONG = 24  # words from which a unit is cut again
 _SHINGLE = 1 << 29  # added to the number of a shingle's first token, to tell it from a unit's number
+_LINE = 1 << 30  # the same for a line
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -95,11 +100,57 @@ class Tokens:
     end: np.ndarray
     row: np.ndarray
     hashes: np.ndarray
+    dense: np.ndarray  # a code point of a script without spaces
+
+
+#: First and last code points of scripts that put no space between words, with their marks.
+_DENSE = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+
+
+def _dense(data: np.ndarray) -> np.ndarray:
+    """Whether a code point of such a script begins at each byte."""
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero(data >= 0xE0)
+    wide = data[at] >= 0xF0
+    raw = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32)
+    b = [raw[at + k] & 0x3F for k in range(4)]
+    point = np.where(wide, (raw[at] & 7) << 18 | b[1] << 12 | b[2] << 6 | b[3], (raw[at] & 15) << 12 | b[1] << 6 | b[2])
+    for lo, hi in _DENSE:
+        out[at] |= (point >= lo) & (point <= hi)
+    return out
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     starts, ends, row = words(data, offsets)
-    return Tokens(starts, ends, row, span_hashes(LOWER[data], starts, ends) if len(starts) else np.zeros(0, U64))
+    dense = np.zeros(len(starts), bool)
+    if len(starts) and (data >= 0xE0).any():
+        begins = _dense(data)
+        point = np.flatnonzero((data & 0xC0) != 0x80)
+        after = np.zeros(len(data), bool)
+        after[point[1:]] = begins[point[:-1]]
+        cuts = np.flatnonzero((begins | after) & ~SPACE[data])
+        if len(cuts):
+            starts = np.union1d(starts, cuts)
+            bound = ends[np.searchsorted(ends, starts, "right")]
+            ends = np.minimum(np.append(starts[1:], len(data)), bound)
+            row, dense = rows_of(offsets, starts), begins[starts]
+    return Tokens(starts, ends, row, span_hashes(LOWER[data], starts, ends) if len(starts) else np.zeros(0, U64), dense)
+
+
+def _lines(data: np.ndarray, t: Tokens, cfg: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens, and the tokens after the last ones, of the lines that are long enough."""
+    if not len(t.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    line = np.concatenate([[0], np.cumsum(data == 10)])[t.start]
+    first = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (t.row[1:] != t.row[:-1])]))
+    after = np.append(first[1:], len(t.start))
+    points = code_points(data)
+    long = points[t.end[after - 1]] - points[t.start[first]] >= cfg.line_chars
+    return first[long], after[long]
+
+
+def _line_digests(t: Tokens, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mix(span_hashes(t.hashes, first, after) + U64(_LINE))
 
 
 def _shingle_digests(t: Tokens, at: np.ndarray, cfg: DedupConfig) -> np.ndarray:
@@ -128,10 +179,11 @@ def _reports(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             t = tokens(data, offsets)
             at = anchors(t, cfg)
-            place = at - row_edges(t.row, batch.num_rows)[t.row[at]] + _SHINGLE
-            doc = ids[np.concatenate([u.row[long], t.row[at]])]
-            index = np.concatenate([u.index[long], place])
-            digest = np.concatenate([u.digest[long], _shingle_digests(t, at, cfg)])
+            first, after = _lines(data, t, cfg)
+            edges = row_edges(t.row, batch.num_rows)
+            doc = ids[np.concatenate([u.row[long], t.row[at], t.row[first]])]
+            index = np.concatenate([u.index[long], at - edges[t.row[at]] + _SHINGLE, first - edges[t.row[first]] + _LINE])
+            digest = np.concatenate([u.digest[long], _shingle_digests(t, at, cfg), _line_digests(t, first, after)])
             by = np.lexsort((index, doc, digest))
             doc, index, digest = doc[by], index[by], digest[by]
             new = np.ones(len(by), bool)
@@ -147,7 +199,7 @@ def _reports(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
 
 
 def repeats(docs: DataFrame, cfg: DedupConfig = DEFAULT) -> DataFrame:
-    """``doc_id, marks``: the units and shingles of each text that repeat an earlier one, as array of (idx, digest)."""
+    """``doc_id, marks``: the units, shingles and lines of each text that repeat an earlier one, as array of (idx, digest)."""
     order = Window.partitionBy("key").orderBy("doc_id", "idx")
     late = _reports(docs, cfg).withColumn("place", F.rank().over(order)).where("local or place > 1")
     return late.groupBy("doc_id").agg(F.collect_list(F.struct("idx", "digest")).alias("marks"))
@@ -182,7 +234,19 @@ def _removed(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, idx: np.
     np.add.at(depth, bounds[0][unit], 1)
     np.add.at(depth, bounds[1][unit], -1)
 
-    part = idx >= _SHINGLE
+    line = idx >= _LINE
+    at = edges[owner[line]] + idx[line] - _LINE
+    first, after = _lines(data, t, cfg)
+    k = np.minimum(np.searchsorted(first, at), max(len(first) - 1, 0))
+    alone = np.zeros(n + 1, np.int64)
+    if len(first):
+        k = k[(first[k] == at) & (t.row[first[k]] == owner[line]) & (_line_digests(t, first, after)[k] == digest[line])]
+        np.add.at(alone, first[k], 1)
+        np.add.at(alone, after[k], -1)
+    depth += alone
+    alone = np.cumsum(alone[:-1]) > 0
+
+    part = (idx >= _SHINGLE) & ~line
     at = edges[owner[part]] + idx[part] - _SHINGLE
     real = at + cfg.shingle <= edges[owner[part] + 1]
     at, wanted = at[real], digest[part][real]
@@ -203,7 +267,11 @@ def _removed(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, idx: np.
     for a, b in zip(lo[gap], hi[gap]):
         covered[a:b] = True
     lo, hi = _stretches(t.row, covered)
-    far = covered[lo] & (hi - lo >= cfg.run_words)
+    weight = np.where(t.dense, cfg.run_words, cfg.run_chars)
+    far = covered[lo] & (np.add.reduceat(weight, lo) >= cfg.run_words * cfg.run_chars)
+    taken = np.repeat(far, hi - lo) | alone
+    lo, hi = _stretches(t.row, taken)
+    far = taken[lo]
     for a, b in zip(lo[far].tolist(), hi[far].tolist()):
         row = int(t.row[a])
         out[row].append((int(t.start[a] - offsets[row]), int(t.end[b - 1] - offsets[row])))

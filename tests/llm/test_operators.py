@@ -222,6 +222,25 @@ def test_substring_dedup_finds_every_long_passage(spark):
             assert cut in " ".join(passages[r.doc_id // 2]) and len(cut.split()) >= 51 - 3 * (cfg.window - 1)
 
 
+def test_substring_dedup_lines_and_unspaced_text(spark):
+    """A repeated line of 100 characters goes, one of 99 stays; passages of text without spaces are found inside lines."""
+    rng = random.Random(7)
+
+    def han(n):
+        return "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+
+    line, brief, passage = "abcdefghi " * 9 + "abcdefghij", "bcdefghij " * 9 + "bcdefghij", han(130)
+    block = han(100)
+    texts = [f"{han(9)} one\n{line}\ntwo", f"three\n{line}\nfour {han(9)}", f"five\n{brief}\nsix", f"seven\n{brief}\neight",
+             han(70) + passage + han(50), han(33) + passage + han(80), f"nine\n{block}\nten", f"{block}\neleven é日本 ſ", "日本" * 3, "日本" * 3]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in substring_dedup.removed_passages(frame).collect()}
+    assert got[1].text == texts[1].replace(line + "\n", "") and got[3].text == texts[3] and got[7].text == "eleven é日本 ſ"
+    assert all(got[i].n_removed == 0 for i in (0, 2, 3, 4, 6, 8, 9))
+    span, = got[5].removed
+    assert texts[5][span.start : span.end] in passage and span.end - span.start >= 130 - 3 * (substring_dedup.DEFAULT.window - 1)
+
+
 def _base(text: str) -> tuple[int, ...]:
     w = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
