@@ -4,12 +4,14 @@ All rules are compiled into a single minimal automaton that reads every byte onc
 chunk run side by side: a stretch begins after a byte that leads every state back to the first one (such
 bytes are read off the transition array; a line feed between texts is one), so a cut loses nothing. The
 pass yields, for each rule, the stretches that may hold a long enough match. Exact spans, leftmost and not
-overlapping, are then walked there with each rule's own automaton.
+overlapping, are then walked there with each rule's own automaton. What a rule's ``tail`` matches after a
+span belongs to it, over line ends too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,13 +33,29 @@ COUNTED = 8
 @dataclass(frozen=True)
 class Rule:
     """A match is the longest ``head`` and then the longest run of ``body`` bytes, one or more; it counts
-    when the run has ``least`` bytes. What the head may end with in part is not in ``body``."""
+    when the run has ``least`` bytes. What the head may end with in part is not in ``body``. ``tail``, a
+    regex over the bytes that follow, lengthens a match."""
 
     kind: str
     head: str
     body: str
     least: int
     either_case: bool = False  # in the head
+    tail: bytes = b""
+
+
+# A key block: header lines and base64 up to its END mark, in quotes, comments or with written-out line feeds too;
+# without that mark, the lines of base64 that follow.
+_MARK = r"([A-Z0-9]+ )*PRIVATE KEY( BLOCK)?"
+_LINE_FEED = rb"(?:\r\n?|\n|(?:\\r)?\\n)"
+_FIELD = rb"[A-Za-z][A-Za-z-]{0,30}: [^\r\n\\]*+"
+_BEFORE = rb"[ \t\"'`>#*|+]{0,16}"
+_BASE64 = rb"(?:[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]{0,15}[0-9+/][A-Za-z0-9+/]{0,15}={0,2}|[A-Za-z0-9+/]{1,15}={1,2}|=[A-Za-z0-9+/]{4})"
+_LINE_END = rb"(?=[ \t\"'`,;+]*+(?:" + _LINE_FEED + rb"|\Z))"
+_KEY_BLOCK = (
+    rb"(?:" + _FIELD + rb"|[A-Za-z0-9+/=\s\"'`,;>#*|\\]|-(?!-))*+-----END " + _MARK.encode() + rb"-{5}"
+    + rb"|(?:[ \t]+[A-Za-z0-9+/]{40,}+={0,2}|[ \t\"'`,;+]*" + _LINE_FEED + _BEFORE
+    + rb"(?:" + _FIELD + rb"|" + _BASE64 + _LINE_END + rb"|" + _LINE_END + rb"))++")
 
 
 # The three base rules, then the rules added to them.
@@ -46,7 +64,7 @@ RULES = (
     Rule("access", "AKIA", "[A-Z0-9]", 12),
     Rule("hex", "", "[0-9a-f]", 32),
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]", 36),
-    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "[\\-]", 5),
+    Rule("pem", f"-----BEGIN {_MARK}", "[\\-]", 5, tail=_KEY_BLOCK),
 )
 BASE = ("assign", "access", "hex")
 
@@ -61,6 +79,7 @@ class Scanner:
         self.heads = [compile_all([(r.head, r.either_case)]) if r.head else None for r in rules]
         self.bodies = [compile_all([(r.body, False)]) for r in rules]
         self.first = [self._first(h, b) for h, b in zip(self.heads, self.bodies)]
+        self.tails = [re.compile(r.tail) if r.tail else None for r in rules]
         self.run = [b.accept[b.move[0, b.kind]] > 0 for b in self.bodies]
 
     @staticmethod
@@ -173,7 +192,12 @@ class Scanner:
             shift, count = lo - int(base[row]), points[row]
             for rule in range(len(self.rules)):
                 if mask >> rule & 1:
-                    rows[row] += [(int(count[shift + a]), rule, int(count[shift + b])) for a, b in self.walk(text, rule)]
+                    for a, b in self.walk(text, rule):
+                        a, b = shift + a, shift + b
+                        if self.tails[rule]:
+                            more = self.tails[rule].match(memoryview(data[offsets[row] : offsets[row + 1]]), b)
+                            b = more.end() if more else b
+                        rows[row].append((int(count[a]), rule, int(count[b])))
         for found in rows:
             found.sort()
         return rows
