@@ -86,18 +86,30 @@ def detections_over_time(det: DataFrame, bins: int = 20, classes=TARGET_CLASSES)
     """Counts per time bin and given class, one column per class, zeros filled.
 
     Bins are equal parts of [min, max], closed on the right; the first also takes
-    the minimum. Only bins with rows are listed.
+    the minimum. Only bins with rows are listed. ``class_counts_over_time`` has the classes not given.
     """
+    return (
+        _time_bins(det, bins)
+        .groupBy("time_bin").pivot("class_name", list(classes)).agg(F.count(F.lit(1))).fillna(0)
+    )
+
+
+def class_counts_over_time(det: DataFrame, bins: int = 20) -> DataFrame:
+    """``time_bin, class_name, count`` of every class there is, in the bins of ``detections_over_time``.
+
+    Only pairs with rows are listed.
+    """
+    return _time_bins(det, bins).groupBy("time_bin", "class_name").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _time_bins(det: DataFrame, bins: int) -> DataFrame:
     span = det.agg(F.min("timestamp_sec").alias("lo"), F.max("timestamp_sec").alias("hi"))
     lo, step = span.select("lo").scalar(), span.select((F.col("hi") - F.col("lo")) / bins).scalar()
     timed = det.where(F.col("class_name").isNotNull()).withColumn("_lo", lo).withColumn("_step", step)
     passed = sum(
         (F.when(F.col("timestamp_sec") > F.col("_lo") + F.col("_step") * i, 1).otherwise(0) for i in range(bins)),
         F.lit(0))
-    return (
-        timed.withColumn("time_bin", F.greatest(F.lit(1), passed))
-        .groupBy("time_bin").pivot("class_name", list(classes)).agg(F.count(F.lit(1))).fillna(0)
-    )
+    return timed.withColumn("time_bin", F.greatest(F.lit(1), passed))
 
 
 def filter_detections(det: DataFrame, classes, min_conf: float) -> DataFrame:

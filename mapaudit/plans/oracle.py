@@ -429,6 +429,12 @@ from (select class_name, greatest(1, {_TIME_BIN}) as time_bin from (
   select d.*, s.lo, (s.hi - s.lo) / 20 as step from det d
   cross join (select min(timestamp_sec) as lo, max(timestamp_sec) as hi from det) s) t where class_name is not null) x
 group by 1"""),
+    "class_counts_over_time": using("det", f"""
+select time_bin, class_name, count(*) as count
+from (select class_name, greatest(1, {_TIME_BIN}) as time_bin from (
+  select d.*, s.lo, (s.hi - s.lo) / 20 as step from det d
+  cross join (select min(timestamp_sec) as lo, max(timestamp_sec) as hi from det) s) t where class_name is not null) x
+group by 1, 2"""),
     "comparison_counts": using("compared", "select status, count(*) as n from compared group by 1"),
     "window_class_conf": using("det", """
 select class_name, count(*) as count, round(avg(confidence), 6) as avg_confidence from det

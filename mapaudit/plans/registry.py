@@ -598,6 +598,11 @@ def _(spark, d):
     return stats.detections_over_time(inputs.detections(spark, d))
 
 
+@query("class_counts_over_time")
+def _(spark, d):
+    return stats.class_counts_over_time(inputs.detections(spark, d))
+
+
 @query("comparison_counts")
 def _(spark, d):
     return compare.comparison_counts(_compared(spark, d))
