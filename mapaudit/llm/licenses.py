@@ -39,22 +39,41 @@ SENTENCES: dict[str, list[str]] = {
                   "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
                   "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
                   "shall be included in all copies or substantial portions of the Software"],
+    "mit-grant-head": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+                       "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+                       "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+                       "persons to whom the Software is furnished to do so, subject to the following conditions"],
+    "mit-grant-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
                   "provided that the above copyright notice and this permission notice appear in all copies"],
     "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-                           "following conditions are met"],
+                           "following conditions are met",
+                           "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                           "following conditions are met: 1"],  # the number of the first clause
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
                    "disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd-name": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+                 "derived from this software without specific prior written permission"],
     "bsd-2": ["SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License"],
     "bsd-3": ["SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License"],
     "gpl-2": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2",
               "SPDX-License-Identifier: GPL-2.0-only"],
     "gpl-3": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3",
               "SPDX-License-Identifier: GPL-3.0-only"],
-    "gpl-3-later": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl-3-later": ["SPDX-License-Identifier: GPL-3.0-or-later",
+                    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                    "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl-notice": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+                   "Foundation"],
+    "lgpl-notice": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+                    "Software Foundation"],
+    "later-2": ["either version 2 of the License, or (at your option) any later version"],
+    "later-21": ["either version 2.1 of the License, or (at your option) any later version"],
+    "later-3": ["either version 3 of the License, or (at your option) any later version"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
-                     "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
+                     "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+                     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "lgpl-21": ["Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"],
     "agpl-3": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
     "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
@@ -80,12 +99,20 @@ RULES = (
     Rule("Apache-2.0", ("apache-2",)),
     Rule("MIT", ("mit", "mit-grant")),
     Rule("MIT", ("mit-grant",)),
+    Rule("MIT", ("mit", "mit-grant-head", "mit-grant-notice")),
+    Rule("MIT", ("mit-grant-head", "mit-grant-notice")),
     Rule("MIT", ("mit",)),
     Rule("ISC", ("isc-grant",)),
+    Rule("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-name")),
     Rule("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     Rule("BSD-2-Clause", ("bsd-2",)),
     Rule("BSD-3-Clause", ("bsd-3",)),
+    Rule("GPL-3.0-or-later", ("gpl-3-later", "gpl-warranty")),
     Rule("GPL-3.0-or-later", ("gpl-3-later",)),
+    Rule("GPL-3.0-or-later", ("gpl-notice", "later-3")),
+    Rule("GPL-2.0-or-later", ("gpl-notice", "later-2")),
+    Rule("LGPL-3.0-or-later", ("lgpl-notice", "later-3")),
+    Rule("LGPL-2.1-or-later", ("lgpl-notice", "later-21")),
     Rule("GPL-3.0", ("gpl-3", "gpl-warranty")),
     Rule("GPL-3.0", ("gpl-3",)),
     Rule("GPL-2.0", ("gpl-2", "gpl-warranty")),

@@ -74,6 +74,53 @@ def test_license_rules_take_the_longest_first(spark):
     assert row.licenses == "Apache-2.0,CC-BY-4.0" and row.sentences.startswith("apache-2,apache-may,apache-copy")
 
 
+def test_license_texts_in_standard_layout(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    name = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+    lgpl = gpl.replace("GNU General", "GNU Lesser General").replace("version 2 ", "version 2.1 ")
+    gpl3 = gpl.replace("software; you", "software: you").replace("Foundation; either version 2", "Foundation, either version 3")
+    want = {mit: "MIT", bsd: "BSD-2-Clause", bsd + name: "BSD-3-Clause", gpl: "GPL-2.0-or-later", lgpl: "LGPL-2.1-or-later", gpl3: "GPL-3.0-or-later"}
+    frame = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.licences(frame).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_bpe(docs, empty, rows):
     library = Tokenizer.from_file(WORD_BPE)
     want = collections.Counter()
