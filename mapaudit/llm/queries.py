@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapaudit.llm import bpe, jaccard, language_id, licenses, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, topk
+from mapaudit.llm import bpe, jaccard, language_id, licenses, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, topk
 from mapaudit.llm.text import small_batches
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -59,9 +59,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.repeated_strings(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_bpe, op3_quality_classifier, op4_secret_scan, op5_best_fit_packing, op6_substring_dedup,
-    op7_quality_rules, op8_exact_top_k, op9_language_id, op10_ngram_jaccard)}
+    op7_quality_rules, op8_exact_top_k, op9_language_id, op10_ngram_jaccard,
+    op11_suffix_dedup)}
 
 
 def _text(value: str) -> str:
