@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mapaudit.llm import bpe, jaccard, language_id, licenses, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, topk
+from mapaudit.llm import bpe, collocations, jaccard, language_id, licenses, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, topk
 from mapaudit.llm.text import small_batches
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,10 +63,19 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.repeated_strings(_table(spark, sf_dir, "documents")))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_periods(_table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_bpe, op3_quality_classifier, op4_secret_scan, op5_best_fit_packing, op6_substring_dedup,
     op7_quality_rules, op8_exact_top_k, op9_language_id, op10_ngram_jaccard,
-    op11_suffix_dedup)}
+    op11_suffix_dedup, op12_phrase_collocations, op13_periodic_runs)}
 
 
 def _text(value: str) -> str:
@@ -121,4 +130,33 @@ reach(x, y) as (select doc_id, doc_id from documents union select r.x, e.b from
 select s.doc_id, len(s.s) as n_shingles, m.component_id
 from sets s join (select x, min(y) as component_id from reach group by x) m on m.x = s.doc_id"""
 
-ORACLE = {"op1_license_scan": _license_sql(), "op8_exact_top_k": _TOP_K_SQL, "op10_ngram_jaccard": _JACCARD_SQL}
+_PHRASE_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                  '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from pieces),
+grams as (
+  select lang, unnest(ws) as phrase, 1 as size from w
+  union all select lang, unnest(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' '))), 2 from w
+  union all select lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))), 3 from w),
+f as (select lang, phrase, size, count(*) as a from grams group by all),
+n as (select lang, sum(a)::bigint as n from f where size = 1 group by lang),
+cuts as (
+  select c.lang, c.phrase, c.size, k, c.a, left(c.phrase, case k when 1 then instr(c.phrase, ' ') - 1 else length(c.phrase) - instr(reverse(c.phrase), ' ') end) as head
+  from f c, (values (1), (2)) as t(k) where c.a >= 10 and k < c.size),
+scored as (
+  select u.lang, u.phrase, u.size, u.k, u.a, x.a as l, y.a as r, (1000000::hugeint * u.a * u.a) // (x.a::hugeint * y.a) as score
+  from cuts u join f x on x.lang = u.lang and x.phrase = u.head and x.size = u.k
+  join f y on y.lang = u.lang and y.phrase = substr(u.phrase, length(u.head) + 2) and y.size = u.size - u.k),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase, size order by score, k) = 1),
+longer as (
+  select lang, phrase, max(a) as a from (
+    select lang, left(phrase, length(phrase) - instr(reverse(phrase), ' ')) as phrase, a from f where size = 3 and a >= 10
+    union all select lang, substr(phrase, instr(phrase, ' ') + 1), a from f where size = 3 and a >= 10) group by all),
+kept as (select c.* from lowest c left join longer x on x.lang = c.lang and x.phrase = c.phrase and c.size = 2
+         where x.a is null or 100 * x.a < 50 * c.a)
+select lang, (row_number() over (partition by lang order by score desc, a desc, phrase))::bigint as rank, phrase, a, l, r, n, score::bigint as score
+from kept join n using (lang) qualify rank <= 2000"""
+
+ORACLE = {"op1_license_scan": _license_sql(), "op8_exact_top_k": _TOP_K_SQL, "op10_ngram_jaccard": _JACCARD_SQL,
+          "op12_phrase_collocations": _PHRASE_SQL}
