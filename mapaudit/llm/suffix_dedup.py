@@ -193,13 +193,16 @@ class Reporter:
         zero = mixed[memory]
         self.held = inner[memory], np.where(zero, U64(0), outer[memory]), np.where(zero, 0, doc[memory]), np.where(zero, -1, mark[memory])
 
+        report = np.flatnonzero(report)
+        report = report[np.argsort(doc[report], kind="stable")]  # rows of one document compress together
+
         marks = mark[done] | np.where(first[done], _UNDECIDED, 0)
         who = doc[done]
         order = np.argsort(who, kind="stable")
         who, marks = who[order], marks[order]
         edge = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(who)).astype(np.int32)), pa.array(marks))
-        lists = pa.concat_arrays([pa.nulls(int(report.sum() + named.sum()), pa.list_(pa.int64())), lists])
+        lists = pa.concat_arrays([pa.nulls(int(len(report) + named.sum()), pa.list_(pa.int64())), lists])
         own = mix(who[edge].view(U64) + U64(len(marks)))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([inner[report], inner[named], own]).view(np.int64)),
@@ -314,7 +317,7 @@ def repeated_strings(docs: DataFrame, cfg: StringConfig = DEFAULT) -> DataFrame:
     marks = [_decided(_first_round(texts.select("id", "text").where(F.octet_length("text") >= cfg.length), cfg), "marks")]
     for single in (False, True):
         unsure = marks[-1].where(F.exists("marks", lambda m: m.bitwiseAND(F.lit(_UNDECIDED)) != 0))
-        joined = dealt.join(unsure, "id").select("id", "text", "marks")
+        joined = dealt.join(unsure, "id").select("id", "doc_id", "text", "marks")  # all columns: one shuffle serves every join
         marks.append(_decided(_next_round(joined, cfg, single), "marks"))
     names = [f"marks{k}" for k in range(3)]
     for name, found in zip(names, marks):
