@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapaudit.llm.text import LOWER, U64, mix, rows_of, runs, span_hashes, text_bytes
+from mapaudit.session import cut
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ NO_LANG = "und"
 BLOCK_WORDS = 1 << 20  # words that a task counts before it writes
 PART_BYTES = 1 << 20  # texts that are split into words at once
 PARTS_PER_TASK = 4
+BLOCK_ROWS = 1 << 10  # phrases in a block, so that a batch of blocks stays small
 _KIND = np.ones(256, np.uint8)
 _KIND[[0x20, 0x09]] = 0
 _CUT = np.zeros(256, bool)
@@ -179,7 +181,9 @@ def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
                 prefix, word, part, count = _add_up(prefix, word, parts)
                 edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
                 for a, b in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist()):
-                    out.append((int(part[a]), size, _block(prefix[a:b], word[a:b], count[a:b])))
+                    for k in range(a, b, BLOCK_ROWS):
+                        to = min(b, k + BLOCK_ROWS)
+                        out.append((int(part[a]), size, _block(prefix[k:to], word[k:to], count[k:to])))
             part, size, block = zip(*out) if out else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(block, pa.binary())], ["part", "size", "block"])
 
@@ -255,10 +259,12 @@ def collocations(docs: DataFrame, cfg: PhraseConfig = DEFAULT) -> DataFrame:
     A null lang counts as ``und``, null and empty texts hold no words, repeated rows count each, other columns are
     ignored, an empty table gives no rows. A text of any length is read in stretches that end at a separator.
     """
-    counts = word_counts(docs)
-    words = counts.where(F.col("f") >= cfg.least).select("id", "lang", "word", "f")
+    counts = cut(word_counts(docs).withColumn("often", F.col("f") >= cfg.least)
+                 .groupBy("often", "lang", F.when(F.col("often"), F.col("id")).alias("id"), F.when(F.col("often"), F.col("word")).alias("word"))
+                 .agg(F.sum("f").alias("f")), "words")
+    words = counts.where("often").select("id", "lang", "word", "f")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    found = phrase_counts(docs, cfg.least)
+    found = cut(phrase_counts(docs, cfg.least), "phrases")
     pairs = found.where("size = 2").select(F.col("prefix").alias("w1"), F.col("word").alias("w2"), "id", "a")
     triples = found.where("size = 3").select(F.col("prefix").alias("start"), F.col("word").alias("w3"), "a")
 

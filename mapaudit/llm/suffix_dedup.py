@@ -11,7 +11,7 @@ string alone, so equal strings meet at their anchors, one suffix in about thirty
 strings around it that can have it. The first round asks for all of them at once: a later anchor with the same
 surroundings repeats all its strings. Where a bucket holds different surroundings, the strings of its anchors are
 refined in ``PARTS`` groups of offsets, and where those differ too, one by one. That is exact up to the hashes, of
-which at least 128 bits enter every comparison.
+which 111 bits enter every comparison.
 
 Rounds read the texts from one shuffle by document. A task compares what it has read before it reports, and reports
 a bucket once, so a bucket that a third of all texts share sends about a row per task and no task collects it.
@@ -153,7 +153,7 @@ class Pointers:
         inner = self.identifier(at - low, at - high + size, 1) ^ kind
         start, stop = np.maximum(at - high, begin), np.minimum(at - low + size, end)
         cut = (at - start).astype(U64) * U64(1 << 16) + (stop - at).astype(U64)
-        outer = (mix(self.identifier(start, stop, 2) + cut) ^ kind) | U64(1)
+        outer = (mix(self.identifier(start, stop, 2) + cut) ^ kind) >> U64(16) | U64(1)
         return there, inner, outer
 
     def owns(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -205,14 +205,15 @@ class Reporter:
         lists = pa.concat_arrays([pa.nulls(int(len(report) + named.sum()), pa.list_(pa.int64())), lists])
         own = mix(who[edge].view(U64) + U64(len(marks)))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([inner[report], inner[named], own]).view(np.int64)),
-             pa.array(np.concatenate([outer[report], np.zeros(named.sum() + len(edge), U64)]).view(np.int64)),
-             pa.array(np.concatenate([doc[report], np.zeros(named.sum(), np.int64), who[edge]])),
-             pa.array(np.concatenate([mark[report], np.full(named.sum() + len(edge), -1)])), lists],
-            ["key", "outer", "id", "mark", "marks"])
+            [pa.array(np.concatenate([doc[report], np.zeros(named.sum(), np.int64), who[edge]])),
+             pa.array(np.concatenate([mark[report], np.full(named.sum() + len(edge), -1)])),
+             pa.array(np.concatenate([inner[report], inner[named], own]).view(np.int64)),
+             pa.array(np.concatenate([outer[report], np.zeros(named.sum() + len(edge), U64)]).view(np.int64)), lists],
+            ["id", "mark", "key", "outer", "marks"])
 
 
-_REPORT = "key long, outer long, id long, mark long, marks array<long>"
+#: What neighbouring rows share stands first, so that they compress.
+_REPORT = "id long, mark long, key long, outer long, marks array<long>"
 
 
 def _bounds(part: np.ndarray, cfg: StringConfig) -> tuple[np.ndarray, np.ndarray]:
