@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapaudit.llm import blocks
 from mapaudit.llm.text import LOWER, U64, mix, rows_of, runs, span_hashes, text_bytes
 from mapaudit.session import cut
 
@@ -35,10 +36,8 @@ class PhraseConfig:
 DEFAULT = PhraseConfig()
 SCALE = 1_000_000
 NO_LANG = "und"
-BLOCK_WORDS = 1 << 20  # words that a task counts before it writes
+BLOCK_WORDS = 3 << 18  # words that a task counts before it writes
 PART_BYTES = 1 << 20  # texts that are split into words at once
-PARTS_PER_TASK = 4
-BLOCK_ROWS = 1 << 10  # phrases in a block, so that a batch of blocks stays small
 _KIND = np.ones(256, np.uint8)
 _KIND[[0x20, 0x09]] = 0
 _CUT = np.zeros(256, bool)
@@ -96,36 +95,6 @@ class Words:
         return self.word[pair], self.word[pair + 1], _identifier(self.word[triple], self.word[triple + 1]), self.word[triple + 2]
 
 
-def _add_up(prefix: np.ndarray, word: np.ndarray, parts: np.uint64):
-    """(prefix, word, part, count) of the different rows, by part and prefix."""
-    key = _identifier(prefix, word)
-    by = np.argsort(key)
-    key = key[by]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(key)))
-    prefix, word, part = prefix[by[first]], word[by[first]], key[first] % parts
-    order = np.argsort(part << U64(48) | prefix >> U64(16))
-    return prefix[order], word[order], part[order], count[order]
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of numbers by significance, so that high bytes that are zero lie together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _block(prefix: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
-    steps = np.diff(prefix, prepend=U64(0))  # wraps where the order is not complete
-    return _planes(steps) + word.tobytes() + _planes(count.astype(np.uint32))
-
-
-def _unblock(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(block) // 20
-    raw = np.frombuffer(block, np.uint8)
-    steps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(U64).ravel()
-    count = np.ascontiguousarray(raw[16 * n :].reshape(4, n).T).view(np.uint32).ravel()
-    return np.cumsum(steps, dtype=U64), raw[8 * n : 16 * n].view(U64), count
-
-
 def _langs(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text")
 
@@ -167,73 +136,52 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def phrase_counts(docs: DataFrame, least: int) -> DataFrame:
     """``size, prefix, word, id, a`` of the pairs and triples that occur ``least`` times: the prefix's identifier (a pair's
     first word), the last word's, the whole phrase's, and the count."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = U64(tasks * PARTS_PER_TASK)
+    parts = U64(blocks.part_count(docs.sparkSession))
 
     def write(batches):
         held: list[tuple] = []
         n = 0
 
         def flush():
-            out = []
             for size in (2, 3):
                 prefix, word = (np.concatenate([h[2 * size - 4 + k] for h in held]) for k in range(2))
-                prefix, word, part, count = _add_up(prefix, word, parts)
-                edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-                for a, b in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist()):
-                    for k in range(a, b, BLOCK_ROWS):
-                        to = min(b, k + BLOCK_ROWS)
-                        out.append((int(part[a]), size, _block(prefix[k:to], word[k:to], count[k:to])))
-            part, size, block = zip(*out) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(block, pa.binary())], ["part", "size", "block"])
+                key = _identifier(prefix, word)
+                by = np.argsort(key)
+                key = key[by]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(key)))
+                prefix, word, part = prefix[by[first]], word[by[first]], (key[first] % parts).astype(np.int64)
+                by = np.lexsort((prefix, part))
+                yield blocks.write(part[by], size, [prefix[by], word[by], count[by]])
 
         for lang, data, offsets in _texts(batches):
             w = Words(lang, data, offsets)
             held.append(w.phrases())
             n += len(w.word)
             if n > BLOCK_WORDS:
-                yield flush()
+                yield from flush()
                 held, n = [], 0
         if held:
-            yield flush()
+            yield from flush()
+
+    def add(columns):
+        prefix, word, count = columns
+        by = np.lexsort((word, prefix))  # merges the sorted stretches
+        prefix, word = prefix[by], word[by]
+        first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])]))
+        return [prefix[first], word[first], np.add.reduceat(count[by], first)]
 
     def read(batches):
-        for batch in batches:
-            sizes = batch.column("size").to_pylist()
-            for size, block in zip(sizes, batch.column("block").to_pylist()):
-                prefix, word, count = _unblock(block)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(prefix), size, np.int32)), pa.array(prefix.view(np.int64)), pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))],
-                    ["size", "prefix", "word", "a"])
-
-    def add(batches):
-        rest = None  # the last phrase so far, whose count may go on
-
-        def result(size, prefix, word, count):
+        for size, columns in blocks.read(batches, {2: 3, 3: 3}, add):
+            prefix, word, count = add(columns)
             often = count >= least
-            prefix, word = prefix[often], word[often]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(size[often]), pa.array(prefix), pa.array(word), pa.array(_identifier(prefix.view(U64), word.view(U64)).view(np.int64)), pa.array(count[often])],
+            prefix, word, count = prefix[often], word[often], count[often]
+            key = _identifier(prefix, word)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(prefix), size, np.int32)), *(pa.array(x.view(np.int64)) for x in (prefix, word, key, count))],
                 ["size", "prefix", "word", "id", "a"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns)]
-            size, prefix, word, count = columns
-            fresh = (size[1:] != size[:-1]) | (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1])
-            first = np.flatnonzero(np.concatenate([[True], fresh]))
-            total = np.add.reduceat(count, first)
-            rest = [x[first[-1:]] for x in (size, prefix, word)] + [total[-1:]]
-            yield result(size[first[:-1]], prefix[first[:-1]], word[first[:-1]], total[:-1])
-        if rest is not None:
-            yield result(*rest)
-
-    blocks = _langs(docs).mapInArrow(write, "part int, size int, block binary").repartition("part")
-    rows = blocks.select("size", "block").mapInArrow(read, "size int, prefix long, word long, a long")
-    return rows.sortWithinPartitions("size", "prefix", "word").mapInArrow(add, "size int, prefix long, word long, id long, a long")
+    return blocks.deal(_langs(docs).mapInArrow(write, blocks.SCHEMA)).mapInArrow(read, "size int, prefix long, word long, id long, a long")
 
 
 def _exact(c: str) -> Column:

@@ -26,9 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mapaudit.llm import blocks
 from mapaudit.llm.text import U64, chunks, mix
 
 
@@ -46,6 +47,7 @@ class StringConfig:
 DEFAULT = StringConfig()
 CHUNK_BYTES = 1 << 20
 HELD_ROWS = 1 << 15  # reported buckets that a task remembers
+REPORT_ROWS = 1 << 18  # rows that it gathers before it writes them
 PARTS = 8
 _LAST_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -164,56 +166,65 @@ class Pointers:
 
 
 class Reporter:
-    """Compares the groups of a task's pieces with each other; only what it can't decide is reported."""
+    """Compares the groups of a task's pieces with each other; only what it can't decide is reported, in blocks dealt by
+    bucket."""
 
-    def __init__(self):
+    def __init__(self, parts: int):
+        self.parts = U64(parts)
         self.held = tuple(np.zeros(0, d) for d in (U64, U64, np.int64, np.int64))
+        self.open: list[tuple] = []
+        self.done: list[tuple] = []
+        self.rows = 0
 
-    def rows(self, doc: np.ndarray, mark: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> pa.RecordBatch:
+    def add(self, doc: np.ndarray, mark: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> Iterator[pa.RecordBatch]:
         old = len(self.held[0])
         inner, outer, doc, mark = (np.concatenate(x) for x in zip(self.held, (inner, outer, doc, mark)))
         by = np.lexsort((mark, doc, outer, inner))
         inner, outer, doc, mark, held = inner[by], outer[by], doc[by], mark[by], (np.arange(len(by)) < old)[by]
-        n = len(by)
-        bucket, alike = np.ones(n, bool), np.ones(n, bool)
-        bucket[1:] = inner[1:] != inner[:-1]
-        alike[1:] = bucket[1:] | (outer[1:] != outer[:-1])
-        lead = np.maximum.accumulate(np.where(alike, np.arange(n), 0))
-        first = (doc == doc[lead]) & (mark == mark[lead])  # rows of one place are all first
-        number = np.cumsum(bucket) - 1
-        mixed = (np.bincount(number, alike) > 1)[number]
+        bucket, alike, first, mixed, number = _compared(inner, outer, doc, mark)
         known = (np.bincount(number, held & (outer == 0)) > 0)[number]
         fresh = ~held & (outer != 0)
         done = fresh & (mixed | ~first)
         report = fresh & ~done
-        named = mixed & ~known & bucket
+        named = np.flatnonzero(mixed & ~known & bucket)  # one row without a place tells that a bucket is mixed
         several = (np.bincount(number) > 1)[number]
-        keep = (bucket & mixed) | (several & ~mixed & alike)
-        memory = np.flatnonzero(keep)[-HELD_ROWS:]
+        memory = np.flatnonzero((bucket & mixed) | (several & ~mixed & alike))[-HELD_ROWS:]
         zero = mixed[memory]
         self.held = inner[memory], np.where(zero, U64(0), outer[memory]), np.where(zero, 0, doc[memory]), np.where(zero, -1, mark[memory])
 
-        report = np.flatnonzero(report)
-        report = report[np.argsort(doc[report], kind="stable")]  # rows of one document compress together
-
-        marks = mark[done] | np.where(first[done], _UNDECIDED, 0)
-        who = doc[done]
-        order = np.argsort(who, kind="stable")
-        who, marks = who[order], marks[order]
-        edge = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(who)).astype(np.int32)), pa.array(marks))
-        lists = pa.concat_arrays([pa.nulls(int(len(report) + named.sum()), pa.list_(pa.int64())), lists])
-        own = mix(who[edge].view(U64) + U64(len(marks)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([doc[report], np.zeros(named.sum(), np.int64), who[edge]])),
-             pa.array(np.concatenate([mark[report], np.full(named.sum() + len(edge), -1)])),
-             pa.array(np.concatenate([inner[report], inner[named], own]).view(np.int64)),
-             pa.array(np.concatenate([outer[report], np.zeros(named.sum() + len(edge), U64)]).view(np.int64)), lists],
-            ["id", "mark", "key", "outer", "marks"])
-
-
-#: What neighbouring rows share stands first, so that they compress.
-_REPORT = "id long, mark long, key long, outer long, marks array<long>"
+        self.done.append((doc[done], mark[done] | np.where(first[done], _UNDECIDED, 0)))
+        self.open.append((inner[report], outer[report], doc[report], mark[report]))
+        none = np.zeros(len(named), np.int64)
+        self.open.append((inner[named], none.view(U64), none, none - 1))
+        self.rows += len(by) - old
+        if self.rows > REPORT_ROWS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        inner, outer, doc, mark = (np.concatenate(x) for x in zip(*self.open)) if self.open else self.held
+        part = (mix(inner) % self.parts).astype(np.int64)
+        by = np.lexsort((mark, doc, part))  # places in order are small differences
+        yield blocks.write(part[by], _OPEN, [x[by] for x in (doc, mark >> 32, mark & 0xFFFFFFFF, inner, outer)])
+        doc, mark = (np.concatenate(x) for x in zip(*self.done)) if self.done else self.held[2:]
+        part = (mix(doc.view(U64)) % self.parts).astype(np.int64)
+        by = np.lexsort((mark, doc, part))
+        yield blocks.write(part[by], _DONE, [x[by] for x in (doc, mark >> 32, mark & 0xFFFFFFFF)])
+        self.open, self.done, self.rows = [], [], 0
+
+
+def _compared(inner: np.ndarray, outer: np.ndarray, doc: np.ndarray, mark: np.ndarray):
+    """Of sorted rows: whether each begins a bucket, begins a class of one, is at the earliest place of its class, is in a
+    bucket of several classes; and the bucket's number. Rows of one place are all earliest."""
+    n = len(inner)
+    bucket, alike = np.ones(n, bool), np.ones(n, bool)
+    bucket[1:] = inner[1:] != inner[:-1]
+    alike[1:] = bucket[1:] | (outer[1:] != outer[:-1])
+    lead = np.maximum.accumulate(np.where(alike, np.arange(n), 0))
+    number = np.cumsum(bucket) - 1
+    return bucket, alike, (doc == doc[lead]) & (mark == mark[lead]), (np.bincount(number, alike) > 1)[number], number
+
+
+_OPEN, _DONE = 0, 1  # kinds of blocks: (document, position, rest of the mark, inner, outer), (document, position, rest)
 
 
 def _bounds(part: np.ndarray, cfg: StringConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +238,10 @@ def _bounds(part: np.ndarray, cfg: StringConfig) -> tuple[np.ndarray, np.ndarray
 
 
 def _first_round(texts: DataFrame, cfg: StringConfig) -> DataFrame:
+    parts = blocks.part_count(texts.sparkSession)
+
     def run(batches):
-        reporter = Reporter()
+        reporter = Reporter(parts)
         for _, p in _pieces(batches, cfg):
             pointers = Pointers(p.data, p.offsets, cfg)
             at = pointers.anchors()
@@ -238,9 +251,10 @@ def _first_round(texts: DataFrame, cfg: StringConfig) -> DataFrame:
             there, inner, outer = pointers.strings(at, text, none, none + cfg.width - 1, none)
             at, text = at[there], text[there]
             mark = (at - p.offsets[text] + p.base) << 32 | p.tag[text]
-            yield reporter.rows(p.doc[text], mark, inner, outer)
+            yield from reporter.add(p.doc[text], mark, inner, outer)
+        yield from reporter.flush()
 
-    return texts.mapInArrow(run, _REPORT)
+    return texts.mapInArrow(run, blocks.SCHEMA)
 
 
 def _marks_of(batch: pa.RecordBatch, names: list[str], rows: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,8 +273,10 @@ def _marks_of(batch: pa.RecordBatch, names: list[str], rows: np.ndarray, tags: n
 def _next_round(marked: DataFrame, cfg: StringConfig, single: bool) -> DataFrame:
     """Refines what the round before left undecided: anchors by groups of offsets, or groups by single offsets."""
 
+    parts = blocks.part_count(marked.sparkSession)
+
     def run(batches):
-        reporter = Reporter()
+        reporter = Reporter(parts)
         for batch, p in _pieces(batches, cfg):
             owner, marks = _marks_of(batch, ["marks"], p.at, p.tag)
             at = (marks >> 32) - p.base
@@ -284,19 +300,34 @@ def _next_round(marked: DataFrame, cfg: StringConfig, single: bool) -> DataFrame
             there, inner, outer = pointers.strings(at[which], owner[which], low, high, part)
             which, part = which[there], part[there]
             mark = marks[which] & ~np.int64(_UNDECIDED | 127 << 24) | part.astype(np.int64) << 24
-            yield reporter.rows(p.doc[owner[which]], mark, inner, outer)
+            yield from reporter.add(p.doc[owner[which]], mark, inner, outer)
+        yield from reporter.flush()
 
-    return marked.mapInArrow(run, _REPORT)
+    return marked.mapInArrow(run, blocks.SCHEMA)
 
 
 def _decided(reports: DataFrame, name: str) -> DataFrame:
     """``id, name``: per document the marks of repeated strings, and of those left undecided."""
-    group = Window.partitionBy("key").orderBy("outer", "id", "mark").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.rank().over(Window.partitionBy("key", "outer").orderBy("id", "mark"))
-    late = reports.withColumn("place", place).withColumn("mixed", F.min("outer").over(group) != F.max("outer").over(group))
-    late = late.where("marks is not null or (mark >= 0 and (place > 1 or mixed))")
-    mark = F.when(F.col("place") > 1, F.col("mark")).otherwise(F.col("mark").bitwiseOR(F.lit(_UNDECIDED)))
-    return late.groupBy("id").agg(F.flatten(F.collect_list(F.coalesce("marks", F.array(mark)))).alias(name))
+
+    def run(batches):
+        for kind, columns in blocks.read(batches, {_OPEN: 5, _DONE: 3}):
+            doc, mark = columns[0].view(np.int64), (columns[1] << U64(32) | columns[2]).view(np.int64)
+            if kind == _OPEN:
+                inner, outer = columns[3:]
+                by = np.lexsort((mark, doc, outer, inner))
+                doc, mark, outer = doc[by], mark[by], outer[by]
+                _, alike, first, mixed, _ = _compared(inner[by], outer, doc, mark)
+                late, unsure = (outer != 0) & ~first, (outer != 0) & alike & mixed
+                doc = np.concatenate([doc[late], doc[unsure]])
+                mark = np.concatenate([mark[late], mark[unsure] | _UNDECIDED])
+            order = np.argsort(doc, kind="stable")
+            doc, mark = doc[order], mark[order]
+            edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)).astype(np.int32)), pa.array(mark))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[edge]), lists], ["id", "marks"])
+
+    found = blocks.deal(reports).mapInArrow(run, "id long, marks array<long>")
+    return found.groupBy("id").agg(F.flatten(F.collect_list("marks")).alias(name))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
