@@ -13,12 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mapaudit.llm.text import U64
 
 BLOCK_ROWS = 1 << 12
 #: Parts for every shuffle partition.
-PARTS_PER_TASK = 8
+PARTS_PER_TASK = 2
 SCHEMA = "part int, kind int, block binary"
 
 
@@ -51,7 +52,8 @@ def write(part: np.ndarray, kind: int, columns: list[np.ndarray]) -> pa.RecordBa
 
 def deal(rows: DataFrame) -> DataFrame:
     """Blocks by part, the parts of a task in order."""
-    return rows.repartition("part").sortWithinPartitions("part", "kind")
+    tasks = part_count(rows.sparkSession) // PARTS_PER_TASK
+    return rows.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part", "kind")
 
 
 def read(batches: Iterator[pa.RecordBatch], width: dict[int, int], compact=None, limit: int = 1 << 21):
