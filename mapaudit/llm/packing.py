@@ -15,7 +15,6 @@ import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,35 +22,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapaudit.llm.bpe import _texts
+from mapaudit.llm.text import span_hashes
 from mapaudit.session import cut
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that are ranked in one go.
 RANK_ROWS = 50_000
-CACHE_WORDS = 1 << 19  # in each of two generations
+CACHE_WORDS = 1 << 20
+LONG_WORD = 64  # bytes
 WORDS_A_LINE = 256
+_SPACE = "\u0120"  # fixed value: how byte-level vocabularies write a space
 #: Texts beyond these characters, or with a special token, go to the library whole.
 _PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
 
 
-def _characters(category: str) -> str:
-    """The plain characters of a Unicode category, for use in a class."""
-    return "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == category)
-
-
-def _split() -> re.Pattern:
-    """How byte-level BPE files of this kind split a text: contractions, then letters, digits or other marks
-    with at most one space before, then white space, of which the last one is left to a following word."""
-    letter, digit = _characters("L"), _characters("N")
-    return re.compile(rf" ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[{digit}]+| ?[^\s{letter}{digit}]+|\s+(?!\S)|\s+")
-
-
-_SPLIT = _split()
+def _kinds() -> np.ndarray:
+    """Of the plain characters: 0 white space, 1 letters, 2 digits, 3 all others."""
+    kind = {"L": 1, "N": 2}
+    return np.array([0 if c in "\t\n\r " else kind.get(unicodedata.category(c)[0], 3) for c in map(chr, range(0x250))], np.uint8)
+
+
+_KINDS = _kinds()
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the words that byte-level BPE files of this kind merge within, in plain texts that are not empty: letters,
+    digits or other marks with at most one space before them, and white space, of which the last character goes with a
+    following word if it is a space, and else is a word of its own. A stretch without white space that holds an
+    apostrophe stays whole, as contractions are cut there; the library cuts it."""
+    kind = _KINDS[np.minimum(data, 0x7F)]
+    lead = np.flatnonzero(data >= 0xC0)
+    kind[lead] = kind[lead + 1] = _KINDS[(data[lead].astype(np.int64) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    n = len(data)
+    fresh = np.ones(n + 1, bool)
+    fresh[1:-1] = kind[1:] != kind[:-1]
+    fresh[offsets] = True
+    blank = kind == 0
+    last = np.flatnonzero(blank[:-1] & ~blank[1:] & ~_edges(offsets, n)[1:-1])  # white space before a word
+    fresh[last] = True
+    fresh[last[data[last] == 0x20] + 1] = False
+    mark = np.flatnonzero(data == 0x27)
+    if len(mark):
+        edge = np.flatnonzero(_edges(offsets, n) | np.concatenate([[True], blank[1:] != blank[:-1], [True]]))
+        k = np.unique(np.searchsorted(edge, mark, "right") - 1)
+        for x, y in zip(edge[k].tolist(), edge[k + 1].tolist()):
+            fresh[x + 1 : y] = False
+    bounds = np.flatnonzero(fresh)
+    return bounds[:-1], bounds[1:]
+
+
+def _edges(offsets: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n + 1, bool)
+    out[offsets] = True
+    return out
 
 
 class Tokens:
-    """Token ids by the tokenizers library, asked once for each distinct word of a bounded table."""
+    """Token ids by the tokenizers library, asked once for each distinct word of a bounded table. Words are told apart by
+    64-bit hashes; long ones are not kept."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallel part
@@ -61,49 +90,93 @@ class Tokens:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, starts and counts of ids
+        self.ids = np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words. Those of a space and letters are asked for in lines, which split back into them."""
-        out = {}
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and the count of each. A space and letters are asked for in lines, which split back
+        into such words at tokens that begin with a space."""
+        spaced = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
         lines = [spaced[i : i + WORDS_A_LINE] for i in range(0, len(spaced), WORDS_A_LINE)]
-        for line, e in zip(lines, self.library.encode_batch(["".join(x) for x in lines], add_special_tokens=False)):
-            owner = np.array(e.word_ids)
-            if owner[-1] + 1 != len(line):
-                continue
-            ids, edges = array("I", e.ids).tobytes(), np.searchsorted(owner, np.arange(len(line) + 1)).tolist()
-            for word, a, b in zip(line, edges, edges[1:]):
-                out[word] = ids[4 * a : 4 * b]
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._ids(rest)))
-        return out
+        out: list = [None] * len(words)
+        for line, e in zip(lines, self.library.encode_batch_fast(["".join([words[i] for i in x]) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            edge = np.flatnonzero(self.opens[ids])
+            if len(edge) == len(line) and edge[0] == 0:
+                for i, part in zip(line, np.split(ids, edge[1:])):
+                    out[i] = part
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._ids([words[i] for i in rest])):
+            out[i] = np.frombuffer(ids, np.uint32)
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Adds words that no table has; ``hashes`` are sorted. Tables of like size are merged."""
+        if len(hashes) + sum(len(t[0]) for t in self.tables) > CACHE_WORDS:
+            self.tables, self.ids = [], np.zeros(0, np.uint32)
+        ids, count = self._word_ids(words)
+        start = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, ids])
+        table = hashes, start, count
+        while self.tables and len(self.tables[-1][0]) < 4 * len(table[0]):
+            table = tuple(np.concatenate(x) for x in zip(self.tables.pop(), table))
+            by = np.argsort(table[0], kind="stable")
+            table = tuple(x[by] for x in table)
+        self.tables.append(table)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start (-1: unknown) and count of the ids of each hash."""
+        start, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, starts, counts in self.tables:
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[at] == hashes
+            start[hit], count[hit] = starts[at[hit]], counts[at[hit]]
+        return start, count
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        whole = b"".join(raw)
+        data = np.frombuffer(whole, np.uint8)
+        a, b = _words(data, offsets)
+        hashes, first, back = np.unique(span_hashes(data, a, b), return_index=True, return_inverse=True)
+        long = b[first] - a[first] > LONG_WORD
+        start, count = self._find(hashes)
+        new = np.flatnonzero((start < 0) & ~long)
+        if len(new):
+            if len(new) + sum(len(t[0]) for t in self.tables) > CACHE_WORDS:
+                new = np.flatnonzero(~long)  # the tables are given up: all words of this batch again
+            self._learn(hashes[new], [whole[x:y].decode() for x, y in zip(a[first[new]].tolist(), b[first[new]].tolist())])
+            start, count = self._find(hashes)
+        ids = self.ids
+        if long.any():
+            more, sizes = self._word_ids([whole[x:y].decode() for x, y in zip(a[first[long]].tolist(), b[first[long]].tolist())])
+            start[long], count[long] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.concatenate([ids, more])
+        start, count = start[back], count[back]
+        to = np.concatenate([[0], np.cumsum(count)])
+        out = ids[np.arange(to[-1]) + np.repeat(start - to[:-1], count)]
+        edges = to[np.searchsorted(a, offsets)].tolist()
+        flat = out.tobytes()
+        return [flat[4 * x : 4 * y] for x, y in zip(edges, edges[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        cut_up = {}
+        out: list = [b""] * len(texts)
+        plain, other = [], []
         for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                cut_up[i] = _SPLIT.findall(text)
-        whole = [i for i, x in enumerate(out) if x is None and i not in cut_up]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            if text:
+                (plain if _PLAIN.fullmatch(text) and not any(s in text for s in self.special) else other).append(i)
+        if plain:
+            for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
+                out[i] = ids
+        for i, ids in zip(other, self._ids([texts[i] for i in other])):
             out[i] = ids
-        met = set().union(*cut_up.values())
-        if new := met - self.words.keys():
-            if len(self.words) + len(new) > CACHE_WORDS:
-                self.older, self.words, new = self.words, {}, met
-            known = {w: self.older[w] for w in new if w in self.older}
-            fresh = list(new - known.keys())
-            self.words |= known
-            self.words.update(self._word_ids(fresh))
-        for i, words in cut_up.items():
-            out[i] = b"".join(itemgetter(*words)(self.words)) if len(words) > 1 else self.words[words[0]]
         return out
 
 
