@@ -34,7 +34,7 @@ class DedupConfig:
     run_words: int = 25  # a run of repeated units is removed from so many words on
     run_chars: int = 100  # the same in code points of scripts without spaces; a mixed run counts both parts
     line_chars: int = 100  # a repeated whole line is removed from so many code points on
-    unit_words: int = 3  # shorter units are not looked up; they join the repeats around them
+    unit_words: int = 3  # shorter units are not looked up; they go only as part of a shingle or line that repeats
     window: int = 9  # of so many neighbours one is an anchor
     shingle: int = 16  # tokens looked up from an anchor on; at least window
 
@@ -255,17 +255,6 @@ def _removed(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, idx: np.
     np.add.at(depth, at + cfg.shingle, -1)
     covered = np.cumsum(depth[:-1]) > 0
 
-    small = np.zeros(n + 1, np.int64)
-    short = u.size < cfg.unit_words
-    np.add.at(small, bounds[0][short], 1)
-    np.add.at(small, bounds[1][short], -1)
-    small = np.cumsum(small[:-1]) > 0
-    lo, hi = _stretches(t.row, covered)
-    gap = np.zeros(len(lo), bool)  # short units only, with repeats on both sides
-    gap[1:-1] = ~covered[lo[1:-1]] & (t.row[lo[:-2]] == t.row[lo[1:-1]]) & (t.row[lo[2:]] == t.row[lo[1:-1]])
-    gap &= np.logical_and.reduceat(small, lo)
-    for a, b in zip(lo[gap], hi[gap]):
-        covered[a:b] = True
     lo, hi = _stretches(t.row, covered)
     weight = np.where(t.dense, cfg.run_words, cfg.run_chars)
     far = covered[lo] & (np.add.reduceat(weight, lo) >= cfg.run_words * cfg.run_chars)
