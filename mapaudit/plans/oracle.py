@@ -218,7 +218,8 @@ select frame_number, (x1 + x2) / 2e0 as u, (y1 + y2) / 2e0 as v, confidence, cla
 select class_name, count(*) as n, cast(sum(frame_number) as bigint) as frames from boxes group by 1"""),
     "gather_detection_files": using("det", f"select {_CSV_COLUMNS} from det where {_GOOD}"),
     "enrich_detections": using("det", """
-select 'vehicle-7' as vehicle_id, 'session-9' as session_id, 64 as id_length, video_name, frame_number, u as pixel_u, v as pixel_v,
+select 'vehicle-7' as vehicle_id, 'session-9' as session_id,
+  sha256(concat_ws(chr(10), 'vehicle-7', 'session-9', video_name, '0', cast(event_id as varchar))) as detection_id, video_name, frame_number, u as pixel_u, v as pixel_v,
   confidence, class_name, vehicle_lat, vehicle_lon, recording_timestamp from det"""),
     "detection_to_message": using("det", """
 select detection_id as key, 3 as n_headers, 'vehicle_id' as first_header, vehicle_id as first_value,
@@ -534,7 +535,10 @@ select detection_id, video_name, frame_number, class_name as object_class, vehic
     "build_all_facts": _fact("fct"),
     "build_all_summary": _summary("fct"),
     "stream_status_counts": using("det", "select class_name, count(*) as count from det group by 1"),
-    "stream_dedup": using("det", "select detection_id, frame_number from det"),
+    "stream_dedup": using("det", "select detection_id, frame_number, class_name from det"),
+    "stream_unreadable": using("det", """
+select concat('{broken ', event_id) as value, cast(null as integer) as frame_number from det where event_id % 50 = 0
+union all select concat('{"frame_number":', frame_number, '}'), frame_number from det where event_id % 70 = 0"""),
     "build_all": using("flagged fct review", f"""
 select 'stg_perception_data' as table_name, count(*) as row_count from flagged where vehicle_lat is not null
 union all select 'stg_osm_ground_truth', count(*) from osm

@@ -139,8 +139,10 @@ def _(spark, d):
 
 @query("enrich_detections")
 def _(spark, d):
-    rows = det_files.enrich(inputs.detections(spark, d), "vehicle-7", "session-9", deterministic_id=True)
-    return rows.select("vehicle_id", "session_id", F.length("detection_id").alias("id_length"), "video_name", "frame_number", "pixel_u",
+    det = inputs.detections(spark, d).withColumns({
+        "source_file": F.col("video_name"), "block_start": F.lit(0), "line_in_block": F.col("event_id")})
+    rows = det_files.enrich(det, "vehicle-7", "session-9", deterministic_id=True)
+    return rows.select("vehicle_id", "session_id", "detection_id", "video_name", "frame_number", "pixel_u",
                        "pixel_v", "confidence", "class_name", "vehicle_lat", "vehicle_lon", "recording_timestamp")
 
 
@@ -648,7 +650,7 @@ def _(spark, d):
 
 @query("run_metrics")
 def _(spark, d):
-    good, bad = det_files.read_detections_csv(spark, _det_csv(spark, d))
+    good, bad = det_files.read_detections_csv(spark, _det_csv(spark, d), keep_place=True)
     rows = det_files.enrich(good, deterministic_id=True).withColumn("reject_reason", F.lit(None).cast("string"))
     failed = bad.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[:-1]], "reject_reason")
     run = metrics.send_batch(rows.unionByName(failed), {"path": new_path(spark, "topic")}, fmt="json")
@@ -838,7 +840,7 @@ def _(spark, d):
 @query("batch_csv_to_topic")
 def _(spark, d):
     def run(path: str) -> None:
-        good, _bad = det_files.read_detections_csv(spark, _det_csv(spark, d))
+        good, _bad = det_files.read_detections_csv(spark, _det_csv(spark, d), keep_place=True)
         jobs.batch_to_topic(det_files.enrich(good, deterministic_id=True), {"path": path}, fmt="json")
 
     topic = spark.read.schema("key string, value string").json(inputs.stored_files(spark, d, "topic_batch", run))
@@ -884,15 +886,33 @@ def _(spark, d):
     return updates.groupBy("class_name").agg(F.max_by("count", "batch").alias("count"))
 
 
+def _dedup_table(spark: SparkSession, d: str) -> str:
+    """A topic in which a third of the messages come again, some are broken and some have no id, as ``drop_repeats`` stores it."""
+    det = inputs.detections(spark, d)
+
+    def topic(path: str) -> None:
+        sent = messages.to_messages(inputs.as_message_columns(det)).select("key", "value")
+        again = messages.to_messages(inputs.as_message_columns(det.where("event_id % 3 = 0"))).select("key", "value")
+        broken = det.where("event_id % 50 = 0").select(F.lit("k").alias("key"), F.concat(F.lit("{broken "), "event_id").alias("value"))
+        nameless = det.where("event_id % 70 = 0").select(F.lit("k").alias("key"), F.concat(F.lit('{"frame_number":'), "frame_number", F.lit("}")).alias("value"))
+        for part in (sent, again.unionByName(broken), nameless):
+            part.coalesce(4).write.mode("append").json(path)
+
+    def run(path: str) -> None:
+        source = spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", 4).json(inputs.stored_files(spark, d, "topic_repeats", topic))
+        jobs.drop_repeats(source, path, new_path(spark, "cp"), once=True).awaitTermination()
+
+    return inputs.stored_files(spark, d, "dedup_stream", run)
+
+
 @query("stream_dedup")
 def _(spark, d):
-    def run(path: str) -> None:
-        once = inputs.as_message_columns(_det_stream(spark, d)).withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
-        twice = once.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-        jobs.drop_repeats(twice, path, new_path(spark, "cp"), once=True).awaitTermination()
+    return spark.read.parquet(_dedup_table(spark, d)).select("detection_id", "frame_number", "class_name")
 
-    rows = spark.read.parquet(inputs.stored_files(spark, d, "dedup_stream", run))
-    return rows.select("detection_id", "frame_number")
+
+@query("stream_unreadable")
+def _(spark, d):
+    return jobs.unreadable(spark, _dedup_table(spark, d)).select("value", "frame_number")
 
 
 # ---- the whole build ---------------------------------------------------------

@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +19,10 @@ OUTPUT = ["video_name", "frame_number", "timestamp_sec", "u", "v", "confidence",
           "vehicle_lat", "vehicle_lon", "recording_timestamp"]
 
 
+#: Where a row stands: its file, the first byte of the block that a task reads, and its number in that block.
+PLACE = ["source_file", "block_start", "line_in_block"]
+
+
 def _integer(c: Column) -> Column:
     return F.when(c.rlike(_INTEGER), c.try_cast("int"))
 
@@ -65,9 +71,33 @@ def parse_rows(text: DataFrame, layout: list[str]) -> DataFrame:
         _float(raw("vehicle_lat")).alias("vehicle_lat"), _float(raw("vehicle_lon")).alias("vehicle_lon"),
         stamp.alias("recording_timestamp"), reason.alias("reject_reason"),
         F.col(_BROKEN).alias("line"), F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
     )
 
 
+def with_place(rows: DataFrame) -> DataFrame:
+    """Adds ``line_in_block`` to rows as they are read, batch or stream, before any of them is dropped. A task reads a block
+    from its first row to its last, so the number is the same whenever the block is read again."""
+    def number(batches):
+        last, count = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            files, blocks = (batch.column(c).to_numpy(zero_copy_only=False) for c in PLACE[:2])
+            fresh = np.ones(n, bool)
+            fresh[1:] = (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])
+            fresh[0] = (files[0], blocks[0]) != last
+            at = np.arange(n)
+            first = np.maximum.accumulate(np.where(fresh, at, -1))
+            line = np.where(first < 0, count + at, at - first)
+            last, count = (files[-1], blocks[-1]), int(line[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(line)], [*batch.schema.names, PLACE[2]])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(PLACE[2], T.LongType())])
+    return rows.mapInArrow(number, schema)
+
+
 def find_layouts(spark: SparkSession, paths) -> dict[tuple[str, ...], list[str]]:
     """Header layout -> files. One pass that keeps a single line per file."""
     lines = spark.read.text(paths).select(
@@ -89,14 +119,14 @@ def _csv(reader, layout: list[str]):
     )
 
 
-def read_detections_csv(spark: SparkSession, paths, mode: str = "permissive",
-                        layout: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def read_detections_csv(spark: SparkSession, paths, mode: str = "permissive", layout: list[str] | None = None,
+                        keep_place: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) rows of detection CSV files, columns found by header name.
 
     Files may have different headers; each layout is one scan. Give ``layout``
     when all files share a known one, and no header pass is made. Rejected rows
     carry their reason. With ``mode="failfast"`` any bad row fails the job and
-    nothing is rejected.
+    nothing is rejected. ``keep_place`` adds the columns PLACE to the good rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     groups = {tuple(layout): paths} if layout else find_layouts(spark, paths)
@@ -104,18 +134,25 @@ def read_detections_csv(spark: SparkSession, paths, mode: str = "permissive",
         raise ValueError("no detection files")
     parts = [parse_rows(_csv(spark.read, list(names)).csv(files), list(names)) for names, files in groups.items()]
     rows = reduce(DataFrame.unionByName, parts)
+    columns = OUTPUT
+    if keep_place:
+        rows, columns = with_place(rows), OUTPUT + PLACE
     if mode == "failfast":
         # a filter runs whichever columns are read
         fail = F.raise_error(F.concat(F.lit("bad detection row: "), F.col("reject_reason"))).cast("boolean")
         rows = rows.where(F.when(F.col("reject_reason").isNotNull(), fail).otherwise(F.lit(True)))
-        return rows.select(*OUTPUT), rows.where(F.lit(False))
-    good = rows.where(F.col("reject_reason").isNull()).select(*OUTPUT)
+        return rows.select(*columns), rows.where(F.lit(False))
+    good = rows.where(F.col("reject_reason").isNull()).select(*columns)
     return good, rows.where(F.col("reject_reason").isNotNull())
 
 
-def stream_detections_csv(spark: SparkSession, folder: str, layout: list[str], files_per_trigger: int = 1000) -> DataFrame:
+def stream_detections_csv(spark: SparkSession, folder: str, layout: list[str], files_per_trigger: int = 1000,
+                          keep_place: bool = False) -> DataFrame:
     """Good rows of CSV files as they arrive in a folder; the layout is fixed per stream."""
-    return stream_rows_csv(spark, folder, layout, files_per_trigger).where(F.col("reject_reason").isNull()).select(*OUTPUT)
+    rows = stream_rows_csv(spark, folder, layout, files_per_trigger)
+    if keep_place:
+        rows = with_place(rows)
+    return rows.where(F.col("reject_reason").isNull()).select(*OUTPUT, *(PLACE if keep_place else []))
 
 
 def stream_rows_csv(spark: SparkSession, folder: str, layout: list[str], files_per_trigger: int = 1000) -> DataFrame:
@@ -152,17 +189,28 @@ def enrich(df: DataFrame, vehicle_id: str = "vehicle-001", session_id: str | Non
            deterministic_id: bool = False) -> DataFrame:
     """Adds ids and the ingest time, with pixels under their message names.
 
-    ``deterministic_id`` derives the id from the row's content, so that reading a
-    file again gives the same ids and duplicates can be dropped.
+    ``deterministic_id`` derives the id from the row, so that reading a file again gives the same ids and duplicates
+    can be dropped. Rows that carry their place (PLACE) take it from vehicle, session (if one is given), file, block
+    and line: two rows of a file never share an id. Rows of a table have no place; there the id comes from the content
+    and, as equal rows of a batch are told apart by nothing else, from a count of them. A stream without places can't
+    count, so its equal rows share an id.
     """
     import uuid
 
     session = session_id or str(uuid.uuid4())
-    if deterministic_id:
-        row = F.to_json(F.struct(F.lit(vehicle_id).alias("vehicle_id"), *OUTPUT))
-        key = F.sha2(row, 256)
-    else:
+    source = [F.lit(vehicle_id), F.lit(session_id or "")]
+    if not deterministic_id:
         key = F.expr("uuid()")
+    elif set(PLACE) <= set(df.columns):
+        key = F.sha2(F.concat_ws("\n", *source, *(F.col(c).cast("string") for c in PLACE)), 256)
+    else:
+        row = F.to_json(F.struct(source[0].alias("vehicle_id"), source[1].alias("session_id"), *OUTPUT))
+        df = df.withColumn("_row", F.sha2(row, 256))
+        if df.isStreaming:
+            key = F.col("_row")
+        else:
+            copy = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+            key = F.when(copy == 1, F.col("_row")).otherwise(F.sha2(F.concat_ws("\n", "_row", copy.cast("string")), 256))
     return df.select(
         key.alias("detection_id"), F.lit(vehicle_id).alias("vehicle_id"), F.lit(session).alias("session_id"),
         F.current_timestamp().alias("ingested_at"), "video_name", "frame_number", "timestamp_sec",

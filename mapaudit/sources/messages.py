@@ -43,9 +43,12 @@ def to_messages(detections: DataFrame) -> DataFrame:
     )
 
 
-def from_messages(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Message JSON back to detection columns; absent keys become null."""
-    return messages.select(F.from_json(F.col(value).cast("string"), DETECTION_SCHEMA).alias("d")).select("d.*")
+def from_messages(messages: DataFrame, value: str = "value", keep: str | None = None) -> DataFrame:
+    """Message JSON back to detection columns; absent keys become null, JSON that can't be read becomes a row of nulls.
+    ``keep`` names a column for the message text."""
+    text = F.col(value).cast("string")
+    rest = [text.alias(keep)] if keep else []
+    return messages.select(F.from_json(text, DETECTION_SCHEMA).alias("d"), *rest).select("d.*", *([keep] if keep else []))
 
 
 def to_raw(messages: DataFrame, topic: str, kafka_time: Column | None = None,

@@ -7,21 +7,23 @@ stops; the default keeps running. Progress lives in the query's checkpoint.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.operators.audit import FRAME, fct_map_audit
+from mapaudit.operators.skew import keep_rank_one
 from mapaudit.operators.staging import flatten_detections, from_typed, stage_detections
 from mapaudit.sources.detections import enrich, stream_detections_csv
 from mapaudit.sources.messages import from_messages, to_messages, to_raw
 
 
-_VIDEO_PARTS = 64
+_ASIDE = "_unreadable"
+_STATE_KEY = "spark.sql.streaming.stateStore.providerClass"
+_STATE_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start(writer, once: bool) -> StreamingQuery:
@@ -39,10 +41,10 @@ def csv_to_topic(spark: SparkSession, folder: str, layout: list[str], target: di
                  once: bool = False) -> StreamingQuery:
     """Detection files to messages as they arrive.
 
-    Ids are derived from the rows, so a batch that is retried writes the same
-    keys. ``target`` are the sink's options (topic and servers, or a path).
+    Ids are derived from the rows' places, so a batch that is retried writes the same
+    keys and equal rows have different ones. ``target`` are the sink's options (topic and servers, or a path).
     """
-    rows = enrich(stream_detections_csv(spark, folder, layout), vehicle_id, session_id, deterministic_id=True)
+    rows = enrich(stream_detections_csv(spark, folder, layout, keep_place=True), vehicle_id, session_id, deterministic_id=True)
     out = to_messages(rows).drop("message")
     writer = out.writeStream.format(fmt).options(**target).option("checkpointLocation", checkpoint).outputMode("append")
     return _start(writer, once)
@@ -66,38 +68,39 @@ def topic_to_raw(messages: DataFrame, topic: str, table_path: str, checkpoint: s
     return _start(writer.outputMode("append"), once)
 
 
+def _run_id(batch: DataFrame) -> str:
+    """Id of the query that a micro-batch belongs to. It lives in the checkpoint, so a restart has it again and a new
+    checkpoint has another; folders named by it are never overwritten by another run."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def stream_audit(staged_source: DataFrame, staged_nodes: DataFrame, fact_path: str, checkpoint: str,
                  cfg: AuditConfig = DEFAULT, once: bool = False) -> StreamingQuery:
-    """Audits the frames that each micro-batch touches, with all of their detections so far.
+    """Audits every micro-batch by itself; ``current_facts`` reads the audit of all of them.
 
-    The rank is per frame and a frame's detections may come in different batches, so the staged rows are
-    kept beside the facts, and a touched frame is audited again as a whole; ``current_facts`` reads the
-    latest audit of every frame. Both tables are written under the batch id, so a retry replaces its own
-    rows. Staged rows are stored in parts by video, and only the parts a batch touches are read again.
+    The rank of a frame keeps its least distance, and the least of several parts is the least of their least. So
+    a batch stores the winners among its own rows and reads nothing that was stored before: its cost depends on its
+    rows alone, however long the stream runs. Facts are written under run and batch, so a retry replaces its own rows
+    and a new checkpoint loses none.
     """
     def audit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("video_name"), F.lit(_VIDEO_PARTS)).cast("int")
-        batch.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{fact_path}/staged/batch_id={batch_id}")
-        schema = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("part", T.IntegerType())])
-        stored = spark.read.schema(schema).option("basePath", f"{fact_path}/staged").parquet(f"{fact_path}/staged/batch_id=*")
-        own = stored.where(F.col("batch_id") == batch_id)
-        parts = [r.part for r in own.select("part").distinct().collect()]  # at most _VIDEO_PARTS numbers
-        touched = own.select(*(F.col(c).alias(f"_{c}") for c in FRAME)).distinct()
-        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FRAME))
-        so_far = stored.where((F.col("batch_id") <= batch_id) & F.col("part").isin(parts)).join(touched, same, "left_semi")
-        fct_map_audit(so_far.select(*batch.columns), staged_nodes, cfg).write.mode("overwrite").parquet(f"{fact_path}/facts/batch_id={batch_id}")
+        facts = fct_map_audit(batch, staged_nodes, cfg)
+        facts.write.mode("overwrite").parquet(f"{fact_path}/facts/run={_run_id(batch)}/batch_id={batch_id}")
 
     writer = staged_source.writeStream.foreachBatch(audit).option("checkpointLocation", checkpoint)
     return _start(writer, once)
 
 
-def current_facts(spark: SparkSession, fact_path: str) -> DataFrame:
-    """The facts of ``stream_audit``: of every frame those of the last batch that touched it."""
+def current_facts(spark: SparkSession, fact_path: str, cfg: AuditConfig = DEFAULT) -> DataFrame:
+    """The facts of ``stream_audit``: of every frame the nearest of its batches' winners, ties included. Where several
+    runs have audited a detection, because a new checkpoint read it again, one of them counts."""
     facts = spark.read.parquet(f"{fact_path}/facts")
-    last = facts.groupBy(*(F.col(c).alias(f"_{c}") for c in FRAME)).agg(F.max("batch_id").alias("_last"))
-    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FRAME))
-    return facts.join(last, same & (F.col("batch_id") == F.col("_last")), "left_semi").drop("batch_id")
+    runs = facts.select("run").distinct().limit(2).count()  # from folder names
+    if runs > 1:
+        last = facts.groupBy(F.col("detection_id").alias("_id")).agg(F.max("run").alias("_run"))
+        facts = facts.join(last, F.col("detection_id").eqNullSafe(F.col("_id")) & (F.col("run") == F.col("_run")), "left_semi")
+    facts = facts.drop("run", "batch_id")
+    return keep_rank_one(facts, FRAME, "distance_meters", facts, cfg.hot_rows)
 
 
 def stage_typed_stream(det: DataFrame) -> DataFrame:
@@ -117,21 +120,55 @@ def status_counts(det: DataFrame, sink: Callable[[DataFrame, int], None], checkp
 
 
 def drop_repeats(messages: DataFrame, table_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Stores the first copy of each detection id to arrive, however late it is.
+    """Stores the first copy of each detection id to arrive, however late it is, and sets unreadable messages aside.
 
-    A batch inserts the ids that earlier batches have not stored, under its own batch id, so a retry
-    replaces its own rows. No watermark decides, so no first copy is lost.
+    The ids that were seen are the query's keyed state, on disk beside the checkpoint, so a batch costs what its own
+    rows cost. No watermark decides, so no first copy is lost. Rows are written under run and batch: a retry replaces
+    its own rows, and a new checkpoint over the same table adds to it. Such a run has no state of the ids before it and
+    reads those of the older runs; ids stored there are not stored again. Messages that are not JSON or have no id are
+    repeats of nothing: all of them go to a side table (``unreadable``).
     """
-    rows = from_messages(messages) if "value" in messages.columns else messages
-    schema = f"detection_id {rows.schema['detection_id'].dataType.simpleString()}, batch_id long"
+    if "value" in messages.columns:
+        rows = from_messages(messages.select("value"), keep="value")
+    else:
+        rows = messages.withColumn("value", F.lit(None).cast("string"))
+    no_id = F.col("detection_id").isNull()
+    firsts = rows.where(~no_id).withColumn("value", F.lit(None).cast("string")).dropDuplicates(["detection_id"])
+    out = firsts.unionByName(rows.where(no_id))
+    spark = messages.sparkSession
+    older: dict[str, DataFrame | None] = {}
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["detection_id"])
-        if batch_id:
-            stored = spark.read.schema(schema).option("basePath", table_path).parquet(f"{table_path}/batch_id=*")
-            stored = stored.where(F.col("batch_id") < batch_id).select("detection_id")
-            fresh = fresh.join(stored, "detection_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
-
-    return _start(rows.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint), once)
+        run = _run_id(batch)
+        if run not in older:
+            older[run] = _stored_ids(batch.sparkSession, table_path, run)
+        place = f"run={run}/batch_id={batch_id}"
+        batch.where(F.col("detection_id").isNull()).write.mode("overwrite").parquet(f"{table_path}/{_ASIDE}/{place}")
+        fresh = batch.where(F.col("detection_id").isNotNull()).drop("value")
+        if older[run] is not None:
+            fresh = fresh.join(older[run], "detection_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{table_path}/{place}")
+
+    before = spark.conf.get(_STATE_KEY)
+    spark.conf.set(_STATE_KEY, _STATE_ON_DISK)
+    try:
+        return _start(out.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint), once)
+    finally:
+        spark.conf.set(_STATE_KEY, before)
+
+
+def _stored_ids(spark: SparkSession, table_path: str, run: str) -> DataFrame | None:
+    """Ids that runs other than ``run`` have stored; None if there is no such run."""
+    try:
+        stored = spark.read.option("basePath", table_path).parquet(f"{table_path}/run=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    stored = stored.where(F.col("run") != run)
+    return stored.select("detection_id") if stored.select("run").limit(1).count() else None
+
+
+def unreadable(spark: SparkSession, table_path: str) -> DataFrame:
+    """``value`` and the columns that could be read of the messages that ``drop_repeats`` set aside."""
+    return spark.read.parquet(f"{table_path}/{_ASIDE}").drop("run", "batch_id")

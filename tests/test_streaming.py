@@ -1,10 +1,13 @@
 """Streaming jobs on file sources, drained once."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from mapaudit import inputs
 from mapaudit.operators.audit import fct_map_audit
 from mapaudit.operators.staging import from_typed, stage_detections, stage_nodes
+from mapaudit.sources import detections as d
 from mapaudit.sources import messages
 from mapaudit.streaming import jobs, metrics
 
@@ -75,3 +78,63 @@ def test_late_first_copies_are_kept(spark, tmp_path):
         jobs.drop_repeats(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
     got = sorted(r.detection_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted([f"d{i}" for i in range(5)] + [f"e{i}" for i in range(5)])
+
+
+def _drain(spark, tmp_path, checkpoint, lines):
+    k = len(list((tmp_path / "in").glob("*.json")))
+    (tmp_path / "in" / f"{k}.json").write_text("".join(json.dumps({"key": "k", "value": v}) + "\n" for v in lines))
+    stream = spark.readStream.schema("key string, value string").json(str(tmp_path / "in"))
+    jobs.drop_repeats(stream, str(tmp_path / "out"), str(tmp_path / checkpoint), once=True).awaitTermination()
+
+
+def test_a_new_checkpoint_adds_to_the_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    ids = lambda *names: [json.dumps({"detection_id": x}) for x in names]
+    _drain(spark, tmp_path, "cp", ids("a", "b", "a"))
+    _drain(spark, tmp_path, "cp", ids("b", "c", "d"))
+    _drain(spark, tmp_path, "cp2", ids("e", "a"))  # reads all three files again
+    _drain(spark, tmp_path, "cp2", ids("f", "e"))
+    _drain(spark, tmp_path, "cp", ids("g"))  # the first run goes on beside the other's rows
+    stored = sorted(r.detection_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert stored == ["a", "b", "c", "d", "e", "f", "g"]
+
+
+def test_unreadable_messages_are_all_set_aside(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    bad = ["{broken", "{broken", "", "{}", '{"frame_number":3}', "[]"]
+    _drain(spark, tmp_path, "cp", [*bad, '{"detection_id":"a"}', '{"detection_id":"a"}'])
+    aside = jobs.unreadable(spark, str(tmp_path / "out"))
+    assert sorted(r.value for r in aside.collect()) == sorted(bad)
+    assert [r.detection_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
+
+
+def test_audit_batches_read_no_history_and_survive_a_new_checkpoint(spark, tmp_path):
+    """A frame in many batches; every file of facts is written once and none is read by a later batch."""
+    sf = "/root/testdata/sf0.001"
+    det, osm = inputs.detections(spark, sf).where("event_id < 120"), stage_nodes(inputs.osm_nodes(spark, sf))
+    rows = det.withColumn("frame_number", (F.col("event_id") % 7).cast("int")).withColumn("video_name", F.lit("v"))
+    rows.repartition(12, "event_id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    want = fct_map_audit(stage_detections(from_typed(rows)), osm)
+    key = ["detection_id", "nearest_osm_node_id", "audit_status"]
+    for checkpoint in ("cp", "cp", "cp2"):
+        jobs.stream_audit(jobs.stage_typed_stream(stream), osm, str(tmp_path / "fct"), str(tmp_path / checkpoint), once=True).awaitTermination()
+        got = jobs.current_facts(spark, str(tmp_path / "fct")).select(*key)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*key).collect()), key=str)
+
+
+def test_equal_rows_of_a_file_are_two_messages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / "in" / name).write_text(",".join(LAYOUT) + "\n" + LINE.format(1) + LINE.format("x") + LINE.format(1) + LINE.format(2))
+    out = []
+    for k in range(2):  # two runs write the same keys
+        jobs.csv_to_topic(spark, str(tmp_path / "in"), LAYOUT, {"path": str(tmp_path / f"out{k}")}, str(tmp_path / f"cp{k}"), fmt="json", once=True).awaitTermination()
+        out.append(sorted(r.key for r in _topic(spark, str(tmp_path / f"out{k}")).collect()))
+    assert out[0] == out[1] and len(set(out[0])) == 6
+    read = lambda s: d.enrich(d.read_detections_csv(spark, str(tmp_path / "in"), keep_place=True)[0], session_id=s, deterministic_id=True)
+    one, two = ({r.detection_id for r in read(s).collect()} for s in ("s1", "s2"))
+    assert len(one) == len(two) == 6 and not one & two
+    table = d.read_detections_csv(spark, str(tmp_path / "in"))[0]
+    ids = [sorted(r.detection_id for r in d.enrich(table.repartition(n), deterministic_id=True).collect()) for n in (1, 3)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 6
