@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.functions.geo import haversine_m, unit_vector
-from mapaudit.operators.grid import CELL, cell_center, with_cell, with_cover
-from mapaudit.operators.skew import fits_broadcast, lookup_join, salted_join, with_dice
+from mapaudit.operators.grid import CELL, with_cell, with_cover
+from mapaudit.operators.pyramid import descend, opened
+from mapaudit.operators.skew import fits_broadcast, salted_join, with_dice
 from mapaudit.session import cut
 
 _MOST_CELLS = 60  # no circle touches more cells, even at a pole (usually 9)
-_RING_GROWTH = 32  # a place cell meets at most pi * 32^2 site cells in the first ring
 _NEAR_CELLS = 16  # more cells than can hold the sites whose circles touch one cell
 _WHOLE_EARTH_M = 2.1e7  # more than half the circumference
-_SLACK_M = 1e-3
 _ADDED = ["distance_m", "site", "s_lat", "s_lon"]
 
 
@@ -166,7 +164,7 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
     places = cut(places, "places")
     if not places.limit(1).count():
         return local.select(*out)
-    answers = _far(places, cut(found_sites, "sites"), step, limit, ties, cfg)
+    answers = _far(places, cut(found_sites, "sites"), limit, ties)
     if answers is None:
         return local.select(*out)
     if fits_broadcast(answers.count(), cfg):
@@ -180,72 +178,12 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
     return local.where(~missed).select(*out).unionByName(far.select(*out))
 
 
-def _cell_table(df: DataFrame, lat: str, lon: str, step: float, prefix: str) -> DataFrame:
-    """Occupied cells with their centre and the greatest distance of a member from it."""
-    c_lat, c_lon = cell_center(F.col("_band"), F.col("_cell"), step)
-    return (
-        with_cell(df, lat, lon, step)
-        .withColumn(f"{prefix}_lat", c_lat).withColumn(f"{prefix}_lon", c_lon)
-        .groupBy(F.col("_band").alias(f"{prefix}_band"), F.col("_cell").alias(f"{prefix}_cell"),
-                 f"{prefix}_lat", f"{prefix}_lon")
-        .agg(F.max(haversine_m(lat, lon, f"{prefix}_lat", f"{prefix}_lon")).alias(f"{prefix}_half"))
-    )
-
-
-def _far(places: DataFrame, found_sites: DataFrame, step: float, limit_m: float, ties: bool,
-         cfg: AuditConfig) -> DataFrame | None:
-    """Nearest site for places that have none within ``step``.
-
-    Works cell against cell first. With c the centre distance of a place cell P
-    and a site cell S, and h the cell half-widths, every site of S is within
-    c + hS + hP of every place of P and none is nearer than c - hS - hP. So the
-    smallest c + hS seen bounds the search for the whole of P, and only site
-    cells with c <= bound + 2 hP + hS can hold the answer. Rings grow until
-    every place cell has its bound; a found bound is exact for any later ring.
-    """
-    n_places, n_sites = places.count(), found_sites.count()
-    if n_places == 0 or n_sites == 0:
-        return None
-    at_p, at_s = ("c_lat", "c_lon"), ("t_lat", "t_lon")
-    waiting = _cell_table(places, "p_lat", "p_lon", step, "c")
-    site_cells = _cell_table(found_sites, "s_lat", "s_lon", step, "t")
-    shape = waiting.select(F.lit(1).alias("place"), "c_half", F.lit(0.0).alias("t_half")).unionByName(
-        site_cells.select(F.lit(0).alias("place"), F.lit(0.0).alias("c_half"), "t_half"))
-    open_cells, half_p, half_s = shape.agg(F.sum("place"), F.max("c_half"), F.max("t_half")).first()
-    widest = half_p + half_s
-    last_ring = min(limit_m + 2 * widest, _WHOLE_EARTH_M)
-    cell_p = ["c_band", "c_cell"]
-    enough = F.col("distance_m") <= F.col("_bound") + 2 * F.col("c_half") + F.col("t_half") + _SLACK_M
-    candidates: list[DataFrame] = []
-    ring = step
-    while open_cells > 0 and ring < last_ring:
-        ring = min(ring * _RING_GROWTH, last_ring)
-        seen = radius_join(site_cells, waiting, ring, point_at=at_s, node_at=at_p, cfg=cfg, node_rows=open_cells)
-        bound = cut(
-            seen.groupBy(*cell_p, *at_p, "c_half").agg(F.min(F.col("distance_m") + F.col("t_half")).alias("_bound")),
-            "bounds")
-        settled = bound.count()
-        if settled:
-            wide = radius_join(site_cells, bound, min(ring + 3 * widest, _WHOLE_EARTH_M),
-                               point_at=at_s, node_at=at_p, cfg=cfg, node_rows=settled)
-            candidates.append(wide.where(enough).select(*cell_p, "t_band", "t_cell"))
-            waiting = waiting.join(bound.select(*cell_p), cell_p, "left_anti")
-            open_cells -= settled
-    if not candidates:
+def _far(places: DataFrame, found_sites: DataFrame, limit_m: float, ties: bool) -> DataFrame | None:
+    """Nearest site of each place, by descent of both pyramids (see pyramid.py). Both tables are stored."""
+    found = descend(places, found_sites, limit_m)
+    if found is None:
         return None
-    allowed = cut(reduce(DataFrame.unionByName, candidates), "candidates")
-
-    members = with_cell(found_sites, "s_lat", "s_lon", step).withColumnsRenamed({"_band": "t_band", "_cell": "t_cell"})
-    placed = with_cell(places, "p_lat", "p_lon", step).withColumnsRenamed({"_band": "c_band", "_cell": "c_cell"})
-    # the smaller of the two point sets meets the cell pairs first
-    (first, key1, n_first), (second, key2, n_second) = sorted(
-        [(placed, cell_p, n_places), (members, ["t_band", "t_cell"], n_sites)], key=lambda side: side[2])
-    reach = lookup_join(first, allowed, key1, "inner", cfg)
-    near = lookup_join(second, cut(reach, "reach"), key2, "inner", cfg)
-    pairs = (
-        near.withColumn("distance_m", haversine_m("p_lat", "p_lon", "s_lat", "s_lon"))
-        .where(F.col("distance_m") <= limit_m)
-    )
+    pairs = opened(places, found_sites, *found, "for_p").where(F.col("distance_m") <= limit_m)
     place = ["p_lat", "p_lon"]
     if not ties:
         best = pairs.groupBy(*place).agg(F.min(F.struct("distance_m", "site", "s_lat", "s_lon")).alias("_b"))
@@ -255,6 +193,30 @@ def _far(places: DataFrame, found_sites: DataFrame, step: float, limit_m: float,
     return cut(tied.select(*place, "distance_m", "site", "s_lat", "s_lon"), "answers")
 
 
+def nearest_both(crowd: DataFrame, nodes: DataFrame, crowd_key: str, node_key: str,
+                 crowd_at=("latitude", "longitude"), node_at=("osm_lat", "osm_lon")) -> tuple[DataFrame, DataFrame]:
+    """(nearest node of every crowd position, nearest crowd position of every node position) by one descent.
+
+    The first has ``p_lat, p_lon``, the second ``s_lat, s_lon``; both have the other side's position, ``distance_m``, and the
+    lowest key at the nearest position as ``site``. Empty where a side is empty. Positions must not be null.
+    """
+    places = cut(sites(crowd, crowd_at, crowd_key).select(F.col("s_lat").alias("p_lat"), F.col("s_lon").alias("p_lon"), F.col("site").alias("p_site")), "places")
+    found = cut(sites(nodes, node_at, node_key).withColumnRenamed("site", "s_site"), "sites")
+    down = descend(places, found, both=True)
+    if down is None:
+        none = places.crossJoin(found.limit(0)).withColumn("distance_m", F.lit(None).cast("double"))
+        return (none.select("p_lat", "p_lon", "distance_m", F.col("s_site").alias("site"), "s_lat", "s_lon"),
+                none.select("s_lat", "s_lon", "distance_m", F.col("p_site").alias("site"), "p_lat", "p_lon"))
+
+    def best(of: str, other: str) -> DataFrame:
+        here, there = [f"{of}_lat", f"{of}_lon"], [f"{other}_lat", f"{other}_lon"]
+        pairs = opened(places, found, *down, f"for_{of}")
+        least = pairs.groupBy(*here).agg(F.min(F.struct("distance_m", F.col(f"{other}_site").alias("site"), *there)).alias("_b"))
+        return cut(least.select(*here, "_b.*"), "answers")
+
+    return best("p", "s"), best("s", "p")
+
+
 def nearest_of_many(anchors: DataFrame, crowd: DataFrame, key: str, anchor_key: str,
                     anchor_at=("osm_lat", "osm_lon"), crowd_at=("latitude", "longitude"),
                     start_m: float = 100.0, cfg: AuditConfig = DEFAULT) -> DataFrame:
@@ -274,7 +236,7 @@ def nearest_of_many(anchors: DataFrame, crowd: DataFrame, key: str, anchor_key:
     places = cut(places, "places")
     answers = None
     if places.limit(1).count():
-        answers = _far(places, cut(sites(crowd, crowd_at, key), "sites"), start_m, _WHOLE_EARTH_M, False, cfg)
+        answers = _far(places, cut(sites(crowd, crowd_at, key), "sites"), _WHOLE_EARTH_M, False)
     near = anchors.join(close, anchor_key)
     if answers is None:
         empty = [F.lit(None).cast(close.schema[c].dataType).alias(c) for c in close.columns if c != anchor_key]
