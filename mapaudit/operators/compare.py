@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapaudit.config import DEFAULT, AuditConfig
-from mapaudit.operators.spatial import nearest, nearest_of_many
+from mapaudit.operators.spatial import nearest_both, with_answers
 
 # The status texts of the exported comparison.
 REPORT_STATUS = {"verified": "Verified", "new": "New Sign Detected", "missing": "Missing Sign on Road"}
@@ -20,34 +18,29 @@ def compare(det: DataFrame, nodes: DataFrame, cfg: AuditConfig = DEFAULT) -> Dat
     A detection is verified when its nearest node is closer than
     ``verify_below_m``, else new. A node is missing when its nearest detection is
     ``missing_from_m`` away or more; nodes in between are in no list. Distances
-    are null where the other side is empty.
+    are null where the other side is empty. One descent of both sides' cells answers both directions.
     """
     det = det.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     nodes = nodes.where(F.col("osm_lat").isNotNull() & F.col("osm_lon").isNotNull())
     columns = ["status", "detection_id", "detected_lat", "detected_lon", "osm_id", "osm_lat", "osm_lon", "distance_m"]
 
-    def from_detections() -> DataFrame:
-        near = nearest(det.select("detection_id", "latitude", "longitude"), nodes.select("osm_id", "osm_lat", "osm_lon"),
-                       "osm_id", cfg=cfg)
-        return (
-            near.withColumn("status", F.when(F.col("distance_m") < cfg.verify_below_m, "verified").otherwise("new"))
-            .withColumn("osm_id", F.col("site.osm_id"))
-            .withColumnsRenamed({"latitude": "detected_lat", "longitude": "detected_lon",
-                                 "s_lat": "osm_lat", "s_lon": "osm_lon"})
-        )
-
-    def from_nodes() -> DataFrame:
-        near = nearest_of_many(nodes.select("osm_id", "osm_lat", "osm_lon"), det, "detection_id", "osm_id", cfg=cfg)
-        return (
-            near.where(F.coalesce(F.col("distance_m"), F.lit(float("inf"))) >= cfg.missing_from_m)
-            .withColumn("status", F.lit("missing"))
-            .withColumn("detection_id", F.col("site.detection_id"))
-            .withColumnsRenamed({"s_lat": "detected_lat", "s_lon": "detected_lon"})
-        )
-
-    # both directions search in rounds of small jobs: let them share the cluster
-    with ThreadPoolExecutor(2) as pool:
-        seen, missing = [f.result() for f in (pool.submit(from_detections), pool.submit(from_nodes))]
+    det, nodes = det.select("detection_id", "latitude", "longitude"), nodes.select("osm_id", "osm_lat", "osm_lon")
+    by_place, by_site = nearest_both(det, nodes, "detection_id", "osm_id")
+    here, there = ("latitude", "longitude"), ("osm_lat", "osm_lon")
+
+    seen = with_answers(det, here, by_place, ("p_lat", "p_lon"), cfg)
+    seen = (
+        seen.withColumn("status", F.when(F.col("distance_m") < cfg.verify_below_m, "verified").otherwise("new"))
+        .withColumn("osm_id", F.col("site.osm_id"))
+        .withColumnsRenamed({"latitude": "detected_lat", "longitude": "detected_lon", "s_lat": "osm_lat", "s_lon": "osm_lon"})
+    )
+    missing = with_answers(nodes, there, by_site, ("s_lat", "s_lon"), cfg)
+    missing = (
+        missing.where(F.coalesce(F.col("distance_m"), F.lit(float("inf"))) >= cfg.missing_from_m)
+        .withColumn("status", F.lit("missing"))
+        .withColumn("detection_id", F.col("site.detection_id"))
+        .withColumnsRenamed({"p_lat": "detected_lat", "p_lon": "detected_lon"})
+    )
     return seen.select(*columns).unionByName(missing.select(*columns))
 
 

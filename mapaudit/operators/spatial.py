@@ -132,19 +132,28 @@ def _nearest_in_cell(points: DataFrame, cover: DataFrame, point_at, radius_m: fl
 
 def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m: float | None = None,
             point_at=("latitude", "longitude"), node_at=("osm_lat", "osm_lon"),
-            ties: bool = False, start_m: float = 100.0, cfg: AuditConfig = DEFAULT) -> DataFrame:
+            ties: bool = False, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Nearest node of every point, within ``radius_m`` or with no limit.
 
     Adds ``distance_m, site, s_lat, s_lon``: null when nothing is in range. On
     equal distance the lowest key wins, or with ``ties`` one row per tied position.
 
-    Most points are settled by one grid join at the start radius. That radius is
-    lowered until no neighbourhood can hold more than ``cfg.cell_sites`` positions. Points
-    without a hit go through ``_far``, which works on distinct positions.
+    Without a limit, the distinct positions of the points go through ``_far``. With one, most points are settled by
+    one grid join at that radius, which is lowered until no neighbourhood can hold more than ``cfg.cell_sites``
+    positions; points without a hit then go through ``_far``.
     """
     out = [*points.columns, *_ADDED]
     points, found_sites = with_dice(points), sites(nodes, node_at, key, payload)
-    step = radius_m if radius_m is not None else start_m
+    if radius_m is None:
+        found_sites = cut(found_sites, "sites")
+        at = [F.col(c) for c in point_at]
+        places = points.where(at[0].isNotNull() & at[1].isNotNull()).select(at[0].alias("p_lat"), at[1].alias("p_lon")).distinct()
+        answers = _far(cut(places, "places"), found_sites, _WHOLE_EARTH_M, ties)
+        if answers is None:
+            types = {"distance_m": "double", **{f.name: f.dataType for f in found_sites.schema}}
+            return points.withColumns({c: F.lit(None).cast(types[c]) for c in _ADDED}).select(*out)
+        return with_answers(points, point_at, answers, ("p_lat", "p_lon"), cfg).select(*out)
+    step = radius_m
     while True:
         size = measure_sites(found_sites, step)
         if size.densest * _NEAR_CELLS <= cfg.cell_sites or step < 0.01:
@@ -158,13 +167,12 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
         return local.select(*out)
 
     missed = F.col("distance_m").isNull() & F.col(point_at[0]).isNotNull() & F.col(point_at[1]).isNotNull()
-    limit = radius_m if radius_m is not None else _WHOLE_EARTH_M
     places = local.where(missed).select(
         F.col(point_at[0]).alias("p_lat"), F.col(point_at[1]).alias("p_lon")).distinct()
     places = cut(places, "places")
     if not places.limit(1).count():
         return local.select(*out)
-    answers = _far(places, cut(found_sites, "sites"), limit, ties)
+    answers = _far(places, cut(found_sites, "sites"), radius_m, ties)
     if answers is None:
         return local.select(*out)
     if fits_broadcast(answers.count(), cfg):
@@ -204,7 +212,8 @@ def nearest_both(crowd: DataFrame, nodes: DataFrame, crowd_key: str, node_key: s
     found = cut(sites(nodes, node_at, node_key).withColumnRenamed("site", "s_site"), "sites")
     down = descend(places, found, both=True)
     if down is None:
-        none = places.crossJoin(found.limit(0)).withColumn("distance_m", F.lit(None).cast("double"))
+        both = {f.name: f.dataType for f in [*places.schema, *found.schema]}
+        none = places.limit(0).select(*(F.lit(None).cast(t).alias(c) for c, t in both.items()), F.lit(None).cast("double").alias("distance_m"))
         return (none.select("p_lat", "p_lon", "distance_m", F.col("s_site").alias("site"), "s_lat", "s_lon"),
                 none.select("s_lat", "s_lon", "distance_m", F.col("p_site").alias("site"), "p_lat", "p_lon"))
 
@@ -217,6 +226,14 @@ def nearest_both(crowd: DataFrame, nodes: DataFrame, crowd_key: str, node_key: s
     return best("p", "s"), best("s", "p")
 
 
+def with_answers(rows: DataFrame, at, answers: DataFrame, answer_at, cfg: AuditConfig = DEFAULT) -> DataFrame:
+    """``rows`` with the answers for their positions, nulls where there are none. Positions that very many rows share are dealt out."""
+    answers = answers.withColumnsRenamed(dict(zip(answer_at, at)))
+    if fits_broadcast(answers.count(), cfg):
+        return rows.join(F.broadcast(answers), list(at), "left")
+    return salted_join(rows, answers, list(at), "left", cfg.hot_rows)
+
+
 def nearest_of_many(anchors: DataFrame, crowd: DataFrame, key: str, anchor_key: str,
                     anchor_at=("osm_lat", "osm_lon"), crowd_at=("latitude", "longitude"),
                     start_m: float = 100.0, cfg: AuditConfig = DEFAULT) -> DataFrame:

@@ -362,6 +362,11 @@ select detection_id, class_name as detected_class, recording_timestamp, confiden
     "proximity_pairs_100m": _pairs(100),
     "nearest_node": using("nearest", """
 select detection_id, class_name as detection_class, osm_id, osm_type, round(dist, 3) as distance_meters from nearest"""),
+    "nearest_node_far": using("located osm", f"""
+select detection_id, class_name as detection_class, osm_id, osm_type, round(dist, 3) as distance_meters from (
+  select *, row_number() over (partition by detection_id order by dist, osm_id) as rn from (
+    select d.*, o.osm_id, o.osm_type, {hav('(d.vehicle_lat + 0.54)', 'd.vehicle_lon', 'o.latitude', 'o.longitude')} as dist
+    from located d cross join osm o) p) t where rn = 1"""),
     "nearest_within_radius": using("located nodes", f"""
 select detection_id, video_name, frame_number, osm_id as nearest_osm_node_id, round(dist, 3) as distance_meters from (
   select *, rank() over (partition by video_name, frame_number order by dist asc nulls last) as rk from (

@@ -463,6 +463,14 @@ def _(spark, d):
     return rounded(found.select("detection_id", "detection_class", "osm_id", "osm_type", "distance_meters"), distance_meters=3)
 
 
+@query("nearest_node_far")
+def _(spark, d):
+    """Detections that stand 60 km north of where they were made, so no node is near."""
+    det, osm = _det_osm(spark, d)
+    found = proximity.nearest_nodes(det.withColumn("vehicle_lat", F.col("vehicle_lat") + 0.54), osm)
+    return rounded(found.select("detection_id", "detection_class", "osm_id", "osm_type", "distance_meters"), distance_meters=3)
+
+
 @query("nearest_within_radius")
 def _(spark, d):
     det, osm = _staged(spark, d)

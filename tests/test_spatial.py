@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mapaudit.config import AuditConfig
+from mapaudit.operators.pyramid import descend, opened
 from mapaudit.operators.skew import keep_rank_one, lookup_join, salted_join
-from mapaudit.operators.spatial import nearest, nearest_of_many, radius_join
+from mapaudit.operators.spatial import nearest, nearest_both, nearest_of_many, radius_join
 
 R = 6371000.0
 
@@ -116,6 +117,53 @@ def test_nearest_of_many(spark):
         assert abs(got[f"n{j:05d}"].distance_m - min(metres(a, b) for a in p)) < 1e-3
 
 
+def _brute(a, b):
+    return [min(metres(x, y) for y in b) for x in a]
+
+
+def test_nearest_both_ways(spark):
+    pts, nodes = scatter(300, 21), scatter(180, 22) + [(43.7, -79.4), (-33.9, 151.2)]
+    by_place, by_site = nearest_both(points_df(spark, pts), nodes_df(spark, nodes), "pid", "osm_id")
+    for rows, at, mine, other in ((by_place, ("p_lat", "p_lon"), pts, nodes), (by_site, ("s_lat", "s_lon"), nodes, pts)):
+        got = {(r[at[0]], r[at[1]]): r.distance_m for r in rows.collect()}
+        assert set(got) == set(mine)
+        for p, want in zip(mine, _brute(mine, other)):
+            assert abs(got[p] - want) < 1e-3
+    none = points_df(spark, []), nodes_df(spark, nodes)
+    assert all(x.isEmpty() for x in nearest_both(*none, "pid", "osm_id"))
+
+
+def test_far_places_meet_few_sites(spark):
+    """2,000 places 60 km off 20,000 sites, and a ring of sites around them: pairs per cell stay few on every level."""
+    rng = random.Random(4)
+    sites = [(43.6 + rng.uniform(0, 0.28), -79.6 + rng.uniform(0, 0.5)) for _ in range(20_000)]
+    places = [(44.45 + rng.uniform(0, 0.1), -79.5 + rng.uniform(0, 0.2)) for _ in range(2000)]
+    s = spark.createDataFrame(sites, "s_lat double, s_lon double").cache()
+    p = spark.createDataFrame(places, "p_lat double, p_lon double").cache()
+    trace = []
+    pairs, level = descend(p, s, trace=trace)
+    assert all(n <= 100 * cells for _, cells, n in trace), trace
+    met = opened(p, s, pairs, level, "for_p")
+    assert met.count() < 0.01 * 2000 * 20_000
+    got = met.groupBy("p_lat", "p_lon").agg(F.min("distance_m").alias("d")).collect()
+    assert len(got) == 2000
+    near = random.Random(1).sample(got, 20)
+    assert all(abs(r.d - min(metres((r.p_lat, r.p_lon), x) for x in sites)) < 1e-3 for r in near)
+
+
+def test_crowded_cells_are_split(spark):
+    """100,000 sites within metres of each other, and places among them."""
+    rng = random.Random(9)
+    sites = [(43.7 + rng.uniform(0, 1e-3), -79.4 + rng.uniform(0, 1e-3)) for _ in range(30_000)]
+    places = [(43.7 + rng.uniform(0, 1e-3), -79.4 + rng.uniform(0, 1e-3)) for _ in range(300)]
+    s = spark.createDataFrame(sites, "s_lat double, s_lon double").cache()
+    p = spark.createDataFrame(places, "p_lat double, p_lon double").cache()
+    met = opened(p, s, *descend(p, s), "for_p")
+    assert met.count() < 300 * 1000
+    got = {(r.p_lat, r.p_lon): r.d for r in met.groupBy("p_lat", "p_lon").agg(F.min("distance_m").alias("d")).collect()}
+    assert len(got) == 300 and all(abs(got[x] - min(metres(x, y) for y in sites)) < 1e-3 for x in places[:20])
+
+
 def test_rank_with_hot_group_equals_window(spark):
     rows = [("" if i % 3 else None, i % 2, None if i % 5 == 0 else float(i % 4), i) for i in range(200)]
     rows += [("v", 9, None, 1000 + i) for i in range(40)]  # a hot group without any distance
