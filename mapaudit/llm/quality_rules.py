@@ -1,9 +1,10 @@
 """Quality rules: base limits, then robust multivariate outliers per language and source.
 
 Each text becomes a vector of transformed statistics. For every (lang, source) the minimum covariance
-determinant estimate of mean and covariance is found by concentration: from medians and absolute
-deviations, the half of the rows with the smallest distance gives the next mean and covariance, and so
-on. Rows far away by the resulting Mahalanobis distance are rejected. A (lang, source) of few rows is judged
+determinant estimate of mean and covariance is found by concentration from two starts (medians and absolute
+deviations, without and with the correlations of spatial signs): the half of the rows with the smallest distance
+gives the next mean and covariance, until its limit stays; the start that ends with the smaller determinant
+counts. Rows far away by the resulting Mahalanobis distance are rejected. A (lang, source) of few rows is judged
 by the estimate over all rows of its language, and where those are few too, by that over all rows; every
 row that passes the base limits has a distance. All of it is DataFrame expressions; a step is two combining
 aggregates and a join with one small row per pool.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapaudit.session import cut
@@ -26,7 +27,7 @@ class RuleConfig:
     most_repeated: int = 30  # percent of words in repeated windows
     window: int = 8
     core: float = 0.5  # part of a group that the estimate rests on
-    steps: int = 4  # concentration steps
+    most_steps: int = 30  # concentration steps of a start whose limit does not stay before
     cutoff: float = 45.0  # squared distance; about 4e-9 of clean normal rows lie beyond
     least_rows: int = 50  # a smaller group is judged by the pool of its language, or of all rows
     broadcast_groups: int = 50_000
@@ -42,8 +43,11 @@ FEATURES = {
     "repeated": ("ln(0.02 + n_repeat_words / n_words)", 0.6),
     "words": ("ln(n_words)", 0.25),
 }
+SCALE = 4096  # statistics are whole multiples of one part of this
 _P = len(FEATURES)
 _X = list(FEATURES)
+#: Distances on a scale of 1024 steps for each doubling of 1 + d2: some 60,000 values at most.
+_STEP = "cast(floor(log2(1 + d2) * 1024) as long)"
 _KEY = ["g_level", "g_lang", "g_source"]  # level 0: a group, 1: a language, 2: all rows
 
 
@@ -108,7 +112,7 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, _P)), F.col("z0") * F.col("z0")))
 
 
-def _factor(groups: DataFrame) -> DataFrame:
+def _factor(groups: DataFrame, *more: str) -> DataFrame:
     """From ``c{i}{j}`` (covariance) to ``l{i}{j}`` (its Cholesky factor), floors added."""
     for i, x in enumerate(_X):
         for j in range(i + 1):
@@ -116,7 +120,7 @@ def _factor(groups: DataFrame) -> DataFrame:
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(f"l{j}{j}"))
-    return groups.select(*_KEY, *(f"m{i}" for i in range(_P)), *(f"l{i}{j}" for i in range(_P) for j in range(i + 1)))
+    return groups.select(*_KEY, *more, *(f"m{i}" for i in range(_P)), *(f"l{i}{j}" for i in range(_P) for j in range(i + 1)))
 
 
 def _pools(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
@@ -138,34 +142,109 @@ def _pools(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
                  lambda p: p.isNotNull()).alias("pools"))
 
 
+def _limits(counted: DataFrame, key: list[str], value: str, share: float) -> DataFrame:
+    """``key, limit``: the least value that at least ``share`` of a key's rows do not exceed, from ``n`` rows per value.
+
+    Exact, so it does not depend on how rows are dealt. A key's window holds one row per distinct value, and values
+    come from a bounded scale.
+    """
+    window = Window.partitionBy(*key)
+    ranked = counted.select(*key, value, F.sum("n").over(window.orderBy(value)).alias("upto"), F.sum("n").over(window).alias("all"))
+    return ranked.where(F.col("upto") >= share * F.col("all")).groupBy(*key).agg(F.min(value).alias("limit"))
+
+
+def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """``{name}{i}``: the lower median of each value per pool."""
+    each = rows.select(*_KEY, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values)))).alias("e"))
+    found = _limits(each.groupBy(*_KEY, "e.i", "e.v").agg(F.count("*").alias("n")), [*_KEY, "i"], "v", 0.5)
+    return found.groupBy(*_KEY).agg(*(F.max(F.when(F.col("i") == i, F.col("limit"))).alias(f"{name}{i}") for i in range(_P)))
+
+
+def _halves(a: Column, b: Column, name: str) -> list[Column]:
+    """The exact sum of products of whole numbers, as two sums that do not overflow."""
+    return [F.sum(F.shiftright(a * b, 16)).alias(f"{name}h"), F.sum((a * b).bitwiseAND(F.lit(65535))).alias(f"{name}l")]
+
+
+def _whole_sum(name: str) -> Column:
+    return F.col(f"{name}h") * F.lit(65536.0) + F.col(f"{name}l")
+
+
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(_P) for j in range(i + 1)]
+
+
+def _starts(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """Two first estimates of every pool: ``start`` 0 from medians and absolute deviations alone, 1 with the
+    correlations of the spatial signs (scaled rows brought to length 1) as well."""
+    q = [F.col(f"q{i}") for i in range(_P)]
+    middle = cut(_medians(rows, q, "o"), "groups")
+    few = middle.count() <= cfg.broadcast_groups
+    middle = cut(middle.join(_medians(_with_groups(rows, middle, few), [F.abs(q[i] - F.col(f"o{i}")) for i in range(_P)], "s"), _KEY), "groups")
+    width = [F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + (FEATURES[x][1] * SCALE) ** 2) for i, x in enumerate(_X)]
+    signs = _with_groups(rows, middle, few).select(*_KEY, *(((q[i] - F.col(f"o{i}")) / width[i]).alias(f"z{i}") for i in range(_P)))
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, _P)), F.col("z0") * F.col("z0")))
+    signs = signs.withColumn("length", length).select(*_KEY, *(
+        F.when(F.col("length") > 0, F.floor(F.col(f"z{i}") / F.col("length") * SCALE + 0.5)).otherwise(0).cast("long").alias(f"u{i}") for i in range(_P)))
+    turned = signs.groupBy(*_KEY).agg(F.count("*").alias("n"), *(h for i, j in _pairs() for h in _halves(F.col(f"u{i}"), F.col(f"u{j}"), f"t{i}{j}")))
+    groups = middle.join(turned, _KEY).select(
+        *_KEY, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), *(F.col(f"o{i}") / SCALE for i in range(_P)),
+        *(F.when(F.col("start") == 1, _whole_sum(f"t{i}{j}") / F.col("n") * _P / SCALE**4 * width[i] * width[j])
+          .otherwise(F.pow(1.4826 * F.col(f"s{i}") / SCALE, 2) if i == j else F.lit(0.0)) for i, j in _pairs()))
+    return _factor(groups.toDF(*_KEY, "start", *(f"m{i}" for i in range(_P)), *(f"c{i}{j}" for i, j in _pairs())), "start")
+
+
+def _concentrated(rows: DataFrame, groups: DataFrame, cfg: RuleConfig, few: bool) -> DataFrame:
+    """One step: the ``cfg.core`` of a pool's rows with the smallest distance gives its next mean and factor.
+
+    ``limit`` is the last distance inside the core, ``settled`` whether the step before had the same.
+    """
+    key = [*_KEY, "start"]
+    far = _distance(_with_groups(rows, groups, few)).withColumn("step", F.expr(_STEP))
+    limits = cut(_limits(far.groupBy(*key, "step").agg(F.count("*").alias("n")), key, "step", cfg.core), "limits")
+    bounded = groups.withColumnRenamed("limit", "before").join(limits, key)
+    core = _distance(_with_groups(rows, bounded, few)).where(F.expr(_STEP) <= F.col("limit"))
+    q = [F.col(f"q{i}") for i in range(_P)]
+    sums = core.groupBy(*key, "limit", "before").agg(
+        F.count("*").alias("n"), *(F.sum(v).alias(f"t{i}") for i, v in enumerate(q)), *(h for i, j in _pairs() for h in _halves(q[i], q[j], f"t{i}{j}")))
+    scale = consistency(cfg.core) / SCALE**2
+    mean = [F.col(f"t{i}") / F.col("n") for i in range(_P)]
+    moved = sums.select(*key, "limit", F.coalesce(F.col("limit") == F.col("before"), F.lit(False)).alias("settled"),
+                        *((m / SCALE).alias(f"m{i}") for i, m in enumerate(mean)),
+                        *(((_whole_sum(f"t{i}{j}") / F.col("n") - mean[i] * mean[j]) * scale).alias(f"c{i}{j}") for i, j in _pairs()))
+    return _factor(moved, "start", "limit", "settled")
+
+
 def estimates(rows: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Mean ``m{i}`` and Cholesky factor ``l{i}{j}`` that judge each (g_lang, g_source): its own ones from
-    ``cfg.least_rows`` rows on, else those of its language from as many rows on, else those of all rows."""
-    key = _KEY
+    ``cfg.least_rows`` rows on, else those of its language from as many rows on, else those of all rows.
+
+    Both starts of a pool take concentration steps until the core's limit stays; the one with the smaller
+    determinant is taken. Statistics are whole multiples of 1 / SCALE, all sums, medians and limits are exact, so
+    the result does not depend on the number of partitions. Distances on one step of the scale are ties, and ties
+    with the limit belong to the core.
+    """
     pools = cut(_pools(rows, cfg), "pools")
     held = pools.select("g_lang", "g_source", "pools")
     rows = rows.join(F.broadcast(held) if held.count() <= cfg.broadcast_groups else held, ["g_lang", "g_source"])
-    rows = rows.withColumn("pool", F.explode("pools")).select("pool.*", *(f"x_{x}" for x in _X))
-    middle = cut(rows.groupBy(*key).agg(*(F.percentile_approx(f"x_{x}", 0.5, 10_000).alias(f"m{i}") for i, x in enumerate(_X))), "groups")
-    few = middle.count() <= cfg.broadcast_groups
-    spread = _with_groups(rows, middle, few).groupBy(*key).agg(
-        *(F.percentile_approx(F.abs(F.col(f"x_{x}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i, x in enumerate(_X)))
-    groups = middle.join(spread, key)
-    for i in range(_P):
-        for j in range(i + 1):
-            groups = groups.withColumn(f"c{i}{j}", F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0))
-    groups = cut(_factor(groups), "groups")
-    scale = consistency(cfg.core)
-    for _ in range(cfg.steps):
-        far = _distance(_with_groups(rows, groups, few))
-        limit = far.groupBy(*key).agg(F.percentile_approx("d2", cfg.core, 10_000).alias("limit"))
-        core = _distance(_with_groups(rows, groups.join(cut(limit, "limits"), key), few)).where("d2 <= limit")
-        groups = core.groupBy(*key).agg(
-            *(F.avg(f"x_{x}").alias(f"m{i}") for i, x in enumerate(_X)),
-            *((F.covar_pop(f"x_{a}", f"x_{_X[j]}") * scale).alias(f"c{i}{j}") for i, a in enumerate(_X) for j in range(i + 1)))
-        groups = cut(_factor(groups), "groups")
+    rows = rows.withColumn("pool", F.explode("pools")).select("pool.*", *(F.floor(F.col(f"x_{x}") * SCALE + 0.5).cast("long").alias(f"q{i}") for i, x in enumerate(_X)))
+    rows = cut(rows, "vectors")
+    rows = rows.select("*", *((F.col(f"q{i}") / SCALE).alias(f"x_{x}") for i, x in enumerate(_X)))
+    groups = _starts(rows, cfg).withColumns({"limit": F.lit(None).cast("long"), "settled": F.lit(False)})
+    groups = cut(groups, "groups")
+    few = groups.count() <= cfg.broadcast_groups
+    for _ in range(cfg.most_steps):
+        moving = groups.where("not settled")
+        if moving.isEmpty():
+            break
+        moved = _concentrated(rows, moving, cfg, few)
+        groups = cut(groups.where("settled").unionByName(moved), "groups")
+    values = [c for c in groups.columns if c[0] in "ml" and c[1:].isdigit()]
+    volume = F.col("l00")
+    for i in range(1, _P):
+        volume = volume * F.col(f"l{i}{i}")
+    best = groups.groupBy(*_KEY).agg(F.min(F.struct(volume.alias("volume"), "start", *values)).alias("best"))
+    found = best.select(F.struct(*_KEY).alias("pool"), *(f"best.{c}" for c in values))
     judged = pools.select("g_lang", "g_source", F.col("judge").alias("pool"))
-    found = groups.select(F.struct(*_KEY).alias("pool"), *(c for c in groups.columns if c not in _KEY))
     return cut(judged.join(F.broadcast(found) if few else found, "pool").drop("pool"), "groups")
 
 
@@ -187,7 +266,7 @@ def quality_rules(docs: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     shown = [F.expr(e).alias(f"x_{x}") for x, (e, _) in FEATURES.items()]
     groups = estimates(vectors.select("g_lang", "g_source", *shown), cfg)
     few = groups.count() <= cfg.broadcast_groups
-    rows = stats.select("*", *(F.when(~F.col("base_failed"), c).alias(f"x_{x}") for c, x in zip(shown, _X)))
+    rows = stats.select("*", *(F.when(~F.col("base_failed"), F.floor(c * SCALE + 0.5) / SCALE).alias(f"x_{x}") for c, x in zip(shown, _X)))
     rows = rows.join(F.broadcast(groups) if few else groups, ["g_lang", "g_source"], "left")
     return _distance(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                                   (~F.col("base_failed") & F.coalesce(F.col("d2") <= cfg.cutoff, F.lit(False))).alias("kept"), F.sqrt("d2").alias("distance"))

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from mapaudit.llm import bpe, jaccard, language_id, licenses, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, topk
 from mapaudit.llm.queries import BYTE_BPE, WORD_BPE
+from mapaudit.session import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, marks string, ids string, n string, key string"
@@ -347,16 +348,39 @@ def test_quality_rules_outliers(spark):
     def middle(v):
         return np.sort(v)[(len(v) + 1) // 2 - 1]
 
-    mean = np.array([middle(x[:, i]) for i in range(4)])
-    cov = np.diag([(1.4826 * middle(abs(x[:, i] - mean[i]))) ** 2 for i in range(4)]) + floor
-    for _ in range(quality_rules.DEFAULT.steps):
-        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        core = x[d2 <= middle(d2)]
-        mean, cov = core.mean(0), np.cov(core.T, bias=True) * quality_rules.consistency(0.5) + floor
+    x = np.floor(x * quality_rules.SCALE + 0.5) / quality_rules.SCALE
+    centre = np.array([middle(x[:, i]) for i in range(4)])
+    spread = np.diag([1.4826 * middle(abs(x[:, i] - centre[i])) for i in range(4)])
+    width = np.sqrt(np.diag(spread) ** 2 + np.diag(floor))
+    signs = (x - centre) / width
+    signs /= np.linalg.norm(signs, axis=1, keepdims=True)
+    ends = []
+    for cov in (spread**2 + floor, signs.T @ signs / len(x) * 4 * np.outer(width, width) + floor):
+        mean, limit = centre, None
+        for _ in range(quality_rules.DEFAULT.most_steps):
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            step = np.floor(np.log2(1 + d2) * 1024)
+            before, limit = limit, middle(step)
+            core = x[step <= limit]
+            mean, cov = core.mean(0), np.cov(core.T, bias=True) * quality_rules.consistency(0.5) + floor
+            if limit == before:
+                break
+        ends.append((np.linalg.det(cov), mean, cov))
+    _, mean, cov = min(ends, key=lambda e: e[0])
     d = np.sqrt(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))
     assert np.allclose(got.distance.sort_index(), d, rtol=1e-3)
 
 
+def test_quality_rules_repeat(spark):
+    """The estimate of a large group is the same however its rows are dealt."""
+    rows = spark.range(20_000).select(
+        F.lit("en").alias("g_lang"), F.lit("s").alias("g_source"),
+        *((F.randn(i + 1) * 0.3 + F.col("id") % 3).alias(f"x_{x}") for i, x in enumerate(quality_rules.FEATURES)))
+    rows = cut(rows)
+    found = [quality_rules.estimates(rows.repartition(n)).collect() for n in (1, 40)]
+    assert len(found[0]) == 1 and found[0] == found[1]
+
+
 def test_quality_rules_small_groups(spark):
     """Sources of few rows are judged by their language, languages of few rows by all rows."""
     rng = np.random.default_rng(8)
