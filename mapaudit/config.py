@@ -29,6 +29,8 @@ class AuditConfig:
     pair_nodes: int = 32
     # A key holding more rows than this is spread over several tasks.
     hot_rows: int = 1_000_000
+    # Most pairs of one grid cell that a task of a shuffled radius join compares.
+    task_pairs: int = 50_000_000
     # "auto" picks by counted size; "broadcast" / "shuffle" force one (tests).
     join_strategy: str = "auto"
 

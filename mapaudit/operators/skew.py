@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapaudit.config import AuditConfig
+from mapaudit.session import cut
 
-_ROW_BYTES = 128  # generous size of one row of a broadcast table
+ROW_BYTES = 128  # generous size of one row of a broadcast table
 _NULL_FAN = 1024  # rows with a null key match nothing: spread them evenly
 
 
@@ -34,7 +37,7 @@ def _throw(df: DataFrame) -> Column:
     return F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def fits_broadcast(rows: int, cfg: AuditConfig, row_bytes: int = _ROW_BYTES) -> bool:
+def fits_broadcast(rows: int, cfg: AuditConfig, row_bytes: int = ROW_BYTES) -> bool:
     if cfg.join_strategy != "auto":
         return cfg.join_strategy == "broadcast"
     return rows * row_bytes <= cfg.broadcast_bytes
@@ -91,6 +94,80 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot
     return left.join(right, match & condition, how).drop("_salt", *[f"_r{k}" for k in on])
 
 
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Number of rows and the mean bytes that one takes in a broadcast, from one scan."""
+    sizes = [F.octet_length(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() == "string"]
+    sizes += [F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) for f in df.schema.fields if f.dataType.typeName() in ("map", "array", "struct")]
+    width = sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(0)).cast("double")
+    rows, mean = df.agg(F.count(F.lit(1)), F.coalesce(F.avg(width), F.lit(0.0))).first()
+    return rows, max(ROW_BYTES, 64 + 16 * len(df.columns) + math.ceil(mean))
+
+
+def pair_grid(left: DataFrame, right: DataFrame, keys: list[str], cfg: AuditConfig) -> DataFrame:
+    """(keys, _rows, _cols) for keys that are too much for one task.
+
+    That is more than ``hot_rows`` rows on a side or more than ``task_pairs`` pairs. Left rows are dealt to ``_rows``
+    parts, right rows to ``_cols``, and each (row, column) holds at most about ``task_pairs`` pairs. A listed key has at
+    least sqrt(task_pairs) rows on a side; should the list still not fit a broadcast, larger tasks are allowed.
+    """
+    counts = [side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+              for side, name in ((left, "_p"), (right, "_q"))]
+    both = counts[0].join(counts[1], keys, "full").select(
+        *keys, F.coalesce("_p", F.lit(0)).cast("double").alias("_p"), F.coalesce("_q", F.lit(0)).cast("double").alias("_q"))
+    p, q, hot, pairs = F.col("_p"), F.col("_q"), cfg.hot_rows, float(cfg.task_pairs)
+    both = cut(both.where((p > hot) | (q > hot) | (p * q > pairs)), "grid")
+    heavy = both
+    while not fits_broadcast(heavy.count(), replace(cfg, join_strategy="auto")):
+        hot, pairs = 4 * hot, 16 * pairs
+        heavy = both.where((p > hot) | (q > hot) | (p * q > pairs))
+    side = math.sqrt(pairs)
+
+    def parts(mine, other):
+        even = F.when(other <= side, mine * other / pairs).when(mine <= side, F.lit(1.0)).otherwise(mine / side)
+        return F.greatest(F.lit(1), F.ceil(even), F.ceil(mine / hot)).cast("int")
+
+    return heavy.select(*keys, parts(p, q).alias("_rows"), parts(q, p).alias("_cols"))
+
+
+def deal_pairs(left: DataFrame, right: DataFrame, keys: list[str], grid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (_row, _col): a left row gets one row of its key's grid and a copy for each column, a right row
+    one column and a copy for each row, so every pair of equal keys meets exactly once."""
+    grid = F.broadcast(grid)
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+
+    def place(df: DataFrame, parts: str) -> Column:
+        return F.floor(_throw(df) * F.coalesce(parts, F.lit(1))).cast("int")
+
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))
+
+    dealt = left.join(grid, keys, "left").withColumn("_row", F.when(no_key, F.floor(_throw(left) * _NULL_FAN).cast("int")).otherwise(place(left, "_rows")))
+    dealt = dealt.withColumn("_wide", F.coalesce(F.col("_cols") > 1, F.lit(False))).withColumn("_col", every("_cols")).drop("_rows", "_cols")
+    across = right.join(grid, keys, "left").withColumn("_col", place(right, "_cols")).withColumn("_row", every("_rows")).drop("_rows", "_cols")
+    return dealt, across
+
+
+def matrix_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, condition: Column, at: list[str], cfg: AuditConfig) -> DataFrame:
+    """Shuffle equi-join ("inner" or "left") in which a heavy key is many tasks' work whichever side is heavy.
+
+    ``at`` names the left columns that ``condition`` reads. With "left", a left row of a key cut into several columns is
+    kept without a match if none of its columns has one, which is asked by the distinct ``at`` of the rows that have.
+    """
+    grid = cut(pair_grid(left, right, keys, cfg), "grid")
+    dealt, across = deal_pairs(left, right, keys, grid)
+    on = [*keys, "_row", "_col"]
+    across = across.withColumnsRenamed({k: f"_r{k}" for k in on})
+    match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r{k}") for k in on]) & condition
+    drop = ["_row", "_col", "_wide", *(f"_r{k}" for k in on)]
+    if how == "inner" or grid.where("_cols > 1").isEmpty():
+        return dealt.join(across, match, how).drop(*drop)
+    wide = dealt.where("_wide")
+    hits = wide.select(*on, *at).join(across, match, "left_semi").select(*keys, "_row", *at).distinct()
+    lone = wide.where("_col = 0").join(hits, [*keys, "_row", *at], "left_anti").drop(*drop)
+    found = dealt.where("not _wide").join(across, match, "left").unionByName(wide.join(across, match, "inner"))
+    return found.drop(*drop).unionByName(lone, allowMissingColumns=True)
+
+
 def keep_rank_one(df: DataFrame, keys: list[str], value: str, sized_by: DataFrame, hot_rows: int) -> DataFrame:
     """Rows with ``rank() over (partition by keys order by value nulls last) = 1``.
 

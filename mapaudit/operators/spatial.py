@@ -11,7 +11,7 @@ from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.functions.geo import haversine_m, unit_vector
 from mapaudit.operators.grid import CELL, with_cell, with_cover
 from mapaudit.operators.pyramid import descend, opened
-from mapaudit.operators.skew import fits_broadcast, salted_join, with_dice
+from mapaudit.operators.skew import ROW_BYTES, fits_broadcast, matrix_join, measure, salted_join, with_dice
 from mapaudit.session import cut
 
 _MOST_CELLS = 60  # no circle touches more cells, even at a pole (usually 9)
@@ -43,7 +43,8 @@ def radius_join(points: DataFrame, nodes: DataFrame, radius_m: float, how: str =
 
     ``nodes`` is the side that is copied to its cover cells. While that copy is
     below the broadcast limit the points are not shuffled at all; beyond it both
-    sides are shuffled by cell with hot cells spread out. With ``how="left"``
+    sides are shuffled by cell, and a cell with many points, many nodes or both is cut into a
+    grid of tasks. With ``how="left"``
     unmatched points stay, with nulls. Column names must not overlap. A caller
     that knows the node count passes it and saves the count.
     """
@@ -53,15 +54,16 @@ def radius_join(points: DataFrame, nodes: DataFrame, radius_m: float, how: str =
     points = with_cell(points, *point_at, radius_m)
     distance = haversine_m(*point_at, *node_at)
     near = distance < radius_m if strict else distance <= radius_m
+    width = ROW_BYTES
     if cfg.join_strategy == "auto" and node_rows is None:
-        node_rows = nodes.count()
+        node_rows, width = measure(nodes)
     bound = (node_rows or 0) * _MOST_CELLS
-    if fits_broadcast(bound, cfg) or (cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg)):
+    if fits_broadcast(bound, cfg, width) or (cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg, width)):
         match = (F.col("_band") == F.col("_n_band")) & (F.col("_cell") == F.col("_n_cell")) & near
         joined = points.join(F.broadcast(cover), match, how)
     else:
         cover = cover.withColumnsRenamed({f"_n{k}": k for k in CELL})
-        joined = salted_join(points, cover, CELL, how, cfg.hot_rows, near)
+        joined = matrix_join(points, cover, CELL, how, near, list(point_at), cfg)
     dropped = [*CELL, *[f"_n{k}" for k in CELL]]
     return joined.withColumn("distance_m", distance).drop(*dropped)
 

@@ -104,8 +104,8 @@ def class_counts_over_time(det: DataFrame, bins: int = 20) -> DataFrame:
 
 def _time_bins(det: DataFrame, bins: int) -> DataFrame:
     span = det.agg(F.min("timestamp_sec").alias("lo"), F.max("timestamp_sec").alias("hi"))
-    lo, step = span.select("lo").scalar(), span.select((F.col("hi") - F.col("lo")) / bins).scalar()
-    timed = det.where(F.col("class_name").isNotNull()).withColumn("_lo", lo).withColumn("_step", step)
+    span = span.select(F.struct("lo", ((F.col("hi") - F.col("lo")) / bins).alias("step"))).scalar()
+    timed = det.where(F.col("class_name").isNotNull()).withColumn("_lo", span["lo"]).withColumn("_step", span["step"])
     passed = sum(
         (F.when(F.col("timestamp_sec") > F.col("_lo") + F.col("_step") * i, 1).otherwise(0) for i in range(bins)),
         F.lit(0))
@@ -150,6 +150,7 @@ def recent_detections(det: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def node_sample(nodes: DataFrame, osm_type: str | None = None, n: int = 5) -> DataFrame:
-    """First n nodes by id, of one type or of any."""
+    """First n nodes by id, of one type or of any, with their tags where ``nodes`` have them."""
     chosen = nodes if osm_type is None else nodes.where(F.col("osm_type") == osm_type)
-    return chosen.select("osm_id", "osm_type", "latitude", "longitude").orderBy("osm_id").limit(n)
+    shown = ["osm_id", "osm_type", "latitude", "longitude", *(c for c in ("tags",) if c in nodes.columns)]
+    return chosen.select(*shown).orderBy("osm_id").limit(n)

@@ -487,9 +487,11 @@ select detection_id, class_name, vehicle_lat as lat, vehicle_lon as lon, recordi
     "recent_detections_top10": using("located", """
 select detection_id, class_name, vehicle_lat as lat, vehicle_lon as lon, recording_timestamp as timestamp, confidence,
   ingested_at from located order by ingested_at desc, detection_id limit 10"""),
-    "osm_sample": using("osm", """
-select osm_id, osm_type, latitude, longitude from osm where osm_type = 'traffic_signals' order by osm_id limit 5"""),
-    "osm_sample_any": using("osm", "select osm_id, osm_type, latitude, longitude from osm order by osm_id limit 10000"),
+    "osm_sample": using("tagged", """
+select osm_id, osm_type, latitude, longitude, name, 2 as n_tags from tagged where osm_type = 'traffic_signals' order by osm_id limit 5"""),
+    "osm_sample_any": using("tagged", """
+select osm_id, osm_type, latitude, longitude, name, crossing, case when crossing is null then 2 else 3 end as n_tags
+from tagged order by osm_id limit 10000"""),
     "table_row_counts": using("det osm", """
 select 'detections' as table_name, count(*) as row_count from det union all select 'nodes', count(*) from osm"""),
 

@@ -734,12 +734,14 @@ def _(spark, d):
 
 @query("osm_sample")
 def _(spark, d):
-    return stats.node_sample(inputs.osm_nodes(spark, d), "traffic_signals", 5)
+    sample = stats.node_sample(inputs.tagged_nodes(spark, d), "traffic_signals", 5)
+    return sample.select("*", osm_xml.tag("name").alias("name"), F.size("tags").alias("n_tags")).drop("tags")
 
 
 @query("osm_sample_any")
 def _(spark, d):
-    return stats.node_sample(inputs.osm_nodes(spark, d), None, 10_000)
+    sample = stats.node_sample(inputs.tagged_nodes(spark, d), None, 10_000)
+    return sample.select("*", osm_xml.tag("name").alias("name"), osm_xml.tag("crossing").alias("crossing"), F.size("tags").alias("n_tags")).drop("tags")
 
 
 @query("table_row_counts")

@@ -41,8 +41,9 @@ SIGNALS_AND_STOPS = (
 )
 
 
-def read_nodes(spark: SparkSession, path, skip_unreadable: bool = False) -> DataFrame:
-    """Every node as (osm_id, latitude, longitude, tags). A repeated key keeps its last value.
+def read_nodes(spark: SparkSession, path, skip_unreadable: bool = False, keep_entries: bool = False) -> DataFrame:
+    """Every node as (osm_id, latitude, longitude, tags). A repeated key keeps its last value there;
+    ``keep_entries`` adds ``entries``, all of a node's (k, v) in file order.
 
     An unreadable extract fails the job, as a shorter ground truth would pass for new
     discoveries; with ``skip_unreadable`` it counts as empty."""
@@ -55,7 +56,8 @@ def read_nodes(spark: SparkSession, path, skip_unreadable: bool = False) -> Data
         F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["_k"] == t["_k"]))
     return nodes.select(
         F.col("_id").alias("osm_id"), F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"),
-        F.map_from_entries(last).alias("tags"))
+        F.map_from_entries(last).alias("tags"),
+        *([F.transform(entries, lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))).alias("entries")] if keep_entries else []))
 
 
 def tag(key: str) -> Column:
@@ -74,7 +76,15 @@ def read_osm_nodes(spark: SparkSession, path) -> DataFrame:
 
 
 def nodes_by_tag(nodes: DataFrame, key: str, value: str | None = None) -> DataFrame:
-    """Nodes with the tag, of one value or of any; then the value is the type."""
+    """Nodes with the tag, of one value or of any; then the value is the type.
+
+    Of a key that a node repeats, any entry may have the value, and the first one is the type, if ``nodes`` have
+    ``entries``; else the value in ``tags`` counts."""
+    if "entries" in nodes.columns:
+        of_key = F.filter("entries", lambda t: t["k"] == key)
+        if value is not None:
+            return nodes.where(F.exists(of_key, lambda t: t["v"] == value)).select("osm_id", "latitude", "longitude")
+        return nodes.where(F.size(of_key) > 0).select("osm_id", "latitude", "longitude", F.get(of_key, F.lit(0))["v"].alias("type"))
     if value is not None:
         return nodes.where(tag(key) == value).select("osm_id", "latitude", "longitude")
     return nodes.where(F.map_contains_key("tags", key)).select("osm_id", "latitude", "longitude", tag(key).alias("type"))

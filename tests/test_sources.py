@@ -110,3 +110,14 @@ def test_strict_reader_fails_whatever_is_read(spark, tmp_path):
     for ask in (lambda: good.count(), lambda: good.select("class_name", "confidence").collect()):
         with pytest.raises(Exception, match="bad detection row"):
             ask()
+
+
+def test_repeated_tag_key(spark, tmp_path):
+    """Any entry of a repeated key can match; the first is the type."""
+    (tmp_path / "r.xml").write_text(
+        '<osm><node id="1" lat="1" lon="2"><tag k="highway" v="stop"/><tag k="highway" v="crossing"/></node>'
+        '<node id="2" lat="1" lon="2"><tag k="highway" v="give_way"/></node><node id="3" lat="1" lon="2"/></osm>')
+    nodes = osm_xml.read_nodes(spark, str(tmp_path / "r.xml"), keep_entries=True)
+    assert [[r.osm_id for r in osm_xml.nodes_by_tag(nodes, "highway", v).collect()] for v in ("stop", "crossing", "none")] == [["1"], ["1"], []]
+    assert sorted((r.osm_id, r.type) for r in osm_xml.nodes_by_tag(nodes, "highway").collect()) == [("1", "stop"), ("2", "give_way")]
+    assert {r.osm_id: r.tags.get("highway") for r in nodes.collect()} == {"1": "crossing", "2": "give_way", "3": None}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mapaudit.config import AuditConfig
 from mapaudit.operators.pyramid import descend, opened
-from mapaudit.operators.skew import keep_rank_one, lookup_join, salted_join
+from mapaudit.operators.skew import deal_pairs, keep_rank_one, lookup_join, measure, pair_grid, salted_join
 from mapaudit.operators.spatial import nearest, nearest_both, nearest_of_many, radius_join
 
 R = 6371000.0
@@ -191,7 +191,38 @@ def test_small_side_is_broadcast_and_points_are_not_shuffled(spark):
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "Exchange hashpartitioning" not in plan
     big = AuditConfig(broadcast_bytes=10)
     plan = radius_join(p, n, 100.0, "left", cfg=big)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
+    assert "_row" in plan and "_cols" in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("sizes", [(300, 700), (700, 40), (6, 900)])
+def test_heavy_cells_are_cut_on_both_sides(spark, how, sizes):
+    """Crowded cells, whichever side is crowded, and points without a match in and out of them."""
+    rng = random.Random(7)
+    near = lambda n: [(43.7 + rng.uniform(0, 6e-4), -79.4 + rng.uniform(0, 6e-4)) for _ in range(n)]
+    p, n = near(sizes[0]) + [(43.7, -79.4)] * 20 + [(None, 1.0), (10.0, 10.0)], near(sizes[1])
+    cfg = AuditConfig(join_strategy="shuffle", hot_rows=500, task_pairs=900)
+    got = radius_join(points_df(spark, p), nodes_df(spark, n), 20.0, how, cfg=cfg).select("pid", "osm_id").collect()
+    want = [(f"p{i:05d}", f"n{j:05d}") for i, a in enumerate(p) if a[0] is not None for j, b in enumerate(n) if metres(a, b) <= 20]
+    matched = {a for a, _ in want}
+    if how == "left":
+        want += [(f"p{i:05d}", None) for i in range(len(p)) if f"p{i:05d}" not in matched]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and matched and len(matched) < len(p)
+
+
+def test_pairs_of_one_cell_are_dealt_evenly(spark):
+    """One cell of 100,000 points and 100,000 nodes: tasks of about 50 million pairs, every pair in one of them."""
+    sides = [spark.range(100_000).select(F.lit(1).alias("k"), F.col("id").alias(c)) for c in ("a", "b")]
+    grid = pair_grid(*sides, ["k"], AuditConfig())
+    left, right = (d.groupBy("_row", "_col").count() for d in deal_pairs(*sides, ["k"], grid))
+    tasks = left.withColumnRenamed("count", "p").join(right.withColumnRenamed("count", "q"), ["_row", "_col"])
+    pairs = [r.p * r.q for r in tasks.collect()]
+    assert sum(pairs) == 10**10 and max(pairs) < 6e7 and len(pairs) == 225
+
+
+def test_size_of_a_row_counts_what_it_holds(spark):
+    rows = spark.range(10).select("id", F.create_map(F.lit("name"), F.repeat(F.lit("x"), 5000)).alias("tags"))
+    assert measure(rows)[0] == 10 and measure(rows)[1] > 5000 and measure(rows.limit(0))[0] == 0
 
 
 def test_match_counts_with_copied_nodes(spark):
