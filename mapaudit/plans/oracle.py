@@ -231,6 +231,9 @@ select detection_id, vehicle_id, video_name, frame_number, timestamp_sec, u as p
     "load_raw_detections": using("det", """
 select detection_id as message_key, class_name, vehicle_lat, 'detections' as kafka_topic, 0 as kafka_partition,
   ingested_at as kafka_timestamp from det"""),
+    "raw_time_window": using("det", """
+select detection_id as message_key, ingested_at as kafka_timestamp from det
+where ingested_at >= timestamp '2024-01-10 06:00:00' and ingested_at < timestamp '2024-01-11 18:30:00'"""),
     "read_osm_xml": using("tagged", """
 select osm_id, osm_type, latitude, longitude, name, crossing, case when crossing is null then 2 else 3 end as n_tags
 from tagged"""),

@@ -171,6 +171,14 @@ def _(spark, d):
         "kafka_topic", F.col("kafka_partition").cast("int").alias("kafka_partition"), "kafka_timestamp")
 
 
+@query("raw_time_window")
+def _(spark, d):
+    """A day and a half of the raw table, read from the days' folders alone."""
+    stored = inputs.stored_files(spark, d, "raw_clustered", lambda path: messages.cluster_raw(inputs.raw_detections(spark, d), path))
+    rows = messages.raw_between(spark.read.parquet(stored), "2024-01-10 06:00:00", "2024-01-11 18:30:00")
+    return rows.select(F.try_variant_get("record_metadata", "$.key", "string").alias("message_key"), "kafka_timestamp")
+
+
 @query("read_osm_xml")
 def _(spark, d):
     nodes = osm_xml.read_osm_nodes(spark, _nodes_xml(spark, d))

@@ -73,3 +73,26 @@ def to_raw(messages: DataFrame, topic: str, kafka_time: Column | None = None,
         metadata.alias("record_metadata"), "record_content", "ingested_at", "kafka_topic",
         "kafka_partition", "kafka_offset", "kafka_timestamp",
     )
+
+
+def with_topic_date(raw: DataFrame) -> DataFrame:
+    """Adds ``topic_date``, the day of the topic time, by which the raw table is partitioned."""
+    return raw.withColumn("topic_date", F.to_date("kafka_timestamp"))
+
+
+def cluster_raw(raw: DataFrame, path: str) -> None:
+    """Writes raw rows as a table partitioned by topic date, in few files whose rows are in topic time.
+
+    Rows are dealt by ranges of (time, partition, offset), so a busy day is many tasks' work and each file holds one
+    stretch of time, which its row group bounds then show. It also compacts the small files that a stream leaves.
+    """
+    order = ["kafka_timestamp", "kafka_partition", "kafka_offset"]
+    dealt = with_topic_date(raw).repartitionByRange("topic_date", *order)
+    dealt.sortWithinPartitions("topic_date", *order).write.partitionBy("topic_date").mode("errorifexists").parquet(path)
+
+
+def raw_between(raw: DataFrame, start: str, end: str) -> DataFrame:
+    """Raw rows with a topic time from ``start`` to before ``end``; only the folders of those days are listed as input."""
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+    at = F.col("kafka_timestamp")
+    return raw.where(F.col("topic_date").between(F.to_date(first), F.to_date(last)) & (at >= first) & (at < last))

@@ -18,7 +18,7 @@ from mapaudit.operators.audit import FRAME, fct_map_audit
 from mapaudit.operators.skew import keep_rank_one
 from mapaudit.operators.staging import flatten_detections, from_typed, stage_detections
 from mapaudit.sources.detections import enrich, stream_detections_csv
-from mapaudit.sources.messages import from_messages, to_messages, to_raw
+from mapaudit.sources.messages import from_messages, to_messages, to_raw, with_topic_date
 
 
 _ASIDE = "_unreadable"
@@ -56,7 +56,8 @@ def batch_to_topic(detections: DataFrame, target: dict[str, str], fmt: str = "ka
 
 
 def topic_to_raw(messages: DataFrame, topic: str, table_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Messages to the raw table. Kafka's own partition, offset and timestamp are kept when present."""
+    """Messages to the raw table, partitioned by topic date. Kafka's own partition, offset and timestamp are kept when
+    present. ``cluster_raw`` orders and compacts what has landed."""
     have = set(messages.columns)
     raw = to_raw(
         messages, topic,
@@ -64,8 +65,8 @@ def topic_to_raw(messages: DataFrame, topic: str, table_path: str, checkpoint: s
         partition=F.col("partition") if "partition" in have else None,
         offset=F.col("offset") if "offset" in have else None,
     )
-    writer = raw.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
-    return _start(writer.outputMode("append"), once)
+    writer = with_topic_date(raw).writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
+    return _start(writer.partitionBy("topic_date").outputMode("append"), once)
 
 
 def _run_id(batch: DataFrame) -> str:

@@ -66,6 +66,31 @@ def test_raw_keeps_topic_position(spark, tmp_path):
     assert raw[17].kafka_partition == 3 and raw[5].record_content is None and raw[17].kafka_timestamp.year == 2026
 
 
+def test_time_window_reads_its_days_only(spark, tmp_path):
+    """Landing and clustered table are partitioned by topic date; files of the latter are in topic time."""
+    df = spark.range(4000).select(
+        F.col("id").cast("string").alias("key"), F.lit('{"detection_id":"k"}').alias("value"), F.col("id").alias("offset"),
+        F.when(F.col("id") != 7, F.expr("timestamp'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, (id * 7919) % 4000 * 200)")).alias("timestamp"))
+    df.repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    jobs.topic_to_raw(stream, "detections", str(tmp_path / "raw"), str(tmp_path / "cp"), once=True).awaitTermination()
+    landed = spark.read.parquet(str(tmp_path / "raw"))
+    messages.cluster_raw(landed.drop("topic_date"), str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    assert landed.count() == table.count() == 4000
+    for raw in (landed, table):
+        rows = messages.raw_between(raw, "2026-01-03 12:00:00", "2026-01-04 12:00:00")
+        got = sorted(int(r.kafka_offset) for r in rows.select("kafka_offset").collect())
+        assert got == sorted(i for i in range(4000) if i != 7 and 216_000 <= i * 7919 % 4000 * 200 < 302_400)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(topic_date" in plan
+    days = {f.split("topic_date=")[1].split("/")[0] for f in table.where("topic_date = '2026-01-03'").inputFiles()}
+    assert "2026-01-03" in days and table.where("topic_date is null").count() == 1
+    spans = table.groupBy(F.input_file_name(), "topic_date").agg(F.min("kafka_timestamp").alias("a"), F.max("kafka_timestamp").alias("b")).where("a is not null").collect()
+    spans = sorted((r.a, r.b) for r in spans)
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+
+
 def test_late_first_copies_are_kept(spark, tmp_path):
     """Five batches, one hours late, with repeats within and across batches."""
     (tmp_path / "in").mkdir()
