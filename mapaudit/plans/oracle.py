@@ -461,6 +461,13 @@ select min(v) as min_v, max(v) as max_v, count(case when v > 720 then 1 end) as
     "run_metrics": using("det", f"""
 select {_n(_GOOD)} as sent, {_n(_GOOD)} as acked, cast(0 as bigint) as failed, {_n('not (' + _GOOD + ')')} as rejected,
   cast(0 as bigint) as pending, 1e2 as success_rate_pct from det"""),
+    "run_metrics_refused": using("det", f"""
+select count(*) as sent, {_n('frame_number % 50 <> 0')} as acked, {_n('frame_number % 50 = 0')} as failed,
+  {_n('frame_number % 50 = 0 or frame_number % 7 = 0')} as retried,
+  round(100.0 * {_n('frame_number % 50 <> 0')} / count(*), 6) as success_rate_pct from det"""),
+    "dead_letters": using("det", """
+select detection_id as key, cast(frame_number as bigint) as frame_number, cast(2 as integer) as attempts, 'refused' as reason
+from det where frame_number % 50 = 0"""),
     "run_metrics_stream": using("det", f"""
 select {_n(_GOOD)} as sent, {_n(_GOOD)} as acked, cast(0 as bigint) as failed, {_n('not (' + _GOOD + ')')} as rejected,
   cast(0 as bigint) as pending from det"""),

@@ -6,6 +6,8 @@ engines with different math libraries give equal values.
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from mapaudit.plans.build import build_all, materialize
 from mapaudit.session import new_path
 from mapaudit.sources import detections as det_files
 from mapaudit.sources import messages, osm_xml
-from mapaudit.streaming import jobs, metrics
+from mapaudit.streaming import delivery, jobs, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -675,6 +677,50 @@ def _(spark, d):
         F.lit(run.rejected).alias("rejected"), F.lit(run.pending).alias("pending"), F.round(F.lit(run.success_rate_pct), 6).alias("success_rate_pct"))
 
 
+def _refusing():
+    """A client that never accepts the messages of every 50th frame and accepts those of each 7th at the second try."""
+    def client():  # nested, so that tasks get it by value
+        seen = set()
+
+        def send(batch):
+            out = []
+            for key, value in batch:
+                frame = json.loads(value)["frame_number"]
+                late = frame % 7 == 0 and key not in seen
+                seen.add(key)
+                out.append("refused" if frame % 50 == 0 else "busy" if late else None)
+            return out
+
+        return send
+
+    return client
+
+
+def _sent_table(spark, d):
+    return messages.to_messages(inputs.as_message_columns(inputs.detections(spark, d))).select("key", "value")
+
+
+@query("run_metrics_refused")
+def _(spark, d):
+    """Counts from the client's answers, with retries; what stays refused is kept."""
+    path = inputs.stored_files(spark, d, "answers", lambda p: delivery.deliver(_sent_table(spark, d), _refusing(), p, pause_seconds=0.01))
+    return delivery.delivery_counts(spark.read.schema(delivery.ANSWERS).parquet(path))
+
+
+@query("dead_letters")
+def _(spark, d):
+    """The same as a stream: messages that were never accepted, with their values."""
+    def run(folder: str) -> None:
+        topic = new_path(spark, "topic")
+        _sent_table(spark, d).write.parquet(topic)
+        source = jobs.topic_source(spark, {"path": topic}, "parquet", "key string, value string")
+        delivery.stream_delivery(source, _refusing(), folder, new_path(spark, "cp"), attempts=2, once=True).awaitTermination()
+
+    answers = delivery.stored_answers(spark, inputs.stored_files(spark, d, "stream_answers", run))
+    refused = answers.where(~F.col("acked"))
+    return refused.select("key", F.get_json_object("value", "$.frame_number").cast("long").alias("frame_number"), "attempts", "reason")
+
+
 @query("run_metrics_stream")
 def _(spark, d):
     counter = metrics.StreamCounter()

@@ -9,7 +9,7 @@ from mapaudit.operators.audit import fct_map_audit
 from mapaudit.operators.staging import from_typed, stage_detections, stage_nodes
 from mapaudit.sources import detections as d
 from mapaudit.sources import messages
-from mapaudit.streaming import jobs, metrics
+from mapaudit.streaming import delivery, jobs, metrics
 
 LAYOUT = ["frame_number", "timestamp_sec", "u", "v", "confidence", "class_name"]
 LINE = "{},2.5,17.28,63.06,0.52,stop sign\n"
@@ -163,3 +163,29 @@ def test_equal_rows_of_a_file_are_two_messages(spark, tmp_path):
     table = d.read_detections_csv(spark, str(tmp_path / "in"))[0]
     ids = [sorted(r.detection_id for r in d.enrich(table.repartition(n), deterministic_id=True).collect()) for n in (1, 3)]
     assert ids[0] == ids[1] and len(set(ids[0])) == 6
+
+
+def test_delivery_counts_what_the_client_answers(spark, tmp_path):
+    """Refused, late and raised answers, null values and no messages at all."""
+    def client():
+        calls = []
+
+        def send(messages):
+            calls.append(len(messages))
+            if any(v == "boom" for _, v in messages):
+                raise ValueError("down")
+            return ["no" if v == "bad" else "busy" if v == "late" and len(calls) == 1 else None for _, v in messages]
+
+        return send
+
+    def run(values):
+        rows = spark.createDataFrame(list(enumerate(values)), "key long, value string").coalesce(1)
+        return delivery.deliver(rows, client, str(tmp_path / f"a{len(values)}"), attempts=3, pause_seconds=0.0)
+
+    answers = {r.key: r for r in run(["ok", "bad", "late", None]).collect()}
+    assert [(answers[k].acked, answers[k].attempts, answers[k].reason) for k in "0123"] == [
+        (True, 1, None), (False, 3, "no"), (True, 2, None), (True, 1, None)]
+    assert answers["1"].value == "bad" and answers["0"].value is None
+    lost = run(["ok", "boom"]).collect()
+    assert [(r.acked, r.value, r.reason) for r in lost] == [(False, "ok", "ValueError: down"), (False, "boom", "ValueError: down")]
+    assert tuple(delivery.delivery_counts(run([])).first()) == (0, 0, 0, 0, None)
