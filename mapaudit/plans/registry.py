@@ -7,7 +7,6 @@ engines with different math libraries give equal values.
 from __future__ import annotations
 
 import json
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
