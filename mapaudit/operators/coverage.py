@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapaudit.sources.files import WHOLE_BYTES, failed_files, list_files
+from mapaudit.sources.osm_xml import read_tile_nodes
+
 
 def coverage_bbox(df: DataFrame, lat: str = "latitude", lon: str = "longitude", buffer: float = 0.1) -> DataFrame:
     """Bounding box widened by ``buffer`` of its span on each side; nulls without rows."""
@@ -68,6 +71,13 @@ def merge_tiles(tile_nodes: DataFrame, key: str = "osm_id", order: str = "tile_n
     return tile_nodes.groupBy(key).agg(first).select(key, "_first.*").select(*tile_nodes.columns)
 
 
+def merge_tile_files(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(nodes, failed): every node of a folder of tile extracts once, from the first file by name that has it, and
+    (source_file, reason) of the tiles that could not be read. Nothing of a broken tile is taken."""
+    found, status = read_tile_nodes(spark, folder, whole_bytes)
+    return merge_tiles(found, order="source_file"), failed_files(list_files(spark, folder, largest=whole_bytes), status)
+
+
 def tile_counts(tile_nodes: DataFrame, order: str = "tile_no") -> DataFrame:
     """Nodes per tile and, with a null tile number, in total after merging."""
     per_tile = tile_nodes.groupBy(order).agg(F.count(F.lit(1)).alias("node_count"))

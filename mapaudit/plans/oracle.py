@@ -217,6 +217,12 @@ select frame_number, (x1 + x2) / 2e0 as u, (y1 + y2) / 2e0 as v, confidence, cla
     "read_detections_strict": using("boxes", """
 select class_name, count(*) as n, cast(sum(frame_number) as bigint) as frames from boxes group by 1"""),
     "gather_detection_files": using("det", f"select {_CSV_COLUMNS} from det where {_GOOD}"),
+    "gather_readable_files": using("det", """
+select video_name, frame_number, u, v, confidence, coalesce(class_name, '') as class_name from det
+where cast(floor(event_id / 1000) as int) % 4 <> 3"""),
+    "gather_failed_files": using("det", """
+select distinct cast(floor(event_id / 1000) as int) as video, 'UnicodeDecodeError' as reason from det
+where cast(floor(event_id / 1000) as int) % 4 = 3"""),
     "enrich_detections": using("det", """
 select 'vehicle-7' as vehicle_id, 'session-9' as session_id,
   sha256(concat_ws(chr(10), 'vehicle-7', 'session-9', video_name, '0', cast(event_id as varchar))) as detection_id, video_name, frame_number, u as pixel_u, v as pixel_v,
@@ -349,6 +355,12 @@ where not (latitude between 4358e-2 and 4386e-2 and longitude between -7964e-2 a
     "merge_tiles": using("tile_nodes", """
 select osm_id, osm_type, latitude, longitude, tile_no from (
   select *, row_number() over (partition by osm_id order by tile_no, osm_type) as rn from tile_nodes) t where rn = 1"""),
+    "merge_tiles_xml": using("tile_nodes", """
+select osm_id, osm_type, latitude, longitude, tile_no from (
+  select *, row_number() over (partition by osm_id order by cast(tile_no as varchar)) as rn
+  from tile_nodes where tile_no % 5 <> 0) t where rn = 1"""),
+    "merge_tiles_failed": using("tile_nodes", """
+select distinct tile_no, 'no well-formed XML' as reason from tile_nodes where tile_no % 5 = 0"""),
     "tile_counts": using("tile_nodes", """
 select tile_no, count(*) as node_count from tile_nodes group by 1
 union all select null, count(distinct osm_id) from tile_nodes"""),

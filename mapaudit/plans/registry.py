@@ -138,6 +138,31 @@ def _(spark, d):
     return rows
 
 
+def _video_files(spark: SparkSession, d: str) -> str:
+    """A CSV file for each video; those of every 4th video are in an encoding that the reader does not know."""
+    def write(path: str) -> None:
+        rows = inputs.detections(spark, d).withColumn("video", F.floor(F.col("event_id") / 1000).cast("int"))
+        rows = rows.select("video", "video_name", "frame_number", "timestamp_sec", "u", "v", "confidence", "class_name")
+        other = F.col("video") % 4 == 3
+        for part, encoding in ((rows.where(~other), "UTF-8"), (rows.where(other), "UTF-16")):
+            part.repartition("video").write.mode("append").partitionBy("video").option("header", True).option("encoding", encoding).csv(path)
+
+    return inputs.stored_files(spark, d, "video_csv", write)
+
+
+@query("gather_readable_files")
+def _(spark, d):
+    rows, _bad = det_files.gather_detections(spark, _video_files(spark, d), skip_unreadable=True)
+    return rows.select("video_name", "frame_number", "u", "v", "confidence", "class_name")
+
+
+@query("gather_failed_files")
+def _(spark, d):
+    failed = det_files.gather_failures(spark, _video_files(spark, d))
+    return failed.select(F.regexp_extract("source_file", r"video=(\d+)", 1).cast("int").alias("video"),
+                         F.split_part("reason", F.lit(":"), F.lit(1)).alias("reason"))
+
+
 @query("enrich_detections")
 def _(spark, d):
     det = inputs.detections(spark, d).withColumns({
@@ -426,6 +451,34 @@ def _(spark, d):
     return coverage.merge_tiles(inputs.tile_nodes(spark, d))
 
 
+def _tile_files(spark: SparkSession, d: str) -> str:
+    """An XML extract for each map tile; of every 5th tile the end is missing."""
+    def write(path: str) -> None:
+        nodes = inputs.tile_nodes(spark, d).repartition("tile_no")
+        cut_off = F.col("tile_no") % 5 == 0
+        tags = F.array(F.struct(F.lit("highway").alias("_k"), F.col("osm_type").alias("_v")))
+        (nodes.where(~cut_off).select(F.col("osm_id").alias("_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
+                                      tags.alias("tag"), "tile_no")
+         .write.partitionBy("tile_no").format("xml").option("rowTag", "node").option("rootTag", 'osm version="0.6"').save(path))
+        line = F.format_string('<osm><node id="%s" lat="%s" lon="%s"/>', "osm_id", F.col("latitude").cast("string"), F.col("longitude").cast("string"))
+        nodes.where(cut_off).select("tile_no", line).write.mode("append").partitionBy("tile_no").text(path)
+
+    return inputs.stored_files(spark, d, "tile_xml", write)
+
+
+@query("merge_tiles_xml")
+def _(spark, d):
+    nodes, _failed = coverage.merge_tile_files(spark, _tile_files(spark, d))
+    return nodes.select("osm_id", F.element_at("tags", "highway").alias("osm_type"), "latitude", "longitude",
+                        F.regexp_extract("source_file", r"tile_no=(\d+)", 1).cast("int").alias("tile_no"))
+
+
+@query("merge_tiles_failed")
+def _(spark, d):
+    _nodes, failed = coverage.merge_tile_files(spark, _tile_files(spark, d))
+    return failed.select(F.regexp_extract("source_file", r"tile_no=(\d+)", 1).cast("int").alias("tile_no"), "reason")
+
+
 @query("tile_counts")
 def _(spark, d):
     return coverage.tile_counts(inputs.tile_nodes(spark, d))

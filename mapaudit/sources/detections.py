@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mapaudit.sources.files import WHOLE_BYTES, failed_files, list_files, open_files, read_csv_files
+
 _BROKEN = "_broken_line"
 _INTEGER = r"^[+-]?[0-9]+$"
 _FLOAT = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"
 BBOX = ("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
 OUTPUT = ["video_name", "frame_number", "timestamp_sec", "u", "v", "confidence", "class_name",
           "vehicle_lat", "vehicle_lon", "recording_timestamp"]
-
+#: Every column that a detection file may have.
+COLUMNS = ["video_name", "frame_number", "timestamp_sec", "u", "v", *BBOX, "confidence", "class_name",
+           "vehicle_lat", "vehicle_lon", "recording_timestamp"]
+#: What a header decides, where files with different ones are read together: column of flags -> header name.
+HEADS = {"_has_pixel": "u", "_has_box": "bbox_x1", "_has_class": "class_name"}
 
 #: Where a row stands: its file, the first byte of the block that a task reads, and its number in that block.
 PLACE = ["source_file", "block_start", "line_in_block"]
@@ -36,43 +42,40 @@ def text_schema(layout: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in [*layout, _BROKEN]])
 
 
-def parse_rows(text: DataFrame, layout: list[str]) -> DataFrame:
-    """Typed columns and ``reject_reason`` (null = good) for text rows of one layout.
+def parse_rows(text: DataFrame, layout: list[str] | None) -> DataFrame:
+    """Typed columns and ``reject_reason`` (null = good) for text rows of one layout, or, with layout None, for rows
+    that have all COLUMNS and say by the flags HEADS what their file's header has.
 
     Works on batch and streaming input alike: plain column expressions.
     """
-    have = set(layout)
+    have = set(COLUMNS if layout is None else layout)
 
     def raw(name: str) -> Column:
         return F.col(f"`{name}`") if name in have else F.lit(None).cast("string")
 
-    checks: list[tuple[Column, str]] = [(F.col(_BROKEN).isNotNull(), "wrong number of fields")]
+    pixel, box, named = (F.col(flag) if layout is None else F.lit(name in have) for flag, name in HEADS.items())
     frame, seconds, conf = _integer(raw("frame_number")), _float(raw("timestamp_sec")), _float(raw("confidence"))
-    checks += [(frame.isNull(), "invalid frame_number"), (seconds.isNull(), "invalid timestamp_sec")]
-    if "u" in have:
-        u, v = _float(raw("u")), _float(raw("v"))
-        checks += [(u.isNull(), "invalid u"), (v.isNull(), "invalid v")]
-    elif "bbox_x1" in have:
-        x1, y1, x2, y2 = (_float(raw(c)) for c in BBOX)
-        checks += [(value.isNull(), f"invalid {c}") for value, c in zip((x1, y1, x2, y2), BBOX)]
-        u, v = (x1 + x2) / 2.0, (y1 + y2) / 2.0
-    else:
-        u = v = F.lit(None).cast("double")
-        checks.append((F.lit(True), "missing pixel coordinates"))
-    checks.append((conf.isNull(), "invalid confidence"))
-    if "class_name" not in have:
-        checks.append((F.lit(True), "missing class_name"))
+    u, v = _float(raw("u")), _float(raw("v"))
+    corners = [_float(raw(c)) for c in BBOX]
+    checks: list[tuple[Column, str]] = [
+        (F.col(_BROKEN).isNotNull(), "wrong number of fields"),
+        (frame.isNull(), "invalid frame_number"), (seconds.isNull(), "invalid timestamp_sec"),
+        (pixel & u.isNull(), "invalid u"), (pixel & v.isNull(), "invalid v"),
+        *((~pixel & box & value.isNull(), f"invalid {c}") for value, c in zip(corners, BBOX)),
+        (~pixel & ~box, "missing pixel coordinates"), (conf.isNull(), "invalid confidence"), (~named, "missing class_name")]
     reason = reduce(lambda acc, c: acc.when(c[0], c[1]), checks[1:], F.when(*checks[0]))
+    x1, y1, x2, y2 = corners
     stamp = F.nullif(raw("recording_timestamp"), F.lit(""))
+    if layout is None:
+        place = [F.col("source_file"), F.lit(0).cast("long").alias("block_start"), F.col("line_in_block")]
+    else:
+        place = [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block_start")]
     return text.select(
-        F.coalesce(raw("video_name"), F.lit("")).alias("video_name"),
-        frame.alias("frame_number"), seconds.alias("timestamp_sec"), u.alias("u"), v.alias("v"),
+        F.coalesce(raw("video_name"), F.lit("")).alias("video_name"), frame.alias("frame_number"), seconds.alias("timestamp_sec"),
+        F.when(pixel, u).when(box, (x1 + x2) / 2.0).alias("u"), F.when(pixel, v).when(box, (y1 + y2) / 2.0).alias("v"),
         conf.alias("confidence"), F.coalesce(raw("class_name"), F.lit("")).alias("class_name"),
         _float(raw("vehicle_lat")).alias("vehicle_lat"), _float(raw("vehicle_lon")).alias("vehicle_lon"),
-        stamp.alias("recording_timestamp"), reason.alias("reject_reason"),
-        F.col(_BROKEN).alias("line"), F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-    )
+        stamp.alias("recording_timestamp"), reason.alias("reject_reason"), F.col(_BROKEN).alias("line"), *place)
 
 
 def with_place(rows: DataFrame) -> DataFrame:
@@ -98,16 +101,17 @@ def with_place(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(number, schema)
 
 
-def find_layouts(spark: SparkSession, paths) -> dict[tuple[str, ...], list[str]]:
-    """Header layout -> files. One pass that keeps a single line per file."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("start"),
-                 F.monotonically_increasing_id().alias("id"), F.col("value")).alias("line"))
+def find_layouts(spark: SparkSession, paths, longer_than: int = -1, glob: str = "*") -> dict[tuple[str, ...], list[str]]:
+    """Header layout -> files, of the files longer than so many bytes. One pass over these that keeps a single line per file."""
+    lines = (
+        spark.read.option("pathGlobFilter", glob).text(paths).where(F.col("_metadata.file_size") > longer_than).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("id"), F.col("value")).alias("line")))
     heads = lines.groupBy("file").agg(F.min("line").alias("line")).select("file", "line.value")
     layouts: dict[tuple[str, ...], list[str]] = {}
     for row in heads.orderBy("file").toLocalIterator():
-        names = tuple(c.strip().strip('"') for c in row["value"].lstrip("﻿").split(","))
+        names = tuple(c.strip().strip('"') for c in row["value"].lstrip("\ufeff").split(","))
         layouts.setdefault(names, []).append(unquote(row["file"]))
     return layouts
 
@@ -119,24 +123,51 @@ def _csv(reader, layout: list[str]):
     )
 
 
+def _whole_files(spark: SparkSession, paths, glob: str, whole_bytes: int, skip_unreadable: bool) -> DataFrame:
+    """Text rows and status rows of the files up to ``whole_bytes``."""
+    opened = open_files(spark, paths, glob, whole_bytes, skip_unreadable)
+    # where a broken file counts, text that is no UTF-8 is one
+    errors = "strict" if skip_unreadable else "replace"
+    return read_csv_files(opened, COLUMNS, HEADS, errors).withColumnRenamed("line", _BROKEN)
+
+
+def _any_layout(spark: SparkSession, paths, glob: str, whole_bytes: int, keep_place: bool, skip_unreadable: bool) -> DataFrame:
+    """Parsed rows of files with any headers: in one pass up to ``whole_bytes`` a file, by a scan for each header beyond."""
+    text = _whole_files(spark, paths, glob, whole_bytes, skip_unreadable)
+    if not skip_unreadable:
+        # a file of no line has no rows and is no failure here
+        broken = F.col("failure").isNotNull() & (F.col("failure") != "ValueError: no header")
+        fail = F.raise_error(F.concat(F.lit("unreadable "), F.col("source_file"), F.lit(": "), F.col("failure"))).cast("boolean")
+        text = text.where(F.when(broken, fail).otherwise(~F.col("is_status")))
+    else:
+        text = text.where(~F.col("is_status"))
+    small = parse_rows(text, None)
+    reader = {"ignoreCorruptFiles": str(skip_unreadable).lower(), "ignoreMissingFiles": str(skip_unreadable).lower()}
+    large = [parse_rows(_csv(spark.read.options(**reader), list(names)).csv(files), list(names))
+             for names, files in find_layouts(spark, paths, whole_bytes, glob).items()]
+    if keep_place:
+        large = [with_place(rows) for rows in large]
+    else:
+        small = small.drop(PLACE[2])
+    return reduce(DataFrame.unionByName, large, small)
+
+
 def read_detections_csv(spark: SparkSession, paths, mode: str = "permissive", layout: list[str] | None = None,
-                        keep_place: bool = False) -> tuple[DataFrame, DataFrame]:
+                        keep_place: bool = False, whole_bytes: int = WHOLE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) rows of detection CSV files, columns found by header name.
 
-    Files may have different headers; each layout is one scan. Give ``layout``
-    when all files share a known one, and no header pass is made. Rejected rows
-    carry their reason. With ``mode="failfast"`` any bad row fails the job and
-    nothing is rejected. ``keep_place`` adds the columns PLACE to the good rows.
+    Files may have different headers. Those up to ``whole_bytes`` are each opened whole, header and rows in one pass;
+    longer ones are split, one scan a layout after a pass for the headers. Give ``layout`` when all files share a
+    known one, and all are split without that pass. Rejected rows carry their reason. With ``mode="failfast"`` any
+    bad row fails the job and nothing is rejected. ``keep_place`` adds the columns PLACE to the good rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    groups = {tuple(layout): paths} if layout else find_layouts(spark, paths)
-    if not groups:
-        raise ValueError("no detection files")
-    parts = [parse_rows(_csv(spark.read, list(names)).csv(files), list(names)) for names, files in groups.items()]
-    rows = reduce(DataFrame.unionByName, parts)
-    columns = OUTPUT
-    if keep_place:
-        rows, columns = with_place(rows), OUTPUT + PLACE
+    columns = OUTPUT + PLACE if keep_place else OUTPUT
+    if layout:
+        rows = parse_rows(_csv(spark.read, list(layout)).csv(paths), list(layout))
+        rows = with_place(rows) if keep_place else rows
+    else:
+        rows = _any_layout(spark, paths, "*", whole_bytes, keep_place, False)
     if mode == "failfast":
         # a filter runs whichever columns are read
         fail = F.raise_error(F.concat(F.lit("bad detection row: "), F.col("reject_reason"))).cast("boolean")
@@ -164,27 +195,30 @@ def stream_rows_csv(spark: SparkSession, folder: str, layout: list[str], files_p
 
 
 def gather_detections(spark: SparkSession, folder: str, layout: list[str] | None = None,
-                      skip_unreadable: bool = False) -> tuple[DataFrame, DataFrame]:
+                      skip_unreadable: bool = False, whole_bytes: int = WHOLE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) rows of all per-video CSVs of a folder. A file without a video
-    column gets its own name. An unreadable file fails the job unless ``skip_unreadable``."""
-    skip = str(skip_unreadable).lower()
-    reader_options = {"ignoreCorruptFiles": skip, "ignoreMissingFiles": skip, "pathGlobFilter": "*.csv"}
+    column gets its own name. An unreadable file fails the job; with ``skip_unreadable`` it is left out, and
+    ``gather_failures`` lists it."""
     if layout:
-        groups = {tuple(layout): [folder]}
+        skip = str(skip_unreadable).lower()
+        options = {"ignoreCorruptFiles": skip, "ignoreMissingFiles": skip, "pathGlobFilter": "*.csv"}
+        rows = parse_rows(_csv(spark.read.options(**options), list(layout)).csv(folder), list(layout))
     else:
-        groups = find_layouts(spark, f"{folder}/*.csv")
-    parts = []
-    for names, files in groups.items():
-        rows = parse_rows(_csv(spark.read.options(**reader_options), list(names)).csv(files), list(names))
-        # the path is percent-encoded; a plus sign in it is a plus sign
-        stem = F.regexp_extract("source_file", r"([^/]+?)(\.csv)?$", 1)
-        name = F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
-        parts.append(rows.withColumn(
-            "video_name", F.when(F.col("video_name") == "", name).otherwise(F.col("video_name"))))
-    rows = reduce(DataFrame.unionByName, parts)
+        rows = _any_layout(spark, [folder], "*.csv", whole_bytes, False, skip_unreadable)
+    # the path is percent-encoded; a plus sign in it is a plus sign
+    stem = F.regexp_extract("source_file", r"([^/]+?)(\.csv)?$", 1)
+    name = F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
+    rows = rows.withColumn("video_name", F.when(F.col("video_name") == "", name).otherwise(F.col("video_name")))
     return rows.where(F.col("reject_reason").isNull()).select(*OUTPUT), rows.where(F.col("reject_reason").isNotNull())
 
 
+def gather_failures(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(source_file, reason) of the CSVs of a folder that ``gather_detections(skip_unreadable=True)`` leaves out:
+    those that can't be opened, are no UTF-8 text or have no header. Files of no bytes are not seen, files longer than ``whole_bytes`` are not looked at."""
+    status = _whole_files(spark, [folder], "*.csv", whole_bytes, True).where("is_status")
+    return failed_files(list_files(spark, folder, "*.csv", whole_bytes), status)
+
+
 def enrich(df: DataFrame, vehicle_id: str = "vehicle-001", session_id: str | None = None,
            deterministic_id: bool = False) -> DataFrame:
     """Adds ids and the ingest time, with pixels under their message names.

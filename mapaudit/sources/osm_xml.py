@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapaudit.functions.geo import haversine_m
+from mapaudit.sources.files import WHOLE_BYTES, open_files
 
 NODE_SCHEMA = "_id string, _lat double, _lon double, tag array<struct<_k string, _v string>>"
 # Highway values that count as traffic infrastructure.
@@ -41,6 +42,12 @@ SIGNALS_AND_STOPS = (
 )
 
 
+def _last_values(entries: Column) -> Column:
+    last = F.filter(entries, lambda t, i: ~F.exists(
+        F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["_k"] == t["_k"]))
+    return F.map_from_entries(last)
+
+
 def read_nodes(spark: SparkSession, path, skip_unreadable: bool = False, keep_entries: bool = False) -> DataFrame:
     """Every node as (osm_id, latitude, longitude, tags). A repeated key keeps its last value there;
     ``keep_entries`` adds ``entries``, all of a node's (k, v) in file order.
@@ -52,14 +59,34 @@ def read_nodes(spark: SparkSession, path, skip_unreadable: bool = False, keep_en
         .schema(NODE_SCHEMA).load(path)
     )
     entries = F.coalesce(F.col("tag"), F.array().cast("array<struct<_k string, _v string>>"))
-    last = F.filter(entries, lambda t, i: ~F.exists(
-        F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["_k"] == t["_k"]))
     return nodes.select(
         F.col("_id").alias("osm_id"), F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"),
-        F.map_from_entries(last).alias("tags"),
+        _last_values(entries).alias("tags"),
         *([F.transform(entries, lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))).alias("entries")] if keep_entries else []))
 
 
+def read_tile_nodes(spark: SparkSession, folder, whole_bytes: int = WHOLE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(nodes, status) of a folder of map tiles, each opened on its own: (source_file, osm_id, latitude, longitude,
+    tags) of the readable ones, and (source_file, failure) of all that could be opened. Tiles longer than
+    ``whole_bytes`` are scanned in parts, and one of these that is broken fails the job."""
+    text = F.decode("content", "UTF-8")
+    # the record has no name of its own here, so a text that is no XML has neither nodes nor an error
+    tile = F.from_xml(text, f"node array<struct<{NODE_SCHEMA}>>, _broken string",
+                      {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    opened = open_files(spark, folder, largest=whole_bytes, skip_unreadable=True).select("source_file", text.alias("text"), tile.alias("tile"))
+    broken = F.col("tile").isNull() | F.col("tile._broken").isNotNull() | ~F.col("text").rlike(r"^\s*(\ufeff)?\s*<")
+    status = opened.select("source_file", F.when(broken, "no well-formed XML").alias("failure"))
+    found = opened.where(~broken).select("source_file", F.explode("tile.node").alias("n")).select("source_file", "n.*")
+    long = (
+        spark.read.format("xml").option("rowTag", "node").schema(NODE_SCHEMA).load(folder)
+        .where(F.col("_metadata.file_size") > whole_bytes).select(F.col("_metadata.file_path").alias("source_file"), "_id", "_lat", "_lon", "tag"))
+    entries = F.coalesce(F.col("tag"), F.array().cast("array<struct<_k string, _v string>>"))
+    nodes = found.unionByName(long).select(
+        "source_file", F.col("_id").alias("osm_id"), F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"),
+        _last_values(entries).alias("tags"))
+    return nodes, status
+
+
 def tag(key: str) -> Column:
     return F.try_element_at("tags", F.lit(key))
 

@@ -121,3 +121,54 @@ def test_repeated_tag_key(spark, tmp_path):
     assert [[r.osm_id for r in osm_xml.nodes_by_tag(nodes, "highway", v).collect()] for v in ("stop", "crossing", "none")] == [["1"], ["1"], []]
     assert sorted((r.osm_id, r.type) for r in osm_xml.nodes_by_tag(nodes, "highway").collect()) == [("1", "stop"), ("2", "give_way")]
     assert {r.osm_id: r.tags.get("highway") for r in nodes.collect()} == {"1": "crossing", "2": "give_way", "3": None}
+
+
+def test_odd_lines_keep_their_place(spark, tmp_path):
+    """Quotes, blank lines, other line ends and short lines: one pass and the split scan give the same rows."""
+    text = ("﻿" + SHORT.replace("\n", "\r\n") + '1,1.0,1,1,0.5,"a, ""b"""\r\n\r\n   \r\n2,1.0,1\r\n3,1.0,1,1,0.5,\r\n4,1.0,1,1,0.5,"open\r\n5,1.0,1,1,0.5,é')
+    (tmp_path / "odd.csv").write_text(text, newline="")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "head.csv").write_text(SHORT)
+    key = lambda rows: sorted(((r.source_file, r.block_start, r.line_in_block, r.frame_number, r.u, r.class_name) for r in rows))
+    whole, rejected = d.read_detections_csv(spark, str(tmp_path), keep_place=True)
+    split, rejected_too = d.read_detections_csv(spark, str(tmp_path), keep_place=True, whole_bytes=-1)
+    assert key(whole.collect()) == key(split.collect())
+    assert [(r.line_in_block, r.frame_number, r.class_name) for r in whole.orderBy("line_in_block").collect()] == [
+        (0, 1, 'a, "b"'), (2, 3, ""), (3, 4, "open"), (4, 5, "é")]
+    assert [(r.reject_reason, r.line) for r in rejected.collect()] == [(r.reject_reason, r.line) for r in rejected_too.collect()] \
+        == [("wrong number of fields", "2,1.0,1")]
+
+
+def test_broken_files_are_listed(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "good.csv").write_text(GOOD)
+    (tmp_path / "latin.csv").write_bytes(GOOD.encode() + b"\xff\xfe")
+    (tmp_path / "empty.csv").write_text("\n \n")
+    rows, rejected = d.gather_detections(spark, str(tmp_path), skip_unreadable=True)
+    assert {r.video_name for r in rows.collect()} == {"good"} and rejected.count() == 0
+    failed = {r.source_file.rsplit("/", 1)[1]: r.reason for r in d.gather_failures(spark, str(tmp_path)).collect()}
+    assert set(failed) == {"latin.csv", "empty.csv"} and failed["empty.csv"] == "ValueError: no header" and "UnicodeDecodeError" in failed["latin.csv"]
+    packed = tmp_path / "packed"
+    packed.mkdir()
+    (packed / "a.csv.gz").write_bytes(gzip.compress(GOOD.encode()))
+    assert d.read_detections_csv(spark, str(packed))[0].count() == 3
+    (packed / "b.csv.gz").write_bytes(gzip.compress(GOOD.encode())[:40])
+    with pytest.raises(Exception, match="b.csv.gz"):
+        d.read_detections_csv(spark, str(packed))[0].count()
+
+
+def test_broken_tiles_are_listed(spark, tmp_path):
+    from mapaudit.operators.coverage import merge_tile_files
+
+    node = '<node id="{}" lat="{}" lon="2"><tag k="highway" v="{}"/></node>'
+    head = '<?xml version="1.0"?>\n<osm version="0.6">'
+    (tmp_path / "t1.xml").write_text(head + node.format(1, 1.5, "stop") + node.format(2, 2.5, "a") + "</osm>")
+    (tmp_path / "t2.xml").write_text(head + node.format(2, 9.5, "b") + node.format(3, 3.5, "c") + "</osm>")
+    (tmp_path / "t3.xml").write_text(head + node.format(4, 4.5, "d") + '<node id="5" lat="1')
+    (tmp_path / "t4.xml").write_text("rate limited, try again")
+    (tmp_path / "t5.xml").write_text("\n")
+    (tmp_path / "t6.xml").write_text('<osm version="0.6"><note>none</note></osm>')
+    nodes, failed = merge_tile_files(spark, str(tmp_path))
+    assert sorted((r.osm_id, r.latitude, r.tags["highway"]) for r in nodes.collect()) == [("1", 1.5, "stop"), ("2", 2.5, "a"), ("3", 3.5, "c")]
+    assert sorted(r.source_file[-6:] for r in failed.collect()) == ["t3.xml", "t4.xml", "t5.xml"]
