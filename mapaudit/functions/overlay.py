@@ -18,6 +18,7 @@ TIME_PATTERNS = (
     r"(\d{2}/\d{2}/\d{4})",
     r"(\d{4}[-/]\d{2}[-/]\d{2})",
 )
+# The test position of a frame without a readable one.
 FALLBACK_LAT, FALLBACK_LON = 43.79, -79.314
 
 
@@ -39,7 +40,7 @@ def parse_overlay(df: DataFrame, gps_col: str = "gps_text", ts_col: str = "ts_te
                   fallback: bool = True, frame_col: str = "frame_number") -> DataFrame:
     """Adds ``lat, lon, speed_or_heading, recording_timestamp``. With ``fallback`` a
     frame without a readable position gets the slowly drifting test position and
-    a blank time."""
+    a blank time, and ``is_fallback`` tells it apart."""
     gps, ts = F.col(gps_col), F.col(ts_col)
     out = (
         df.withColumn("lat", _coordinate(gps, LAT_HEMISPHERE, LAT_LABEL, "S"))
@@ -52,12 +53,11 @@ def parse_overlay(df: DataFrame, gps_col: str = "gps_text", ts_col: str = "ts_te
     lost = F.col("lat").isNull() | F.col("lon").isNull()
     drift = F.col(frame_col) / 10000 * 0.0001
     return (
-        out.withColumn("_lost", lost)
-        .withColumn("lat", F.when(F.col("_lost"), F.lit(FALLBACK_LAT) + drift).otherwise(F.col("lat")))
-        .withColumn("lon", F.when(F.col("_lost"), F.lit(FALLBACK_LON) + drift).otherwise(F.col("lon")))
+        out.withColumn("is_fallback", lost)
+        .withColumn("lat", F.when(F.col("is_fallback"), F.lit(FALLBACK_LAT) + drift).otherwise(F.col("lat")))
+        .withColumn("lon", F.when(F.col("is_fallback"), F.lit(FALLBACK_LON) + drift).otherwise(F.col("lon")))
         .withColumn("recording_timestamp",
-                    F.when(F.col("_lost"), "").otherwise(F.coalesce("recording_timestamp", F.lit(""))))
-        .drop("_lost")
+                    F.when(F.col("is_fallback"), "").otherwise(F.coalesce("recording_timestamp", F.lit(""))))
     )
 
 

@@ -207,6 +207,13 @@ _HISTOGRAM_EDGES = [f"{i} * 1e-1" for i in range(1, 10)]
 _BIN = " + ".join(f"case when confidence >= {e} then 1 else 0 end" for e in _HISTOGRAM_EDGES)
 _TIME_BIN = " + ".join(f"case when timestamp_sec > lo + step * {i} then 1 else 0 end" for i in range(20))
 
+_PARSED = f"""(select *, lat is null or lon is null as lost from (
+  select event_id, frame_number, {_coordinate(LAT_HEMISPHERE, LAT_LABEL, 'S')} as lat,
+    {_coordinate(LON_HEMISPHERE, LON_LABEL, 'W')} as lon,
+    coalesce({_number(_found('gps_text', SPEED))}, {_number(_found('gps_text', HEADING))}) as speed_or_heading,
+    coalesce({', '.join(_found('ts_text', p) for p in TIME_PATTERNS)}) as stamp
+  from overlay) a)"""
+
 ORACLE: dict[str, str] = {
     "read_detections_csv": using("det", f"select {_CSV_COLUMNS} from det where {_GOOD}"),
     "read_detections_rejected": using("det", f"""
@@ -318,12 +325,10 @@ where frame_number % 30 = 0 and confidence >= 25e-2 and class_name in ('stop sig
 select event_id, round(case when lost then {FALLBACK_LAT!r} + frame_number / 1e4 * 1e-4 else lat end, 9) as lat,
   round(case when lost then {FALLBACK_LON!r} + frame_number / 1e4 * 1e-4 else lon end, 9) as lon, speed_or_heading,
   case when lost then '' else coalesce(stamp, '') end as recording_timestamp
-from (select *, lat is null or lon is null as lost from (
-  select event_id, frame_number, {_coordinate(LAT_HEMISPHERE, LAT_LABEL, 'S')} as lat,
-    {_coordinate(LON_HEMISPHERE, LON_LABEL, 'W')} as lon,
-    coalesce({_number(_found('gps_text', SPEED))}, {_number(_found('gps_text', HEADING))}) as speed_or_heading,
-    coalesce({', '.join(_found('ts_text', p) for p in TIME_PATTERNS)}) as stamp
-  from overlay) a) b"""),
+from {_PARSED} b"""),
+    "overlay_fallbacks": using("overlay", f"""
+select lost as is_fallback, count(*) as frames, cast(sum(case when not lost and stamp is not null then 1 else 0 end) as bigint) as with_time
+from {_PARSED} b group by 1"""),
     "best_overlay_text": using("readings", """
 select frame_number, gps_text from (select *, row_number() over (partition by frame_number
   order by length(regexp_replace(gps_text, '[^0-9]', '', 'g')) desc, variant) as rn from readings) r where rn = 1"""),
@@ -551,6 +556,9 @@ union all select 'fct.high_verification_rate',
 union all select 'fct.no_future_dates', count(*) from fct10
 where try_strptime(recording_timestamp, '%d/%m/%Y %H:%M:%S') > timestamp '2024-01-25 00:00:00'"""),
 
+    "stream_csv_rejected": using("det", f"""
+select case when event_id % 101 = 0 then 'invalid frame_number' else 'invalid confidence' end as reject_reason,
+  count(*) as n from det where not ({_GOOD}) group by 1"""),
     "stream_csv_to_topic": using("det", f"""
 {_TOPIC}"""),
     "stream_csv_topic_raw": using("det", f"""
@@ -563,6 +571,7 @@ select detection_id, video_name, frame_number, class_name as object_class, vehic
     "stream_audit": _fact("fct"),
     "build_all_facts": _fact("fct"),
     "build_all_summary": _summary("fct"),
+    "build_all_published": _summary("fct"),
     "stream_status_counts": using("det", "select class_name, count(*) as count from det group by 1"),
     "stream_dedup": using("det", "select detection_id, frame_number, class_name from det"),
     "stream_unreadable": using("det", """

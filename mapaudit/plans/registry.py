@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -380,6 +381,13 @@ def _(spark, d):
     return rounded(parsed.select("event_id", "lat", "lon", "speed_or_heading", "recording_timestamp"), lat=9, lon=9)
 
 
+@query("overlay_fallbacks")
+def _(spark, d):
+    """Frames whose position is made up, by time found or not."""
+    parsed = overlay.parse_overlay(inputs.overlay_texts(spark, d))
+    return parsed.groupBy("is_fallback").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("recording_timestamp") != "").alias("with_time"))
+
+
 @query("best_overlay_text")
 def _(spark, d):
     return overlay.best_text(inputs.overlay_readings(spark, d))
@@ -939,6 +947,16 @@ def _(spark, d):
     return _topic_rows(topic)
 
 
+@query("stream_csv_rejected")
+def _(spark, d):
+    """The rows that the stream to the topic leaves out, by reason."""
+    def run(path: str) -> None:
+        jobs.csv_rejects(spark, _det_csv(spark, d), det_files.OUTPUT, path, new_path(spark, "cp"), once=True).awaitTermination()
+
+    rejected = spark.read.parquet(inputs.stored_files(spark, d, "csv_rejects", run))
+    return rejected.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_csv_topic_raw")
 def _(spark, d):
     """Both streams in a row: files to topic, topic to raw table."""
@@ -1053,3 +1071,19 @@ def _(spark, d):
     """The fact table as the daily build stores it."""
     built = build_all(spark, inputs.raw_detections(spark, d), inputs.osm_nodes(spark, d), new_path(spark, "warehouse"))
     return rounded(built["fct_map_audit"].drop("detection_location"), distance_meters=3)
+
+
+@query("build_all_published")
+def _(spark, d):
+    """The summary mart as the current build's schema shows it, after a later run that failed."""
+    warehouse, prefix = new_path(spark, "warehouse"), "published_"
+    raw, nodes = inputs.raw_detections(spark, d), inputs.osm_nodes(spark, d)
+    build_all(spark, raw, nodes, warehouse, schema_prefix=prefix)
+    broken = nodes.withColumn("latitude", F.raise_error(F.lit("no position")).cast("double"))
+    try:
+        build_all(spark, raw, broken, warehouse, schema_prefix=prefix)
+    except SparkRuntimeException as error:
+        if "no position" not in str(error):
+            raise
+    return rounded(spark.table(f"{prefix}marts.audit_summary_metrics"),
+                   avg_confidence=6, avg_distance_meters=6, min_distance_meters=3, max_distance_meters=3)

@@ -17,7 +17,7 @@ from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.operators.audit import FRAME, fct_map_audit
 from mapaudit.operators.skew import keep_rank_one
 from mapaudit.operators.staging import flatten_detections, from_typed, stage_detections
-from mapaudit.sources.detections import enrich, stream_detections_csv
+from mapaudit.sources.detections import enrich, stream_detections_csv, stream_rows_csv
 from mapaudit.sources.messages import from_messages, to_messages, to_raw, with_topic_date
 
 
@@ -50,6 +50,15 @@ def csv_to_topic(spark: SparkSession, folder: str, layout: list[str], target: di
     return _start(writer, once)
 
 
+def csv_rejects(spark: SparkSession, folder: str, layout: list[str], table_path: str, checkpoint: str,
+                once: bool = False) -> StreamingQuery:
+    """The rows that ``csv_to_topic`` leaves out, with their reason and file, appended to a table. A query of its own with
+    its own progress: it parses the files again, so that neither sink waits for the other or writes twice for it."""
+    rows = stream_rows_csv(spark, folder, layout).where(F.col("reject_reason").isNotNull())
+    writer = rows.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
+    return _start(writer.outputMode("append"), once)
+
+
 def batch_to_topic(detections: DataFrame, target: dict[str, str], fmt: str = "kafka") -> None:
     """The whole table to messages in one job."""
     to_messages(detections).drop("message").write.format(fmt).options(**target).mode("append").save()

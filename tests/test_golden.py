@@ -83,6 +83,7 @@ def test_overlay(spark):
     for g, (_, _, w) in zip(got, OVERLAY):
         assert g[:2] == pytest.approx(w[:2], abs=1e-9) and g[2] == w[2]
     assert parse_overlay(df, fallback=False).collect()[4].lon is None
+    assert parse_overlay(df).collect()[4].is_fallback and not parse_overlay(df).collect()[0].is_fallback
 
 
 def test_best_text_prefers_digits_then_first(spark):
