@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,3 +56,18 @@ def pixel_distance(v, image_height=1440, camera_height=1.4, fov_deg=92.0, horizo
 def wkt_point(lon, lat) -> Column:
     """``POINT(lon lat)``; null when either coordinate is null."""
     return F.concat(F.lit("POINT("), _c(lon).cast("string"), F.lit(" "), _c(lat).cast("string"), F.lit(")"))
+
+
+def within_box(lat_col: str, lon_col: str, metres: float, lat: float, lon: float) -> Column:
+    """Bounds that every position within ``metres`` of (lat, lon) keeps: plain comparisons of columns with numbers, which a
+    scan can use to skip row groups. The distance itself is still to be tested."""
+    reach = math.degrees(metres / EARTH_RADIUS_M) * (1 + 1e-9) + 1e-9
+    box = (F.col(lat_col) >= lat - reach) & (F.col(lat_col) <= lat + reach)
+    if abs(lat) + reach >= 90:  # a pole is inside: every meridian is near
+        return box
+    side = math.degrees(math.asin(math.sin(math.radians(reach)) / math.cos(math.radians(lat)))) + 1e-9
+    around = [(lon + turn - side, lon + turn + side) for turn in (-360.0, 0.0, 360.0)]
+    near = [(F.col(lon_col) >= max(west, -180.0)) & (F.col(lon_col) <= min(east, 180.0))
+            for west, east in around if west <= 180 and east >= -180]
+    # longitudes written beyond a full turn are left to the distance
+    return box & reduce(lambda a, b: a | b, near, (F.col(lon_col) < -180.0) | (F.col(lon_col) > 180.0))

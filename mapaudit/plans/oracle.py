@@ -306,6 +306,9 @@ select detection_id, timestamp_sec, class_name from det where timestamp_sec betw
 select osm_id, osm_type, latitude, longitude from osm where {_TRAFFIC}
   and latitude between 436e-1 and 438e-1 and longitude between -795e-1 and -792e-1"""),
     "osm_selector_around": using("tagged", f"""
+select osm_id, osm_type from tagged where (osm_type in ('traffic_signals', 'stop') or crossing = 'traffic_signals')
+  and {hav('latitude', 'longitude', '437e-1', '-794e-1')} <= 9000"""),
+    "osm_selector_by_place": using("tagged", f"""
 select osm_id, osm_type from tagged where (osm_type in ('traffic_signals', 'stop') or crossing = 'traffic_signals')
   and {hav('latitude', 'longitude', '437e-1', '-794e-1')} <= 9000"""),
     "osm_selector_tiles": using("osm", """

@@ -358,6 +358,14 @@ def _(spark, d):
     return found.select("osm_id", "osm_type")
 
 
+@query("osm_selector_by_place")
+def _(spark, d):
+    """The same search in a table kept in order of place, whose far row groups the scan skips."""
+    path = inputs.stored_files(spark, d, "osm_by_place", lambda p: osm_xml.write_nodes_by_place(inputs.tagged_nodes(spark, d), p))
+    found = osm_xml.select_nodes(spark.read.parquet(path), osm_xml.SIGNALS_AND_STOPS, around=(9000, 43.7, -79.4))
+    return found.select("osm_id", "osm_type")
+
+
 @query("osm_selector_tiles")
 def _(spark, d):
     found = osm_xml.select_nodes(inputs.tagged_nodes(spark, d), osm_xml.SIGNS_AND_STOPS, bbox=CITY)

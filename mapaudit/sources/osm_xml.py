@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapaudit.functions.geo import haversine_m
+from mapaudit.functions.geo import haversine_m, within_box
 from mapaudit.sources.files import WHOLE_BYTES, open_files
 
 NODE_SCHEMA = "_id string, _lat double, _lon double, tag array<struct<_k string, _v string>>"
@@ -119,7 +119,8 @@ def nodes_by_tag(nodes: DataFrame, key: str, value: str | None = None) -> DataFr
 
 def select_nodes(nodes: DataFrame, selectors, bbox=None, around=None) -> DataFrame:
     """Nodes matching any selector, inside (south, west, north, east) or within
-    (metres, lat, lon)."""
+    (metres, lat, lon). Both are bounds of columns first, so a scan of nodes stored in order of place
+    (``write_nodes_by_place``) reads the row groups near by only."""
     def holds(key: str, value: str | None) -> Column:
         return F.map_contains_key("tags", key) if value is None else F.coalesce(tag(key) == value, F.lit(False))
 
@@ -130,7 +131,7 @@ def select_nodes(nodes: DataFrame, selectors, bbox=None, around=None) -> DataFra
         out = out.where(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
     if around is not None:
         metres, lat, lon = around
-        out = out.where(haversine_m("latitude", "longitude", lat, lon) <= metres)
+        out = out.where(within_box("latitude", "longitude", metres, lat, lon) & (haversine_m("latitude", "longitude", lat, lon) <= metres))
     return out
 
 
@@ -148,6 +149,26 @@ def append_nodes(nodes: DataFrame, source_file: str, path: str) -> None:
     with_load_columns(nodes, source_file).write.mode("append").parquet(path)
 
 
+def write_nodes_by_place(nodes: DataFrame, path: str, files: int | None = None, cell_degrees: float = 0.01) -> None:
+    """Nodes as a table in order of place: cells of about a kilometre along a curve that interleaves the bits of row and
+    column, so that a file and each of its row groups cover a compact area. ``files`` as the session's shuffle partitions
+    unless given; rows without a position come first."""
+    row = F.floor((F.col("latitude") + 90) / cell_degrees).cast("long")
+    col = F.floor((F.col("longitude") + 180) / cell_degrees).cast("long")
+
+    def spread(c: Column) -> Column:
+        # 32 bits, a free one in front of each
+        for shift in (16, 8, 4, 2, 1):
+            mask = sum(((1 << shift) - 1) << at for at in range(0, 63, 2 * shift))
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    placed = nodes.withColumn("_place", F.shiftleft(spread(row), 1).bitwiseOR(spread(col)))
+    by = ["_place", "latitude", "longitude", "osm_id"]
+    dealt = placed.repartitionByRange(files, *by) if files else placed.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).drop("_place").write.mode("overwrite").parquet(path)
+
+
 def write_osm_xml(nodes: DataFrame, path: str) -> None:
     tags = F.transform(F.map_entries("tags"), lambda e: F.struct(e["key"].alias("_k"), e["value"].alias("_v")))
     (

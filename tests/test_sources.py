@@ -172,3 +172,30 @@ def test_broken_tiles_are_listed(spark, tmp_path):
     nodes, failed = merge_tile_files(spark, str(tmp_path))
     assert sorted((r.osm_id, r.latitude, r.tags["highway"]) for r in nodes.collect()) == [("1", 1.5, "stop"), ("2", 2.5, "a"), ("3", 3.5, "c")]
     assert sorted(r.source_file[-6:] for r in failed.collect()) == ["t3.xml", "t4.xml", "t5.xml"]
+
+
+def test_around_is_pushed_into_the_scan(spark, tmp_path):
+    """The bounds reach the scan, skip files, and lose nothing at the date line, at a pole or on the circle itself."""
+    import random
+
+    from mapaudit.functions.geo import haversine_m
+
+    rng = random.Random(5)
+    at = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(3000)] + [(rng.uniform(-20, 20), rng.choice([-180.0, 180.0, 179.9, -179.9])) for _ in range(500)]
+    nodes = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate([*at, (None, None), (1.0, 181.5)])], "osm_id string, latitude double, longitude double")
+    nodes = nodes.withColumn("tags", F.create_map(F.lit("highway"), F.lit("stop")))
+    osm_xml.write_nodes_by_place(nodes, str(tmp_path / "n"), files=16)
+    stored = spark.read.parquet(str(tmp_path / "n"))
+    assert stored.count() == nodes.count() and stored.columns == nodes.columns
+    for metres, lat, lon in ((2e6, 0.0, 179.5), (1e6, 88.0, 10.0), (5e5, 43.7, -79.4), (2.1e7, 10.0, 10.0), (3e6, -60.0, -170.0)):
+        found = osm_xml.select_nodes(stored, osm_xml.SIGNALS_AND_STOPS[1:2], around=(metres, lat, lon))
+        want = nodes.where(haversine_m("latitude", "longitude", lat, lon) <= metres)
+        assert sorted(r.osm_id for r in found.collect()) == sorted(r.osm_id for r in want.collect())
+    near = osm_xml.select_nodes(stored, osm_xml.SIGNALS_AND_STOPS[1:2], around=(5e5, 43.7, -79.4))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(latitude" in pushed and "LessThanOrEqual(longitude" in pushed
+    extent = stored.groupBy(F.input_file_name().alias("f")).agg(*[g(c) for c in ("latitude", "longitude") for g in (F.min, F.max)]).collect()
+    assert sum(r[1] is not None and r[1] <= 48.2 and r[2] >= 39.2 and r[3] <= -73 and r[4] >= -86 for r in extent) <= 6
