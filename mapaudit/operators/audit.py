@@ -9,7 +9,7 @@ from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.functions.geo import wkt_point
 from mapaudit.functions.labels import audit_status
 from mapaudit.operators.skew import DICE, keep_rank_one, lookup_join, with_dice
-from mapaudit.operators.spatial import measure_sites, nearest, radius_join
+from mapaudit.operators.spatial import NEAR_CELLS, measure_sites, nearest, radius_join
 
 FRAME = ["video_name", "frame_number"]
 
@@ -34,7 +34,7 @@ def nearest_within_radius(staged: DataFrame, staged_nodes: DataFrame, cfg: Audit
     nodes, staged = _node_columns(staged_nodes), with_dice(staged)
     size = measure_sites(nodes.select(F.col("osm_lat").alias("s_lat"), F.col("osm_lon").alias("s_lon")),
                          cfg.search_radius_m)
-    if per == "frame" and size.densest <= cfg.pair_nodes:
+    if per == "frame" and size.densest * NEAR_CELLS <= cfg.pair_nodes:
         pairs = radius_join(staged, nodes, cfg.search_radius_m, "left", cfg=cfg, node_rows=size.rows)
         pairs = pairs.withColumnRenamed("distance_m", "distance_meters")
         return keep_rank_one(pairs, FRAME, "distance_meters", staged, cfg.hot_rows).drop(DICE)

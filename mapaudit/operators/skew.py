@@ -13,6 +13,11 @@ from mapaudit.config import AuditConfig
 from mapaudit.session import cut
 
 ROW_BYTES = 128  # generous size of one row of a broadcast table
+_HELD = 3  # the driver holds a broadcast as collected rows, as a hash table and as the blocks it sends
+_TASK_WORK = 5_000_000  # pairs compared by a task of a shuffled join; a row counts as _ROW_WORK pairs
+_ROW_WORK = 16
+_MOST_TASKS = 10_000
+_LEAST_PAIRS = 1_000_000  # keys with fewer pairs are not cut
 _NULL_FAN = 1024  # rows with a null key match nothing: spread them evenly
 
 
@@ -40,7 +45,7 @@ def _throw(df: DataFrame) -> Column:
 def fits_broadcast(rows: int, cfg: AuditConfig, row_bytes: int = ROW_BYTES) -> bool:
     if cfg.join_strategy != "auto":
         return cfg.join_strategy == "broadcast"
-    return rows * row_bytes <= cfg.broadcast_bytes
+    return rows * row_bytes * _HELD <= cfg.broadcast_bytes
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, cfg: AuditConfig) -> DataFrame:
@@ -71,7 +76,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot
 
     Rows of a hot key are dealt out over several tasks and the matching rows of
     ``small`` are copied to each, so no task gets a whole hot key. A ``big`` that
-    went through a shuffle carries its dice (see ``with_dice``).
+    went through a shuffle carries its dice (see ``with_dice``). The hint keeps Spark from a broadcast that it
+    would choose by the size of the files ``small`` comes from: rows made since, such as cover cells, are not in it.
     """
     fan = F.broadcast(hot_keys(big.select(*keys), keys, hot_rows))
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
@@ -87,11 +93,11 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot
     )
     on = keys + ["_salt"]
     if condition is None:
-        return left.join(right, on, how).drop("_salt")
+        return left.join(right.hint("merge"), on, how).drop("_salt")
     for k in on:
         right = right.withColumnRenamed(k, f"_r{k}")
     match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r{k}") for k in on])
-    return left.join(right, match & condition, how).drop("_salt", *[f"_r{k}" for k in on])
+    return left.join(right.hint("merge"), match & condition, how).drop("_salt", *[f"_r{k}" for k in on])
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
@@ -103,19 +109,25 @@ def measure(df: DataFrame) -> tuple[int, int]:
     return rows, max(ROW_BYTES, 64 + 16 * len(df.columns) + math.ceil(mean))
 
 
-def pair_grid(left: DataFrame, right: DataFrame, keys: list[str], cfg: AuditConfig) -> DataFrame:
+def pair_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _p, _q): rows of each key on the left and on the right. Stored."""
+    counts = [side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+              for side, name in ((left, "_p"), (right, "_q"))]
+    both = counts[0].join(counts[1], keys, "full").select(
+        *keys, F.coalesce("_p", F.lit(0)).cast("double").alias("_p"), F.coalesce("_q", F.lit(0)).cast("double").alias("_q"))
+    return cut(both, "counts")
+
+
+def pair_grid(left: DataFrame, right: DataFrame, keys: list[str], cfg: AuditConfig, counts: DataFrame | None = None) -> DataFrame:
     """(keys, _rows, _cols) for keys that are too much for one task.
 
     That is more than ``hot_rows`` rows on a side or more than ``task_pairs`` pairs. Left rows are dealt to ``_rows``
     parts, right rows to ``_cols``, and each (row, column) holds at most about ``task_pairs`` pairs. A listed key has at
     least sqrt(task_pairs) rows on a side; should the list still not fit a broadcast, larger tasks are allowed.
     """
-    counts = [side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-              for side, name in ((left, "_p"), (right, "_q"))]
-    both = counts[0].join(counts[1], keys, "full").select(
-        *keys, F.coalesce("_p", F.lit(0)).cast("double").alias("_p"), F.coalesce("_q", F.lit(0)).cast("double").alias("_q"))
+    both = pair_counts(left, right, keys) if counts is None else counts
     p, q, hot, pairs = F.col("_p"), F.col("_q"), cfg.hot_rows, float(cfg.task_pairs)
-    both = cut(both.where((p > hot) | (q > hot) | (p * q > pairs)), "grid")
+    both = both.where((p > hot) | (q > hot) | (p * q > pairs))
     heavy = both
     while not fits_broadcast(heavy.count(), replace(cfg, join_strategy="auto")):
         hot, pairs = 4 * hot, 16 * pairs
@@ -147,24 +159,40 @@ def deal_pairs(left: DataFrame, right: DataFrame, keys: list[str], grid: DataFra
     return dealt, across
 
 
-def matrix_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, condition: Column, at: list[str], cfg: AuditConfig) -> DataFrame:
+def matrix_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, condition: Column, at: list[str], cfg: AuditConfig,
+                left_made: dict[str, Column] | None = None, right_made: dict[str, Column] | None = None) -> DataFrame:
     """Shuffle equi-join ("inner" or "left") in which a heavy key is many tasks' work whichever side is heavy.
 
-    ``at`` names the left columns that ``condition`` reads. With "left", a left row of a key cut into several columns is
-    kept without a match if none of its columns has one, which is asked by the distinct ``at`` of the rows that have.
+    The counted pairs, not the bytes of the rows, decide the number of tasks, and keys are cut until each task has
+    several parts, so that tasks are even. ``at`` names the left columns that ``condition`` reads; ``left_made`` and
+    ``right_made`` are columns for it that are made behind the shuffle. With "left", a left row of a key cut into several
+    columns is kept without a match if none of its columns has one, which is asked by the distinct ``at`` of the rows that have.
     """
-    grid = cut(pair_grid(left, right, keys, cfg), "grid")
+    counts = pair_counts(left, right, keys)
+    p, q = F.col("_p"), F.col("_q")
+    pairs, rows = counts.agg(F.coalesce(F.sum(p * q), F.lit(0.0)), F.coalesce(F.sum(p + q), F.lit(0.0))).first()
+    spread = left.sparkSession.sparkContext.defaultParallelism
+    tasks = min(_MOST_TASKS, max(spread, math.ceil((pairs + _ROW_WORK * rows) / _TASK_WORK)))
+    finer = replace(cfg, task_pairs=int(min(cfg.task_pairs, max(_LEAST_PAIRS, pairs / (8 * tasks)))))
+    grid = cut(pair_grid(left, right, keys, finer, counts), "grid")
     dealt, across = deal_pairs(left, right, keys, grid)
     on = [*keys, "_row", "_col"]
     across = across.withColumnsRenamed({k: f"_r{k}" for k in on})
     match = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_r{k}") for k in on]) & condition
-    drop = ["_row", "_col", "_wide", *(f"_r{k}" for k in on)]
+    left_made, right_made = left_made or {}, right_made or {}
+    # a number of partitions that is given is not merged again by their bytes
+    across = across.repartition(tasks, *(f"_r{k}" for k in on)).withColumns(right_made).hint("merge")
+
+    def meet(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.repartition(tasks, *on).withColumns(left_made).join(across, match, kind)
+
+    drop = ["_row", "_col", "_wide", *(f"_r{k}" for k in on), *left_made, *right_made]
     if how == "inner" or grid.where("_cols > 1").isEmpty():
-        return dealt.join(across, match, how).drop(*drop)
+        return meet(dealt, how).drop(*drop)
     wide = dealt.where("_wide")
-    hits = wide.select(*on, *at).join(across, match, "left_semi").select(*keys, "_row", *at).distinct()
+    hits = meet(wide.select(*on, *at), "left_semi").select(*keys, "_row", *at).distinct()
     lone = wide.where("_col = 0").join(hits, [*keys, "_row", *at], "left_anti").drop(*drop)
-    found = dealt.where("not _wide").join(across, match, "left").unionByName(wide.join(across, match, "inner"))
+    found = meet(dealt.where("not _wide"), "left").unionByName(meet(wide, "inner"))
     return found.drop(*drop).unionByName(lone, allowMissingColumns=True)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapaudit.config import DEFAULT, AuditConfig
+from mapaudit.config import DEFAULT, EARTH_RADIUS_M, AuditConfig
 from mapaudit.functions.geo import haversine_m, unit_vector
 from mapaudit.operators.grid import CELL, with_cell, with_cover
 from mapaudit.operators.pyramid import descend, opened
@@ -15,8 +17,9 @@ from mapaudit.operators.skew import ROW_BYTES, fits_broadcast, matrix_join, meas
 from mapaudit.session import cut
 
 _MOST_CELLS = 60  # no circle touches more cells, even at a pole (usually 9)
-_NEAR_CELLS = 16  # more cells than can hold the sites whose circles touch one cell
+NEAR_CELLS = 16  # more cells than can hold the sites whose circles touch one cell
 _WHOLE_EARTH_M = 2.1e7  # more than half the circumference
+_POINT_UNIT, _NODE_UNIT = ["_px", "_py", "_pz"], ["_nx", "_ny", "_nz"]
 _ADDED = ["distance_m", "site", "s_lat", "s_lon"]
 
 
@@ -36,6 +39,26 @@ def measure_sites(found: DataFrame, step: float) -> SiteSize:
     return SiteSize(int(row[0]), int(row[1]))
 
 
+def _chord() -> Column:
+    return reduce(lambda a, b: a + b, [(F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(_POINT_UNIT, _NODE_UNIT)])
+
+
+def _chord_limit(radius_m: float) -> tuple[float, float]:
+    """The squared chord of the radius and what rounding may add or take (see ``_nearest_in_cell``), with room to spare."""
+    c = (2 * math.sin(min(radius_m / (2 * EARTH_RADIUS_M), math.pi / 2))) ** 2
+    return c, math.sqrt(c) * 1e-12 + c * 1e-8 + 1e-26
+
+
+def _clearly_near(radius_m: float) -> Column:
+    c, slack = _chord_limit(radius_m)
+    return _chord() < c - slack
+
+
+def _maybe_near(radius_m: float) -> Column:
+    c, slack = _chord_limit(radius_m)
+    return _chord() <= c + slack
+
+
 def radius_join(points: DataFrame, nodes: DataFrame, radius_m: float, how: str = "inner",
                 point_at=("latitude", "longitude"), node_at=("osm_lat", "osm_lon"),
                 strict: bool = False, cfg: AuditConfig = DEFAULT, node_rows: int | None = None) -> DataFrame:
@@ -46,25 +69,27 @@ def radius_join(points: DataFrame, nodes: DataFrame, radius_m: float, how: str =
     sides are shuffled by cell, and a cell with many points, many nodes or both is cut into a
     grid of tasks. With ``how="left"``
     unmatched points stay, with nulls. Column names must not overlap. A caller
-    that knows the node count passes it and saves the count.
+    that knows the node count passes it and saves the count. Pairs are told by their squared chord; the distance
+    decides where that is as close to the radius as rounding allows, and is computed for the pairs that stay.
     """
     cover = with_cover(nodes, *node_at, radius_m)
     for k in CELL:
         cover = cover.withColumnRenamed(k, f"_n{k}")
     points = with_cell(points, *point_at, radius_m)
     distance = haversine_m(*point_at, *node_at)
-    near = distance < radius_m if strict else distance <= radius_m
+    near = _clearly_near(radius_m) | (_maybe_near(radius_m) & (distance < radius_m if strict else distance <= radius_m))
+    at_point, at_node = dict(zip(_POINT_UNIT, unit_vector(*point_at))), dict(zip(_NODE_UNIT, unit_vector(*node_at)))
     width = ROW_BYTES
     if cfg.join_strategy == "auto" and node_rows is None:
         node_rows, width = measure(nodes)
     bound = (node_rows or 0) * _MOST_CELLS
     if fits_broadcast(bound, cfg, width) or (cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg, width)):
         match = (F.col("_band") == F.col("_n_band")) & (F.col("_cell") == F.col("_n_cell")) & near
-        joined = points.join(F.broadcast(cover), match, how)
+        joined = points.withColumns(at_point).join(F.broadcast(cover.withColumns(at_node)), match, how)
     else:
         cover = cover.withColumnsRenamed({f"_n{k}": k for k in CELL})
-        joined = matrix_join(points, cover, CELL, how, near, list(point_at), cfg)
-    dropped = [*CELL, *[f"_n{k}" for k in CELL]]
+        joined = matrix_join(points, cover, CELL, how, near, list(point_at), cfg, at_point, at_node)
+    dropped = [*CELL, *[f"_n{k}" for k in CELL], *_POINT_UNIT, *_NODE_UNIT]
     return joined.withColumn("distance_m", distance).drop(*dropped)
 
 
@@ -140,52 +165,44 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
     Adds ``distance_m, site, s_lat, s_lon``: null when nothing is in range. On
     equal distance the lowest key wins, or with ``ties`` one row per tied position.
 
-    Without a limit, the distinct positions of the points go through ``_far``. With one, most points are settled by
-    one grid join at that radius, which is lowered until no neighbourhood can hold more than ``cfg.cell_sites``
-    positions; points without a hit then go through ``_far``.
+    The search asks once for each distinct position of the points, and its answers are joined back by position.
+    Without a limit, the positions go through ``_far``. With one, most are settled by one grid join at that radius,
+    which is lowered until no neighbourhood can hold more than ``cfg.cell_sites`` sites; those without a hit then go
+    through ``_far``.
     """
     out = [*points.columns, *_ADDED]
-    points, found_sites = with_dice(points), sites(nodes, node_at, key, payload)
+    points, found_sites = with_dice(points), cut(sites(nodes, node_at, key, payload), "sites")
+    at = [F.col(c) for c in point_at]
+    places = points.where(at[0].isNotNull() & at[1].isNotNull()).select(at[0].alias("p_lat"), at[1].alias("p_lon")).distinct()
+    places = cut(places, "places")
     if radius_m is None:
-        found_sites = cut(found_sites, "sites")
-        at = [F.col(c) for c in point_at]
-        places = points.where(at[0].isNotNull() & at[1].isNotNull()).select(at[0].alias("p_lat"), at[1].alias("p_lon")).distinct()
-        answers = _far(cut(places, "places"), found_sites, _WHOLE_EARTH_M, ties)
-        if answers is None:
-            types = {"distance_m": "double", **{f.name: f.dataType for f in found_sites.schema}}
-            return points.withColumns({c: F.lit(None).cast(types[c]) for c in _ADDED}).select(*out)
-        return with_answers(points, point_at, answers, ("p_lat", "p_lon"), cfg).select(*out)
+        answers = _far(places, found_sites, _WHOLE_EARTH_M, ties)
+    else:
+        answers = _near(places, found_sites, radius_m, ties, cfg)
+    if answers is None:
+        types = {"distance_m": "double", **{f.name: f.dataType for f in found_sites.schema}}
+        return points.withColumns({c: F.lit(None).cast(types[c]) for c in _ADDED}).select(*out)
+    return with_answers(points, point_at, answers, ("p_lat", "p_lon"), cfg).select(*out)
+
+
+def _near(places: DataFrame, found_sites: DataFrame, radius_m: float, ties: bool, cfg: AuditConfig) -> DataFrame:
+    """Nearest site within the radius of each place that has one. Both tables are stored."""
     step = radius_m
     while True:
         size = measure_sites(found_sites, step)
-        if size.densest * _NEAR_CELLS <= cfg.cell_sites or step < 0.01:
+        if size.densest * NEAR_CELLS <= cfg.cell_sites or step < 0.01:
             break
         step /= 4
     cover = with_cover(found_sites, "s_lat", "s_lon", step)
     small = fits_broadcast(size.rows * _MOST_CELLS, cfg) or (
         cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg))
-    local = _nearest_in_cell(points, cover, point_at, step, ties, small, cfg)
+    local = cut(_nearest_in_cell(places, cover, ("p_lat", "p_lon"), step, ties, small, cfg), "local")
+    hits = local.where(F.col("distance_m").isNotNull())
     if step == radius_m:
-        return local.select(*out)
-
-    missed = F.col("distance_m").isNull() & F.col(point_at[0]).isNotNull() & F.col(point_at[1]).isNotNull()
-    places = local.where(missed).select(
-        F.col(point_at[0]).alias("p_lat"), F.col(point_at[1]).alias("p_lon")).distinct()
-    places = cut(places, "places")
-    if not places.limit(1).count():
-        return local.select(*out)
-    answers = _far(places, cut(found_sites, "sites"), radius_m, ties)
-    if answers is None:
-        return local.select(*out)
-    if fits_broadcast(answers.count(), cfg):
-        late = answers.withColumnsRenamed({c: f"_f_{c}" for c in _ADDED})
-        late = late.withColumnsRenamed({"p_lat": point_at[0], "p_lon": point_at[1]})
-        both = local.join(F.broadcast(late), list(point_at), "left")
-        filled = {c: F.coalesce(c, f"_f_{c}") for c in _ADDED}
-        return both.withColumns(filled).select(*out)
-    answers = answers.withColumnsRenamed({"p_lat": point_at[0], "p_lon": point_at[1]})
-    far = salted_join(local.where(missed).drop(*_ADDED), answers, list(point_at), "left", cfg.hot_rows)
-    return local.where(~missed).select(*out).unionByName(far.select(*out))
+        return hits
+    missed = cut(local.where(F.col("distance_m").isNull()).select("p_lat", "p_lon"), "places")
+    far = _far(missed, found_sites, radius_m, ties) if missed.limit(1).count() else None
+    return hits if far is None else hits.unionByName(far)
 
 
 def _far(places: DataFrame, found_sites: DataFrame, limit_m: float, ties: bool) -> DataFrame | None:

@@ -291,3 +291,36 @@ def test_merged_tiles_keep_their_tags(spark):
     df = spark.createDataFrame(rows, "osm_id string, tile_no int, latitude double, longitude double, tags map<string,string>")
     got = {r.osm_id: (r.tile_no, r.tags) for r in merge_tiles(df).collect()}
     assert got == {"1": (1, {"name": "a", "crossing": "yes"}), "2": (3, None)}
+
+
+def test_shuffled_joins_are_not_broadcast_by_file_size(spark):
+    """Spark takes rows made since for as few as the file they come from: a join sized by count must not be left to that."""
+    big, small = spark.range(100).withColumnRenamed("id", "k"), spark.range(50).select(F.col("id").alias("k"), F.lit("s").alias("s"))
+    plan = salted_join(big, small, ["k"], "left", 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
+def test_a_place_is_searched_once(spark):
+    """Rows of crowded places reach the rank as one row for each tied position, not one for each node in reach."""
+    from mapaudit.operators.audit import nearest_within_radius
+
+    det = spark.range(400).select(F.col("id").cast("string").alias("detection_id"), F.lit("v").alias("video_name"),
+                                  F.col("id").cast("int").alias("frame_number"), F.lit(43.7).alias("latitude"), F.lit(-79.4).alias("longitude"))
+    nodes = spark.range(30).select(F.col("id").cast("string").alias("osm_id"), F.lit("stop").alias("normalized_type"),
+                                   (F.lit(43.7) + (F.col("id") + 1) * 1e-5).alias("latitude"), F.lit(-79.4).alias("longitude"))
+    near = nearest_within_radius(det, nodes)
+    assert "_n_band" not in near._jdf.queryExecution().optimizedPlan().toString()
+    assert near.count() == 400 and near.select("nearest_osm_node_id").distinct().collect() == [("0",)]
+
+
+def test_tasks_follow_pairs(spark, monkeypatch):
+    """Few bytes that make many pairs are many tasks."""
+    from mapaudit.operators import skew
+
+    monkeypatch.setattr(skew, "_TASK_WORK", 10_000)
+    monkeypatch.setattr(skew, "_LEAST_PAIRS", 1_000)
+    points = points_df(spark, [(43.7 + i * 1e-7, -79.4) for i in range(600)])
+    nodes = nodes_df(spark, [(43.7 + i * 1e-7, -79.4) for i in range(600)])
+    pairs = radius_join(points, nodes, 100.0, cfg=AuditConfig(join_strategy="shuffle"))
+    sizes = [n for n in pairs.rdd.glom().map(len).collect()]
+    assert sum(sizes) == 600 * 600 and len(sizes) > 30 and max(sizes) < 90_000
