@@ -146,7 +146,9 @@ def _video_files(spark: SparkSession, d: str) -> str:
         rows = rows.select("video", "video_name", "frame_number", "timestamp_sec", "u", "v", "confidence", "class_name")
         other = F.col("video") % 4 == 3
         for part, encoding in ((rows.where(~other), "UTF-8"), (rows.where(other), "UTF-16")):
-            part.repartition("video").write.mode("append").partitionBy("video").option("header", True).option("encoding", encoding).csv(path)
+            # tasks move their own files: with very many, the driver would move them one after the other
+            (part.repartition("video").write.mode("append").partitionBy("video").option("header", True).option("encoding", encoding)
+             .option("mapreduce.fileoutputcommitter.algorithm.version", "2").csv(path))
 
     return inputs.stored_files(spark, d, "video_csv", write)
 

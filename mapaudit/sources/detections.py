@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapaudit.sources.files import WHOLE_BYTES, failed_files, list_files, open_files, read_csv_files
+from mapaudit.sources.files import WHOLE_BYTES, csv_status, failed_files, list_files, open_files, read_csv_files
 
 _BROKEN = "_broken_line"
 _INTEGER = r"^[+-]?[0-9]+$"
@@ -215,7 +215,7 @@ def gather_detections(spark: SparkSession, folder: str, layout: list[str] | None
 def gather_failures(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """(source_file, reason) of the CSVs of a folder that ``gather_detections(skip_unreadable=True)`` leaves out:
     those that can't be opened, are no UTF-8 text or have no header. Files of no bytes are not seen, files longer than ``whole_bytes`` are not looked at."""
-    status = _whole_files(spark, [folder], "*.csv", whole_bytes, True).where("is_status")
+    status = csv_status(open_files(spark, [folder], "*.csv", whole_bytes, True), COLUMNS, "strict")
     return failed_files(list_files(spark, folder, "*.csv", whole_bytes), status)
 
 

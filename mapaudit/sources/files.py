@@ -48,6 +48,24 @@ def failed_files(listed: DataFrame, status: DataFrame) -> DataFrame:
             .where(F.col("reason").isNotNull()))
 
 
+def csv_status(opened: DataFrame, names: list[str], errors: str = "replace") -> DataFrame:
+    """(source_file, failure) of all opened CSV files: each is read whole as by ``read_csv_files``, its rows stay in the task."""
+    schema = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("failure", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            failures = []
+            for file, content in zip(batch.column(0), batch.column(1)):
+                try:
+                    csv_columns(file.as_py(), content.as_py(), names, errors)
+                    failures.append(None)
+                except Exception as error:  # whatever is wrong with one file is that file's failure
+                    failures.append(f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(failures, pa.string())], schema.names)
+
+    return opened.mapInArrow(run, schema)
+
+
 def _fields(line: str) -> list[str]:
     return next(csv.reader([line]))
 

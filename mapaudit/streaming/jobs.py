@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,11 +154,15 @@ def drop_repeats(messages: DataFrame, table_path: str, checkpoint: str, once: bo
         if run not in older:
             older[run] = _stored_ids(batch.sparkSession, table_path, run)
         place = f"run={run}/batch_id={batch_id}"
-        batch.where(F.col("detection_id").isNull()).write.mode("overwrite").parquet(f"{table_path}/{_ASIDE}/{place}")
-        fresh = batch.where(F.col("detection_id").isNotNull()).drop("value")
-        if older[run] is not None:
-            fresh = fresh.join(older[run], "detection_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table_path}/{place}")
+        batch = batch.persist(StorageLevel.DISK_ONLY)  # two writes, but the state is read and updated once
+        try:
+            batch.where(F.col("detection_id").isNull()).write.mode("overwrite").parquet(f"{table_path}/{_ASIDE}/{place}")
+            fresh = batch.where(F.col("detection_id").isNotNull()).drop("value")
+            if older[run] is not None:
+                fresh = fresh.join(older[run], "detection_id", "left_anti")
+            fresh.write.mode("overwrite").parquet(f"{table_path}/{place}")
+        finally:
+            batch.unpersist()
 
     before = spark.conf.get(_STATE_KEY)
     spark.conf.set(_STATE_KEY, _STATE_ON_DISK)

@@ -199,3 +199,15 @@ def test_around_is_pushed_into_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(latitude" in pushed and "LessThanOrEqual(longitude" in pushed
     extent = stored.groupBy(F.input_file_name().alias("f")).agg(*[g(c) for c in ("latitude", "longitude") for g in (F.min, F.max)]).collect()
     assert sum(r[1] is not None and r[1] <= 48.2 and r[2] >= 39.2 and r[3] <= -73 and r[4] >= -86 for r in extent) <= 6
+
+
+def test_failures_are_found_without_the_rows(spark, tmp_path):
+    """Listing broken files sends a row for each file out of the tasks, not the files' lines."""
+    from mapaudit.sources.files import csv_status, open_files
+
+    texts = {"a.csv": b"frame_number,u\n" + b"1,2\n" * 500, "b.csv": "frame_number,u\n1,2\n".encode("utf-16"), "c.csv": b"\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    found = csv_status(open_files(spark, [str(tmp_path)], "*.csv"), ["frame_number", "u"], "strict").collect()
+    reasons = {r.source_file.rsplit("/", 1)[-1]: (r.failure or "").split(":")[0] for r in found}
+    assert len(found) == 3 and reasons == {"a.csv": "", "b.csv": "UnicodeDecodeError", "c.csv": "ValueError"}

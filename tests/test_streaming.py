@@ -189,3 +189,21 @@ def test_delivery_counts_what_the_client_answers(spark, tmp_path):
     lost = run(["ok", "boom"]).collect()
     assert [(r.acked, r.value, r.reason) for r in lost] == [(False, "ok", "ValueError: down"), (False, "boom", "ValueError: down")]
     assert tuple(delivery.delivery_counts(run([])).first()) == (0, 0, 0, 0, None)
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    """Both tables of ``drop_repeats`` are written from one pass through the keyed state."""
+    from mapaudit.streaming.jobs import drop_repeats
+
+    rows = [("k", f'{{"detection_id":"d{i % 40}","frame_number":{i}}}') for i in range(60)] + [("k", "{broken")] * 5
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.json(f"{tmp_path}/topic")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        read.add(1)
+        return value
+
+    source = spark.readStream.schema("key string, value string").json(f"{tmp_path}/topic").withColumn("value", F.udf(seen)("value"))
+    drop_repeats(source, f"{tmp_path}/table", f"{tmp_path}/cp", once=True).awaitTermination()
+    assert spark.read.option("basePath", f"{tmp_path}/table").parquet(f"{tmp_path}/table/run=*").count() == 40
+    assert read.value <= 3 * len(rows)  # the plan reads a message in more than one branch; two passes would be six
