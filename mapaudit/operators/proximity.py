@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.functions.geo import haversine_m
 from mapaudit.functions.labels import count_if
-from mapaudit.operators.spatial import nearest, radius_join
+from mapaudit.operators.spatial import nearest, radius_join, radius_join_sorted
 
 VEHICLE_AT = ("vehicle_lat", "vehicle_lon")
 
@@ -32,10 +32,13 @@ def matches(det: DataFrame, nodes: DataFrame, radius_m: float = 50.0, cfg: Audit
 
 def proximity_pairs(det: DataFrame, nodes: DataFrame, radius_m: float, cfg: AuditConfig = DEFAULT) -> DataFrame:
     """Pairs strictly closer than the radius, by detection and distance."""
-    pairs = radius_join(located(det), node_side(nodes), radius_m, point_at=VEHICLE_AT, strict=True, cfg=cfg)
+    slim = located(det).select("detection_id", "class_name", *VEHICLE_AT)
+    at = node_side(nodes).select("osm_id", "osm_type", "osm_lat", "osm_lon")
+    pairs = radius_join_sorted(slim, at, radius_m, ["detection_id", "distance_m", "osm_id"],
+                               point_at=VEHICLE_AT, strict=True, cfg=cfg)
     return pairs.select(
         "detection_id", "class_name", *VEHICLE_AT, "osm_id", "osm_type", "osm_lat", "osm_lon",
-        F.col("distance_m").alias("distance_meters")).orderBy("detection_id", "distance_meters", "osm_id")
+        F.col("distance_m").alias("distance_meters"))
 
 
 def match_counts(det: DataFrame, nodes: DataFrame, radius_m: float = 50.0, cfg: AuditConfig = DEFAULT) -> DataFrame:

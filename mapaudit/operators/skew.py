@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapaudit.config import AuditConfig
+from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.session import cut
 
 ROW_BYTES = 128  # generous size of one row of a broadcast table
@@ -71,15 +71,18 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot_rows: int,
-                condition: Column | None = None) -> DataFrame:
+                condition: Column | None = None, fan: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Shuffle equi-join of ``big`` with ``small`` ("inner" or "left").
 
     Rows of a hot key are dealt out over several tasks and the matching rows of
     ``small`` are copied to each, so no task gets a whole hot key. A ``big`` that
     went through a shuffle carries its dice (see ``with_dice``). The hint keeps Spark from a broadcast that it
     would choose by the size of the files ``small`` comes from: rows made since, such as cover cells, are not in it.
+    A caller that has counted the work gives the ``fan`` of each hot key and the number of ``tasks``.
     """
-    fan = F.broadcast(hot_keys(big.select(*keys), keys, hot_rows))
+    by_list = fan is None or fits_broadcast(fan.count(), DEFAULT)
+    fan = hot_keys(big.select(*keys), keys, hot_rows) if fan is None else fan
+    fan = F.broadcast(fan) if by_list else fan.hint("merge")
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     left = big.join(fan, keys, "left").withColumn(
         "_salt",
@@ -92,6 +95,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot
         .drop("_fan")
     )
     on = keys + ["_salt"]
+    if tasks is not None:  # a number that is given is not merged again by bytes
+        left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
     if condition is None:
         return left.join(right.hint("merge"), on, how).drop("_salt")
     for k in on:
@@ -118,6 +123,48 @@ def pair_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return cut(both, "counts")
 
 
+@dataclass(frozen=True)
+class Meeting:
+    """What a join on ``keys`` has to do, from the stored counts of both sides."""
+    counts: DataFrame
+    pairs: float
+    rows: float
+    right_rows: int  # on the right under a key that the left has too
+    densest: int  # most of them under one key
+
+    def tasks(self, spread: int, work: int | None = None) -> int:
+        return min(_MOST_TASKS, max(spread, math.ceil((self.pairs + _ROW_WORK * self.rows) / (work or _TASK_WORK))))
+
+    def fan(self, keys: list[str], cfg: AuditConfig, tasks: int) -> DataFrame:
+        """(keys, _fan): the parts that the left rows of a key are dealt to so that none has more pairs or rows than a
+        fraction of a task. A part has at least as many left rows as the right, so the copies are no more than the left."""
+        p, q = F.col("_p"), F.col("_q")
+        pairs = min(float(cfg.task_pairs), max(float(_LEAST_PAIRS), self.pairs / (8 * tasks)))
+        parts = F.least(F.ceil(p * q / pairs), F.greatest(F.lit(1), F.floor(p / F.greatest(q, F.lit(1.0)))))
+        parts = F.greatest(parts, F.ceil(p / cfg.hot_rows)).cast("int")
+        return self.counts.where((p > 0) & (q > 0)).select(*keys, parts.alias("_fan")).where("_fan > 1")
+
+
+def meet_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> Meeting:
+    counts = pair_counts(left, right, keys)
+    p, q = F.col("_p"), F.col("_q")
+    met = F.when(p > 0, q).otherwise(F.lit(0.0))
+    row = counts.agg(*(F.coalesce(f, F.lit(0.0)) for f in (F.sum(p * q), F.sum(p + q), F.sum(met), F.max(met)))).first()
+    return Meeting(counts, row[0], row[1], int(row[2]), int(row[3]))
+
+
+def only_met(right: DataFrame, keys: list[str], meeting: Meeting) -> DataFrame:
+    """The rows of the right under keys that the left has: all that an inner or left join can use."""
+    met = meeting.counts.where((F.col("_p") > 0) & (F.col("_q") > 0)).select(*keys)
+    by_list = fits_broadcast(met.count(), DEFAULT)
+    return right.join(F.broadcast(met) if by_list else met.hint("merge"), keys, "left_semi")
+
+
+def dealt_evenly(df: DataFrame, tasks: int) -> DataFrame:
+    """The rows in ``tasks`` partitions by their dice, for joins whose work per row is large."""
+    return df.repartition(tasks, F.floor(_throw(df) * float(1 << 30)))
+
+
 def pair_grid(left: DataFrame, right: DataFrame, keys: list[str], cfg: AuditConfig, counts: DataFrame | None = None) -> DataFrame:
     """(keys, _rows, _cols) for keys that are too much for one task.
 
@@ -160,7 +207,8 @@ def deal_pairs(left: DataFrame, right: DataFrame, keys: list[str], grid: DataFra
 
 
 def matrix_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, condition: Column, at: list[str], cfg: AuditConfig,
-                left_made: dict[str, Column] | None = None, right_made: dict[str, Column] | None = None) -> DataFrame:
+                left_made: dict[str, Column] | None = None, right_made: dict[str, Column] | None = None,
+                meeting: Meeting | None = None) -> DataFrame:
     """Shuffle equi-join ("inner" or "left") in which a heavy key is many tasks' work whichever side is heavy.
 
     The counted pairs, not the bytes of the rows, decide the number of tasks, and keys are cut until each task has
@@ -168,13 +216,10 @@ def matrix_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, co
     ``right_made`` are columns for it that are made behind the shuffle. With "left", a left row of a key cut into several
     columns is kept without a match if none of its columns has one, which is asked by the distinct ``at`` of the rows that have.
     """
-    counts = pair_counts(left, right, keys)
-    p, q = F.col("_p"), F.col("_q")
-    pairs, rows = counts.agg(F.coalesce(F.sum(p * q), F.lit(0.0)), F.coalesce(F.sum(p + q), F.lit(0.0))).first()
-    spread = left.sparkSession.sparkContext.defaultParallelism
-    tasks = min(_MOST_TASKS, max(spread, math.ceil((pairs + _ROW_WORK * rows) / _TASK_WORK)))
-    finer = replace(cfg, task_pairs=int(min(cfg.task_pairs, max(_LEAST_PAIRS, pairs / (8 * tasks)))))
-    grid = cut(pair_grid(left, right, keys, finer, counts), "grid")
+    meeting = meet_counts(left, right, keys) if meeting is None else meeting
+    tasks = meeting.tasks(left.sparkSession.sparkContext.defaultParallelism)
+    finer = replace(cfg, task_pairs=int(min(cfg.task_pairs, max(_LEAST_PAIRS, meeting.pairs / (8 * tasks)))))
+    grid = cut(pair_grid(left, right, keys, finer, meeting.counts), "grid")
     dealt, across = deal_pairs(left, right, keys, grid)
     on = [*keys, "_row", "_col"]
     across = across.withColumnsRenamed({k: f"_r{k}" for k in on})

@@ -13,11 +13,14 @@ from mapaudit.config import DEFAULT, EARTH_RADIUS_M, AuditConfig
 from mapaudit.functions.geo import haversine_m, unit_vector
 from mapaudit.operators.grid import CELL, with_cell, with_cover
 from mapaudit.operators.pyramid import descend, opened
-from mapaudit.operators.skew import ROW_BYTES, fits_broadcast, matrix_join, measure, salted_join, with_dice
+from mapaudit.operators.skew import (
+    ROW_BYTES, Meeting, dealt_evenly, fits_broadcast, matrix_join, measure, meet_counts, only_met, salted_join, with_dice,
+)
 from mapaudit.session import cut
 
 _MOST_CELLS = 60  # no circle touches more cells, even at a pole (usually 9)
 NEAR_CELLS = 16  # more cells than can hold the sites whose circles touch one cell
+_SORTED_WORK = 2_000_000  # pairs compared by a task that also sorts those it keeps, so that they stay in its memory
 _WHOLE_EARTH_M = 2.1e7  # more than half the circumference
 _POINT_UNIT, _NODE_UNIT = ["_px", "_py", "_pz"], ["_nx", "_ny", "_nz"]
 _ADDED = ["distance_m", "site", "s_lat", "s_lon"]
@@ -65,32 +68,71 @@ def radius_join(points: DataFrame, nodes: DataFrame, radius_m: float, how: str =
     """Every (point, node) pair within the radius, with ``distance_m``.
 
     ``nodes`` is the side that is copied to its cover cells. While that copy is
-    below the broadcast limit the points are not shuffled at all; beyond it both
+    below the broadcast limit the points are not shuffled at all; beyond it, the copies in cells without a point are
+    dropped, and if the rest is below the limit the points are dealt evenly over tasks by the pairs to compare. Else both
     sides are shuffled by cell, and a cell with many points, many nodes or both is cut into a
     grid of tasks. With ``how="left"``
     unmatched points stay, with nulls. Column names must not overlap. A caller
     that knows the node count passes it and saves the count. Pairs are told by their squared chord; the distance
     decides where that is as close to the radius as rounding allows, and is computed for the pairs that stay.
     """
+    return _radius_join(points, nodes, radius_m, how, point_at, node_at, strict, cfg, node_rows, None)[0]
+
+
+def radius_join_sorted(points: DataFrame, nodes: DataFrame, radius_m: float, order: list[str],
+                       point_at=("latitude", "longitude"), node_at=("osm_lat", "osm_lon"),
+                       strict: bool = False, cfg: AuditConfig = DEFAULT) -> DataFrame:
+    """The pairs of ``radius_join`` sorted by ``order``, whose first column is one of the points.
+
+    Where the nodes are broadcast, the points are put in ranges of that column before they meet them, so each
+    task sorts its own pairs and no pair is shuffled. Else, or if one value of that column has more pairs than
+    a task should take, the pairs themselves are sorted.
+    """
+    joined, ranged = _radius_join(points, nodes, radius_m, "inner", point_at, node_at, strict, cfg, None, order[0])
+    if not ranged:
+        return joined.orderBy(*order)
+    # where each value is one row, its number orders the pairs as it does, without comparing texts
+    first = "_number" if "_number" in joined.columns else order[0]
+    return joined.sortWithinPartitions(first, *order[1:]).drop("_number")
+
+
+def _radius_join(points: DataFrame, nodes: DataFrame, radius_m: float, how: str, point_at, node_at, strict: bool,
+                 cfg: AuditConfig, node_rows: int | None, lead: str | None) -> tuple[DataFrame, bool]:
+    """The pairs, and whether their partitions are ranges of the points' column ``lead``."""
     cover = with_cover(nodes, *node_at, radius_m)
-    for k in CELL:
-        cover = cover.withColumnRenamed(k, f"_n{k}")
     points = with_cell(points, *point_at, radius_m)
     distance = haversine_m(*point_at, *node_at)
     near = _clearly_near(radius_m) | (_maybe_near(radius_m) & (distance < radius_m if strict else distance <= radius_m))
     at_point, at_node = dict(zip(_POINT_UNIT, unit_vector(*point_at))), dict(zip(_NODE_UNIT, unit_vector(*node_at)))
-    width = ROW_BYTES
-    if cfg.join_strategy == "auto" and node_rows is None:
+    auto, width = cfg.join_strategy == "auto", ROW_BYTES
+    if auto and node_rows is None:
         node_rows, width = measure(nodes)
     bound = (node_rows or 0) * _MOST_CELLS
-    if fits_broadcast(bound, cfg, width) or (cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg, width)):
+    small = fits_broadcast(bound, cfg, width) or (auto and fits_broadcast(cover.count(), cfg, width))
+    meeting, ranged = None, False
+    if lead is not None or not small:
+        meeting = meet_counts(points, cover, CELL)
+    if auto and not small:
+        cover = only_met(cover, CELL, meeting)
+        small = fits_broadcast(meeting.right_rows, cfg, width)
+    if small:
+        if lead is not None:
+            most = points.groupBy(lead).count().agg(F.max("count")).first()[0] or 0
+            ranged = most * meeting.densest <= cfg.task_pairs
+        if meeting is not None:
+            spread = points.sparkSession.sparkContext.defaultParallelism
+            points = (points.repartitionByRange(meeting.tasks(spread, _SORTED_WORK), lead) if ranged
+                      else dealt_evenly(points, meeting.tasks(spread)))
+        if ranged and most == 1:
+            points = points.sortWithinPartitions(lead).withColumn("_number", F.monotonically_increasing_id())
+        for k in CELL:
+            cover = cover.withColumnRenamed(k, f"_n{k}")
         match = (F.col("_band") == F.col("_n_band")) & (F.col("_cell") == F.col("_n_cell")) & near
         joined = points.withColumns(at_point).join(F.broadcast(cover.withColumns(at_node)), match, how)
     else:
-        cover = cover.withColumnsRenamed({f"_n{k}": k for k in CELL})
-        joined = matrix_join(points, cover, CELL, how, near, list(point_at), cfg, at_point, at_node)
+        joined = matrix_join(points, cover, CELL, how, near, list(point_at), cfg, at_point, at_node, meeting)
     dropped = [*CELL, *[f"_n{k}" for k in CELL], *_POINT_UNIT, *_NODE_UNIT]
-    return joined.withColumn("distance_m", distance).drop(*dropped)
+    return joined.withColumn("distance_m", distance).drop(*dropped), ranged
 
 
 def sites(nodes: DataFrame, node_at, key: str, payload=()) -> DataFrame:
@@ -104,7 +146,7 @@ def sites(nodes: DataFrame, node_at, key: str, payload=()) -> DataFrame:
 
 
 def _nearest_in_cell(points: DataFrame, cover: DataFrame, point_at, radius_m: float, ties: bool,
-                     broadcast: bool, cfg: AuditConfig) -> DataFrame:
+                     meeting: Meeting | None, cfg: AuditConfig) -> DataFrame:
     """Nearest site within the radius from one equi-join, one output row per point
     (per tied site with ``ties``). The sites of a cell arrive as one short array,
     so no pairs are emitted and nothing is shuffled after the join.
@@ -115,17 +157,26 @@ def _nearest_in_cell(points: DataFrame, cover: DataFrame, point_at, radius_m: fl
     of a unit vector is off by less than 1e-15 and a difference of two by twice
     that, so a squared chord c is off by less than 1e-14 * sqrt(c) + 2e-29. The
     allowance is ten times that, with room for the distance's own relative error.
+
+    Without a ``meeting`` the cover is broadcast whole. With one, only the sites in cells that have a point are used; they
+    are broadcast if they fit, and the points are dealt over tasks by the counted pairs. Else a cell's points are dealt out
+    when they have more pairs than a task should take, however few rows they are.
     """
     sx, sy, sz = unit_vector("s_lat", "s_lon")
     entry = F.struct(sx.alias("x"), sy.alias("y"), sz.alias("z"), "s_lat", "s_lon", "site")
+    if meeting is not None and cfg.join_strategy == "auto":
+        cover = only_met(cover, CELL, meeting)
     per_cell = cover.groupBy(*CELL).agg(F.collect_list(entry).alias("_sites"))
     px, py, pz = unit_vector(*point_at)
     kept = points.columns
     points = with_cell(points, *point_at, radius_m).withColumns({"_x": px, "_y": py, "_z": pz})
-    if broadcast:
+    tasks = meeting and meeting.tasks(points.sparkSession.sparkContext.defaultParallelism)
+    if meeting is None:
         joined = points.join(F.broadcast(per_cell), CELL, "left")
+    elif fits_broadcast(meeting.right_rows, cfg):
+        joined = dealt_evenly(points, tasks).join(F.broadcast(per_cell), CELL, "left")
     else:
-        joined = salted_join(points, per_cell, CELL, "left", cfg.hot_rows)
+        joined = salted_join(points, per_cell, CELL, "left", cfg.hot_rows, fan=meeting.fan(CELL, cfg, tasks), tasks=tasks)
 
     def chord(s):
         dx, dy, dz = s["x"] - F.col("_x"), s["y"] - F.col("_y"), s["z"] - F.col("_z")
@@ -196,7 +247,8 @@ def _near(places: DataFrame, found_sites: DataFrame, radius_m: float, ties: bool
     cover = with_cover(found_sites, "s_lat", "s_lon", step)
     small = fits_broadcast(size.rows * _MOST_CELLS, cfg) or (
         cfg.join_strategy == "auto" and fits_broadcast(cover.count(), cfg))
-    local = cut(_nearest_in_cell(places, cover, ("p_lat", "p_lon"), step, ties, small, cfg), "local")
+    meeting = None if small else meet_counts(with_cell(places, "p_lat", "p_lon", step), cover, CELL)
+    local = cut(_nearest_in_cell(places, cover, ("p_lat", "p_lon"), step, ties, meeting, cfg), "local")
     hits = local.where(F.col("distance_m").isNotNull())
     if step == radius_m:
         return hits

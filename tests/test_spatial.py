@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mapaudit.config import AuditConfig
+from mapaudit.operators.proximity import proximity_pairs
 from mapaudit.operators.pyramid import descend, opened
 from mapaudit.operators.skew import deal_pairs, keep_rank_one, lookup_join, measure, pair_grid, salted_join
-from mapaudit.operators.spatial import nearest, nearest_both, nearest_of_many, radius_join
+from mapaudit.operators.spatial import nearest, nearest_both, nearest_of_many, radius_join, radius_join_sorted
 
 R = 6371000.0
 
@@ -324,3 +325,86 @@ def test_tasks_follow_pairs(spark, monkeypatch):
     pairs = radius_join(points, nodes, 100.0, cfg=AuditConfig(join_strategy="shuffle"))
     sizes = [n for n in pairs.rdd.glom().map(len).collect()]
     assert sum(sizes) == 600 * 600 and len(sizes) > 30 and max(sizes) < 90_000
+
+
+def crowd(seed, n):
+    """Points and nodes of a map that is much larger than the place where the points are."""
+    rng = random.Random(seed)
+    points = [(43.7 + rng.uniform(0, 2e-3), -79.4 + rng.uniform(0, 2e-3)) for _ in range(n)]
+    nodes = [(43.7 + rng.uniform(0, 2e-3), -79.4 + rng.uniform(0, 2e-3)) for _ in range(40)]
+    return points, nodes + [(10 + i * 1e-2, 20.0) for i in range(400)]
+
+
+ONLY_MET = AuditConfig(broadcast_bytes=600 * 400)  # too little for the whole cover, enough for that of occupied cells
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_nodes_far_from_every_point_do_not_make_the_join_shuffle_both_sides(spark, how):
+    p, n = crowd(31, 200)
+    points = points_df(spark, p + [(None, 1.0), (80.0, 1.0)])
+    got = radius_join(points, nodes_df(spark, n), 50.0, how, cfg=ONLY_MET)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = [(f"p{i:05d}", f"n{j:05d}") for i, a in enumerate(p) for j, b in enumerate(n) if metres(a, b) <= 50]
+    if how == "left":
+        alone = {f"p{i:05d}" for i in range(len(p) + 2)} - {a for a, _ in want}
+        want += [(a, None) for a in alone]
+    assert sorted(map(tuple, got.select("pid", "osm_id").collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+@pytest.mark.parametrize("cfg", [ONLY_MET, AuditConfig(), AuditConfig(join_strategy="shuffle"), AuditConfig(task_pairs=5)])
+def test_sorted_pairs_come_in_order(spark, cfg, copies):
+    """Also where one id is several rows, and where it has more pairs than a task should take."""
+    p, n = crowd(32, 120)
+    points = points_df(spark, [at for k in range(copies) for at in p]).withColumn("pid", F.expr(f"concat('p', substr(pid, 2) % {len(p)})"))
+    order = ["pid", "distance_m", "osm_id"]
+    got = [tuple(r) for r in radius_join_sorted(points, nodes_df(spark, n), 50.0, order, strict=True, cfg=cfg).select(*order).collect()]
+    want = radius_join(points, nodes_df(spark, n), 50.0, strict=True, cfg=AuditConfig(join_strategy="shuffle")).select(*order)
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 100 * copies
+
+
+def test_sorted_pairs_are_not_shuffled(spark):
+    p, n = crowd(33, 200)
+    det = points_df(spark, p).selectExpr("pid as detection_id", "'stop sign' as class_name", "latitude as vehicle_lat", "longitude as vehicle_lon")
+    nodes = nodes_df(spark, n).selectExpr("osm_id", "'stop' as osm_type", "osm_lat as latitude", "osm_lon as longitude")
+    plan = proximity_pairs(det, nodes, 50.0, cfg=ONLY_MET)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Sort [") < plan.index("BroadcastHashJoin") < plan.index("Exchange rangepartitioning")
+    assert plan.count("Exchange rangepartitioning") == 1
+
+
+@pytest.mark.parametrize("ties", [True, False])
+@pytest.mark.parametrize("cfg", [ONLY_MET, AuditConfig(broadcast_bytes=10), AuditConfig(join_strategy="shuffle", task_pairs=40)])
+def test_nearest_of_crowded_cells(spark, cfg, ties, monkeypatch):
+    """All positions distinct and in a few cells: found by the sites near them, in many tasks."""
+    from mapaudit.operators import skew
+
+    monkeypatch.setattr(skew, "_LEAST_PAIRS", 100)
+    p, n = crowd(34, 300)
+    p += [(80.0, 1.0)]
+    got = nearest(points_df(spark, p), nodes_df(spark, n), "osm_id", radius_m=100.0, ties=ties, cfg=cfg).collect()
+    want = {}
+    for i, a in enumerate(p):
+        d, j = min((metres(a, b), j) for j, b in enumerate(n))
+        want[f"p{i:05d}"] = n[j] if d <= 100 else (None, None)
+    assert {r.pid: (r.s_lat, r.s_lon) for r in got} == want and len(got) == len(p)
+
+
+def test_crowded_cells_are_dealt_by_pairs_not_rows(spark, monkeypatch):
+    """Far fewer points than ``hot_rows`` in a cell, but with many sites each: several tasks, not one."""
+    from mapaudit.operators import skew, spatial
+
+    monkeypatch.setattr(skew, "_LEAST_PAIRS", 100)
+    monkeypatch.setattr(skew, "_TASK_WORK", 1000)
+    sizes, whole = [], spatial.cut
+
+    def seen(df, label="cut"):
+        if label == "local":
+            sizes.extend(df.rdd.glom().map(len).collect())
+        return whole(df, label)
+
+    monkeypatch.setattr(spatial, "cut", seen)
+    places = points_df(spark, [(43.7 + i * 1e-7, -79.4) for i in range(600)])
+    nodes = nodes_df(spark, [(43.7 + i * 1e-6, -79.4001) for i in range(20)])
+    nearest(places, nodes, "osm_id", radius_m=100.0, cfg=AuditConfig(broadcast_bytes=10)).collect()
+    assert sum(sizes) == 600 and max(sizes) < 150
