@@ -9,7 +9,7 @@ from mapaudit.config import DEFAULT, AuditConfig
 from mapaudit.functions.geo import wkt_point
 from mapaudit.functions.labels import audit_status
 from mapaudit.operators.skew import DICE, keep_rank_one, lookup_join, with_dice
-from mapaudit.operators.spatial import NEAR_CELLS, measure_sites, nearest, radius_join
+from mapaudit.operators.spatial import NEAR_CELLS, measure_sites, nearest_and_answers, radius_join
 
 FRAME = ["video_name", "frame_number"]
 
@@ -38,13 +38,13 @@ def nearest_within_radius(staged: DataFrame, staged_nodes: DataFrame, cfg: Audit
         pairs = radius_join(staged, nodes, cfg.search_radius_m, "left", cfg=cfg, node_rows=size.rows)
         pairs = pairs.withColumnRenamed("distance_m", "distance_meters")
         return keep_rank_one(pairs, FRAME, "distance_meters", staged, cfg.hot_rows).drop(DICE)
-    near = nearest(staged, nodes, "nearest_osm_node_id", radius_m=cfg.search_radius_m, ties=True, cfg=cfg)
-    near = near.drop("site").withColumnRenamed("distance_m", "distance_meters")
-    if per == "frame":
-        near = keep_rank_one(near, FRAME, "distance_meters", staged, cfg.hot_rows)
+    near, answers = nearest_and_answers(staged, nodes, "nearest_osm_node_id", radius_m=cfg.search_radius_m, ties=True, cfg=cfg)
+    at_site = {"s_lat": "osm_lat", "s_lon": "osm_lon"}
+    near = near.drop("site").withColumnsRenamed({"distance_m": "distance_meters", **at_site})
+    best = keep_rank_one(near, FRAME, "distance_meters", staged, cfg.hot_rows) if per == "frame" else near
     # every node at a nearest position is a match; equal doubles, so an equi-join
-    near = near.withColumnsRenamed({"s_lat": "osm_lat", "s_lon": "osm_lon"})
-    return lookup_join(near, nodes, ["osm_lat", "osm_lon"], "left", cfg).drop(DICE)
+    asked = None if answers is None else answers.withColumnsRenamed(at_site)
+    return lookup_join(best, nodes, ["osm_lat", "osm_lon"], "left", cfg, near, asked).drop(DICE)
 
 
 def fct_map_audit(staged: DataFrame, staged_nodes: DataFrame, cfg: AuditConfig = DEFAULT) -> DataFrame:

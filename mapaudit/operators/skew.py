@@ -48,12 +48,25 @@ def fits_broadcast(rows: int, cfg: AuditConfig, row_bytes: int = ROW_BYTES) -> b
     return rows * row_bytes * _HELD <= cfg.broadcast_bytes
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, cfg: AuditConfig) -> DataFrame:
-    """Equi-join that broadcasts ``small`` only when its counted size allows it."""
-    rows = small.count() if cfg.join_strategy == "auto" else 0
-    if fits_broadcast(rows, cfg):
+def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, cfg: AuditConfig,
+                sized_by: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Equi-join that broadcasts ``small`` only when its counted size allows it.
+
+    ``asked`` is a stored table whose ``keys`` include all those of ``big``: where ``small`` is too large, its rows under
+    other keys, which an inner or left join cannot use, are dropped first. Hot keys are counted on ``sized_by``, an input
+    that is cheaper to make than ``big`` and has no fewer rows of any key.
+    """
+    auto = cfg.join_strategy == "auto"
+    fits = fits_broadcast(small.count() if auto else 0, cfg)
+    if asked is not None and auto and not fits:
+        wanted = asked.select(*keys).distinct()
+        by_list = fits_broadcast(wanted.count(), cfg)
+        small = cut(small.join(F.broadcast(wanted) if by_list else wanted.hint("merge"), keys, "left_semi"), "asked")
+        fits = fits_broadcast(small.count(), cfg)
+    if fits:
         return big.join(F.broadcast(small), keys, how)
-    return salted_join(big, small, keys, how, cfg.hot_rows)
+    fan = None if sized_by is None else cut(hot_keys(sized_by.select(*keys), keys, cfg.hot_rows), "hot")
+    return salted_join(big, small, keys, how, cfg.hot_rows, fan=fan)
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:

@@ -221,6 +221,13 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
     which is lowered until no neighbourhood can hold more than ``cfg.cell_sites`` sites; those without a hit then go
     through ``_far``.
     """
+    return nearest_and_answers(points, nodes, key, payload, radius_m, point_at, node_at, ties, cfg)[0]
+
+
+def nearest_and_answers(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m: float | None = None,
+                        point_at=("latitude", "longitude"), node_at=("osm_lat", "osm_lon"),
+                        ties: bool = False, cfg: AuditConfig = DEFAULT) -> tuple[DataFrame, DataFrame | None]:
+    """``nearest`` and the stored answers it was made from, one row a place; None where there are no sites or no places."""
     out = [*points.columns, *_ADDED]
     points, found_sites = with_dice(points), cut(sites(nodes, node_at, key, payload), "sites")
     at = [F.col(c) for c in point_at]
@@ -232,8 +239,8 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, payload=(), radius_m:
         answers = _near(places, found_sites, radius_m, ties, cfg)
     if answers is None:
         types = {"distance_m": "double", **{f.name: f.dataType for f in found_sites.schema}}
-        return points.withColumns({c: F.lit(None).cast(types[c]) for c in _ADDED}).select(*out)
-    return with_answers(points, point_at, answers, ("p_lat", "p_lon"), cfg).select(*out)
+        return points.withColumns({c: F.lit(None).cast(types[c]) for c in _ADDED}).select(*out), None
+    return with_answers(points, point_at, answers, ("p_lat", "p_lon"), cfg).select(*out), answers
 
 
 def _near(places: DataFrame, found_sites: DataFrame, radius_m: float, ties: bool, cfg: AuditConfig) -> DataFrame:

@@ -408,3 +408,23 @@ def test_crowded_cells_are_dealt_by_pairs_not_rows(spark, monkeypatch):
     nodes = nodes_df(spark, [(43.7 + i * 1e-6, -79.4001) for i in range(20)])
     nearest(places, nodes, "osm_id", radius_m=100.0, cfg=AuditConfig(broadcast_bytes=10)).collect()
     assert sum(sizes) == 600 and max(sizes) < 150
+
+
+@pytest.mark.parametrize("per", ["frame", "detection"])
+@pytest.mark.parametrize("cfg", [AuditConfig(broadcast_bytes=384 * 100), AuditConfig(broadcast_bytes=10, hot_rows=3), AuditConfig(join_strategy="shuffle", hot_rows=3)])
+def test_rows_meet_only_the_nodes_of_their_answers(spark, cfg, per):
+    """All nodes are too many for a broadcast, those at a nearest position are not: ranked rows are not shuffled to meet them."""
+    from mapaudit.operators.audit import nearest_within_radius
+
+    p, n = crowd(35, 50)
+    det = points_df(spark, p * 4 + [(80.0, 1.0), (None, None)]).selectExpr(
+        "pid as detection_id", "'v' as video_name", "cast(substr(pid, 2) as int) as frame_number", "latitude", "longitude")
+    nodes = nodes_df(spark, n + n[:40]).selectExpr("osm_id", "'stop' as normalized_type", "osm_lat as latitude", "osm_lon as longitude")
+    near = nearest_within_radius(det, nodes, cfg, per)
+    if cfg.broadcast_bytes == 384 * 100:
+        assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    want = [("p00200", None), ("p00201", None)]
+    for i, a in enumerate(p * 4):
+        d, j = min((metres(a, b), j) for j, b in enumerate(n))
+        want += [(f"p{i:05d}", f"n{k:05d}") for k in (j, len(n) + j)] if d <= 100 else [(f"p{i:05d}", None)]
+    assert sorted(map(tuple, near.select("detection_id", "nearest_osm_node_id").collect()), key=str) == sorted(want, key=str)
